@@ -52,7 +52,8 @@ def core_rule() -> F.Column:
             .otherwise(1))
 
 
-def rev_thresholds(flagged: DataFrame, params: Params = Params()) -> DataFrame:
+def rev_thresholds(flagged: DataFrame, params: Params = Params(),
+                   stats: dict | None = None) -> DataFrame:
     """Exact interpolated p01 / p99 of revenue per (region, date), on all rows.
 
     With ``thresholds_on_core_only`` (T3 fix) only core rows feed them.
@@ -65,7 +66,7 @@ def rev_thresholds(flagged: DataFrame, params: Params = Params()) -> DataFrame:
         src = flagged.where(core_rule() == 1)
     pct = group_percentiles(src, ["region", "date"], "revenue",
                             {"p01_rev": params.winsor_lo, "p99_rev": params.winsor_hi},
-                            max_bcast_rows=params.broadcast_max_rows)
+                            max_bcast_rows=params.broadcast_max_rows, stats=stats)
     return pct.select("region", "date", *[money(c).alias(c) for c in ("p01_rev", "p99_rev")])
 
 
@@ -82,14 +83,15 @@ def winsorize(rev: F.Column, lo: F.Column, hi: F.Column) -> F.Column:
 
 
 def sales_cleaned(flagged: DataFrame, thresholds: DataFrame, params: Params = Params(),
-                  keep_raw: bool = False) -> DataFrame:
+                  keep_raw: bool = False, threshold_rows: int | None = None) -> DataFrame:
     """B4 + B5 + B6 (``stg.sales_cleaned``).
 
     The thresholds table has one row per region-day, so it is broadcast
     when its size is proven small and the fact rows are not moved.  A
     NULL date never matches (SQL ``=``), so those rows stay uncapped.
     """
-    j = attach(flagged, thresholds, ["region", "date"], "left", max_rows=params.broadcast_max_rows)
+    j = attach(flagged, thresholds, ["region", "date"], "left", max_rows=params.broadcast_max_rows,
+               known_rows=threshold_rows)
     capped = winsorize(F.col("revenue"), F.col("p01_rev"), F.col("p99_rev"))
     cols = [F.col(c) for c in CLEANED_COLUMNS if c not in ("revenue_capped", "keep_core")]
     out = j.select(*cols[:7], capped.alias("revenue_capped"), *cols[7:],

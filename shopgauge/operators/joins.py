@@ -25,15 +25,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
 
 
 def attach(detail: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-           null_safe: bool = False, max_rows: int = 2_000_000) -> DataFrame:
+           null_safe: bool = False, max_rows: int = 2_000_000,
+           known_rows: int | None = None) -> DataFrame:
     """Join a per-group table (or a one-row relation when ``on`` is empty) onto
     detail rows; the per-group side is broadcast when its size is proven small,
     so the detail side is not shuffled.
 
     ``null_safe`` matches NULL keys to each other (group keys such as a NULL
     date form a group of their own); the plain form follows SQL ``=``.
+    ``known_rows`` is a row count already proven by the caller.
     """
-    side = broadcast_if_small(small, max_rows)
+    if known_rows is not None:
+        side = F.broadcast(small) if known_rows <= max_rows else small
+    else:
+        side = broadcast_if_small(small, max_rows)
     if not on:
         if how in ("left_semi", "left_anti"):
             raise ValueError("semi/anti join needs keys")

@@ -33,9 +33,14 @@ MARGIN = 3           # grid steps kept on each side of the target
 
 def group_percentiles(df: DataFrame, keys: list[str], value: str | Column,
                       probs: dict[str, float], small_group: int = 200_000,
-                      max_rounds: int = 8, max_bcast_rows: int = 2_000_000) -> DataFrame:
+                      max_rounds: int = 8, max_bcast_rows: int = 2_000_000,
+                      stats: dict | None = None) -> DataFrame:
     """One row per group of ``df`` (groups whose values are all NULL included)
     with ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``name -> p``.
+
+    ``stats``, when given, receives ``groups`` (result rows) and ``largest``
+    (rows of the biggest group) from the sizing pass, so callers can
+    broadcast the result without counting it again.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     data = df.select(*keys, v.alias("_v"))
@@ -45,7 +50,9 @@ def group_percentiles(df: DataFrame, keys: list[str], value: str | Column,
         return part.groupBy(*keys).agg(*aggs)
 
     sizes = data.groupBy(*keys).agg(F.count("_v").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0]
+    largest, groups = sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
+    if stats is not None:
+        stats.update(groups=groups, largest=largest)
     if largest is None or largest <= small_group:
         return exact(data)
     hot = broadcast_if_small(sizes.where(F.col("_n") > small_group), max_bcast_rows)

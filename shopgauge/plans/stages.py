@@ -48,11 +48,14 @@ class RetailModel:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        return cleaning.rev_thresholds(self.flagged, self.params)
+        self._threshold_stats: dict = {}
+        return cleaning.rev_thresholds(self.flagged, self.params, self._threshold_stats)
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return cleaning.sales_cleaned(self.flagged, self.thresholds, self.params)
+        th = self.thresholds
+        return cleaning.sales_cleaned(self.flagged, th, self.params,
+                                      threshold_rows=self._threshold_stats.get("groups"))
 
     @cached_property
     def dedup(self) -> DataFrame:
