@@ -1,3 +1,213 @@
-"""Registrations of the KPI, regional, lifecycle, risk and summary queries."""
+"""Registrations of the KPI, regional, lifecycle, risk and summary queries.
+
+Intermediate tables shared by several queries (store totals, z-scores,
+store-weeks …) are built once per model and reused as DataFrames.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators import kpi, lifecycle, regional, risk, summaries
+from .registry import register
+from .stages import RetailModel
+
+
+def memo(fn):
+    name = fn.__name__
+
+    def wrapper(m: RetailModel) -> DataFrame:
+        cache = m.__dict__.setdefault("_memo", {})
+        if name not in cache:
+            cache[name] = fn(m)
+        return cache[name]
+    wrapper.__name__ = name
+    return wrapper
+
+
+# ---- C: KPI core ---------------------------------------------------------
+@memo
+def store_kpis(m):
+    return kpi.store_kpis(m.last90)
+
+
+@memo
+def stores_vs_region(m):
+    return kpi.stores_vs_region(store_kpis(m), kpi.region_bench(store_kpis(m)), m.params)
+
+
+@memo
+def regional_kpis(m):
+    return kpi.regional_kpis(m.last90)
+
+
+@memo
+def income_vs_aov(m):
+    return kpi.income_vs_aov(kpi.aov_by_region(m.last90), m.regions, m.params)
+
+
+@memo
+def quarter_kpis(m):
+    return kpi.quarter_kpis(m.quarter)
+
+
+register("exec_kpi")(lambda m: kpi.exec_kpi(m.last90))
+register("regional_kpis")(regional_kpis)
+register("store_kpis")(store_kpis)
+register("region_bench")(lambda m: kpi.region_bench(store_kpis(m)))
+register("stores_vs_region")(stores_vs_region)
+register("weekday_seasonality")(lambda m: kpi.weekday_seasonality(m.last90))
+register("daily_trend")(lambda m: kpi.daily_trend(m.last90))
+register("weekly_trend")(lambda m: kpi.weekly_trend(m.last90))
+register("quarter_kpis")(quarter_kpis)
+register("quarter_league")(lambda m: kpi.quarter_league(quarter_kpis(m)))
+register("lifecycle_kpis")(lambda m: kpi.lifecycle_kpis(m.last90))
+register("aov_by_region")(lambda m: kpi.aov_by_region(m.last90))
+register("income_vs_aov")(income_vs_aov)
+register("income_aov_regression")(lambda m: kpi.income_aov_regression(income_vs_aov(m)))
+register("top5_regions")(lambda m: kpi.top_regions(regional_kpis(m), m.params.top_regions))
+register("bottom5_regions")(lambda m: kpi.bottom_regions(regional_kpis(m), m.params.top_regions))
+register("top20_stores")(lambda m: kpi.top_stores(stores_vs_region(m), m.params.top_stores))
+register("bottom20_stores")(lambda m: kpi.bottom_stores(stores_vs_region(m), m.params.top_stores))
+
+
+# ---- D: regional drivers ---------------------------------------------------
+@memo
+def region_agg(m):
+    return regional.region_agg(m.last90)
+
+
+@memo
+def network_bench(m):
+    return regional.network_bench(m.last90)
+
+
+@memo
+def region_income_bins(m):
+    return regional.region_income_bins(region_agg(m))
+
+
+@memo
+def population_bins(m):
+    return regional.population_bins(region_agg(m))
+
+
+register("region_agg")(region_agg)
+register("network_bench")(network_bench)
+register("region_income_bins")(region_income_bins)
+register("income_aov_stats")(lambda m: regional.income_aov_stats(region_agg(m)))
+register("revenue_decomposition")(
+    lambda m: regional.revenue_decomposition(region_agg(m), network_bench(m)))
+register("income_quintile_summary")(
+    lambda m: regional.income_quintile_summary(region_income_bins(m)))
+register("population_bins")(population_bins)
+register("population_tercile_summary")(
+    lambda m: regional.population_tercile_summary(population_bins(m)))
+
+
+# ---- E: lifecycle ------------------------------------------------------------
+@memo
+def store_weeks(m):
+    return lifecycle.store_weeks(m.clean_alltime, m.params)
+
+
+@memo
+def store_last90(m):
+    return lifecycle.store_totals(m.last90)
+
+
+@memo
+def network_medians(m):
+    return lifecycle.network_medians(store_last90(m), m.params)
+
+
+@memo
+def ttb_flagged(m):
+    return lifecycle.ttb_flagged(store_weeks(m), network_medians(m), m.params)
+
+
+@memo
+def time_to_benchmark(m):
+    return lifecycle.time_to_benchmark(ttb_flagged(m))
+
+
+@memo
+def time_to_benchmark_weekly(m):
+    p = m.params.with_(weekly_benchmark=True)
+    return lifecycle.time_to_benchmark(lifecycle.ttb_flagged(store_weeks(m), network_medians(m), p))
+
+
+register("store_weeks")(store_weeks)
+register("store_last90")(store_last90)
+register("network_medians")(network_medians)
+register("ttb_flagged")(ttb_flagged)
+register("time_to_benchmark")(time_to_benchmark)
+register("time_to_benchmark_weekly")(time_to_benchmark_weekly)
+register("cohort_ramp")(lambda m: lifecycle.cohort_ramp(store_weeks(m)))
+register("regional_ramp")(lambda m: lifecycle.regional_ramp(store_weeks(m)))
+register("ttb_region_summary")(
+    lambda m: lifecycle.ttb_summary(time_to_benchmark(m), "region", m.params))
+register("ttb_cohort_summary")(
+    lambda m: lifecycle.ttb_summary(time_to_benchmark(m), "cohort_month", m.params))
+register("ttb_region_summary_weekly")(
+    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly(m), "region", m.params))
+
+
+# ---- F: league and risk ------------------------------------------------------
+@memo
+def store_totals90(m):
+    return lifecycle.store_totals(m.last90, risk.TOTALS)
+
+
+@memo
+def store_z(m):
+    return risk.store_z(store_totals90(m), risk.region_stats(store_totals90(m)), m.params)
+
+
+@memo
+def store_league(m):
+    return risk.store_league(store_z(m))
+
+
+@memo
+def store_risk(m):
+    return risk.store_risk(store_league(m), m.params)
+
+
+@memo
+def watchlist_full(m):
+    return risk.watchlist(store_risk(m), m.params)
+
+
+@memo
+def store_result(m):
+    return risk.store_result(watchlist_full(m))
+
+
+register("region_stats")(lambda m: risk.region_stats(store_totals90(m)))
+register("store_z")(store_z)
+register("store_league")(store_league)
+register("store_risk")(store_risk)
+register("watchlist")(store_result)
+register("region_risk_summary")(
+    lambda m: risk.region_risk_summary(watchlist_full(m), m.params))
+register("region_leaders_top10")(
+    lambda m: risk.region_leaders(store_result(m), m.params.board_size))
+register("region_watchlist_top10")(
+    lambda m: risk.region_watch_board(store_result(m), m.params.board_size))
+
+
+# ---- G: README summaries -----------------------------------------------------
+@memo
+def new_store_horizons(m):
+    return summaries.new_store_horizons(m.clean_alltime, m.params)
+
+
+register("aov_distribution")(lambda m: summaries.aov_distribution(m.last90, m.params))
+register("aov_histogram")(lambda m: summaries.aov_histogram(m.last90, m.params))
+register("income_aov_fit")(lambda m: summaries.income_aov_fit(
+    income_vs_aov(m), kpi.income_aov_regression(income_vs_aov(m))))
+register("below_peer_heatmap")(lambda m: summaries.below_peer_heatmap(store_z(m)))
+register("new_store_30_60_90")(new_store_horizons)
+register("new_store_benchmarks")(
+    lambda m: summaries.new_store_benchmarks(new_store_horizons(m), m.params))
