@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import days_between
-from ..functions.measures import money_sum, ratio_of_sums, row_aov
+from ..functions.measures import fixed_avg, money_sum, ratio_of_sums, row_aov
 from .joins import attach
 from .percentiles import group_percentiles
 
@@ -17,7 +17,7 @@ DIST_PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 def aov_distribution(base: DataFrame, params: Params = Params()) -> DataFrame:
     """G1: row-level AOV per region: n, mean, population sd and five exact percentiles."""
     rows = base.select("region", row_aov().alias("aov"))
-    stats = rows.groupBy("region").agg(F.count("aov").alias("n"), F.avg("aov").alias("mean_aov"),
+    stats = rows.groupBy("region").agg(F.count("aov").alias("n"), fixed_avg("aov").alias("mean_aov"),
                                        F.stddev_pop("aov").alias("sd_aov"))
     pct = group_percentiles(rows, ["region"], "aov", DIST_PROBS,
                             max_bcast_rows=params.broadcast_max_rows)
