@@ -43,7 +43,7 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog  # noqa: F401  (registers the queries)
+    from . import bundles, catalog  # noqa: F401  (register the queries)
 
     def bind(fn):
         return lambda spark, sf_dir: comparable(fn(RetailModel.from_testdata(spark, sf_dir)))

@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                   app: str = "shopgauge", driver_memory: str = "16g") -> SparkSession:
+    """Local session for tests and the benchmark; gets its own checkpoint folder."""
+    scratch = tempfile.mkdtemp(prefix="shopgauge-ckpt-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", scratch)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -49,7 +52,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         conf = tempfile.mkdtemp(prefix="shopgauge-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
