@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT = "decimal(20,4)"
+# DECIMAL(18,4) values keep Spark's compact 64-bit decimal arithmetic; the
+# SUM buffer (DECIMAL(28,4)) widens on its own for totals beyond 2^63.
+EXACT = "decimal(18,4)"
 
 
 def col_(c) -> Column:
@@ -39,8 +41,8 @@ def fixed_avg(c) -> Column:
     partitioning of the data, and across engines.
     """
     x = col_(c)
-    return F.try_divide(F.sum(F.floor(x * F.lit(FIXED))).cast("double"),
-                        F.count(x).cast("double")) / F.lit(FIXED)
+    units = F.floor(x * F.lit(FIXED)).cast("decimal(18,0)")
+    return F.try_divide(F.sum(units).cast("double"), F.count(x).cast("double")) / F.lit(FIXED)
 
 
 def count_sum(c) -> Column:

@@ -64,9 +64,17 @@ def sales_from(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "l_extendedprice", "l_discount", "l_returnflag",
                                            "l_shipdate"])
     ok = F.col("l_orderkey")
-    sign = F.when((F.col("l_returnflag") == "R") & (ok % RETURN_MOD == 0), F.lit(-1)).otherwise(F.lit(1))
-    net = (F.col("l_extendedprice").cast(MONEY)
-           * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")) * sign)
+    # Exact money in integer cents: price (2 decimals) x (100 - discount
+    # percent) is an exact count of 1/10000 units, rounded half away from
+    # zero to cents -- the DECIMAL(18,2) value of price * (1 - discount) --
+    # computed in 64-bit integers instead of wide decimals.  Revenue is
+    # delivered as the DOUBLE of those cents (cleaning works in DOUBLE).
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    pct = F.floor(F.col("l_discount") * 100 + 0.5)
+    units = cents * (F.lit(100) - pct)
+    net_cents = F.when(units >= 0, F.floor((units + 50) / 100)).otherwise(-F.floor((50 - units) / 100))
+    returned = (F.col("l_returnflag") == "R") & (ok % RETURN_MOD == 0)
+    signed = F.when(returned, -net_cents).otherwise(net_cents)
     tx = (F.when(ok % ZERO_TX_MOD == 0, F.lit(0).cast("bigint"))
           .when(ok % NEG_TX_MOD == 0, F.lit(-1).cast("bigint"))
           .otherwise(F.col("l_quantity").cast("bigint")))
@@ -74,7 +82,7 @@ def sales_from(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("bigint").alias("store_id"),
         F.when(ok % NULL_DATE_MOD == 0, F.lit(None).cast("date"))
          .otherwise(F.col("l_shipdate").cast("date")).alias("date"),
-        net.cast(MONEY).alias("revenue"),
+        (signed / F.lit(100.0)).alias("revenue"),
         tx.alias("transactions"),
     )
 
