@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions.dates import days_between, month_start, week_start
 from ..functions.measures import fixed_avg, kpi_aggs, money_avg
-from .joins import attach
 from .percentiles import group_percentiles
 
 
@@ -41,11 +40,9 @@ def store_totals(base: DataFrame, names=("rev90", "tx90", "aov90")) -> DataFrame
 
 def network_medians(totals: DataFrame, params: Params = Params()) -> DataFrame:
     """Medians over stores of aov90 and tx90 (NULLs ignored; one row)."""
-    a = group_percentiles(totals, [], "aov90", {"median_aov90_store": 0.5},
-                          max_bcast_rows=params.broadcast_max_rows)
-    t = group_percentiles(totals, [], "tx90", {"median_tx90_store": 0.5},
-                          max_bcast_rows=params.broadcast_max_rows)
-    return a.crossJoin(t)
+    return group_percentiles(totals, [], specs=[("aov90", {"median_aov90_store": 0.5}),
+                                                ("tx90", {"median_tx90_store": 0.5})],
+                             max_bcast_rows=params.broadcast_max_rows)
 
 
 def ttb_flagged(weeks: DataFrame, medians: DataFrame, params: Params = Params()) -> DataFrame:
@@ -92,13 +89,11 @@ def regional_ramp(weeks: DataFrame) -> DataFrame:
 
 def ttb_summary(ttb: DataFrame, key: str, params: Params = Params()) -> DataFrame:
     """Stores hitting the benchmark, all stores, mean, p50, p90 of weeks."""
-    counts = ttb.groupBy(key).agg(
-        F.count("weeks_to_benchmark").alias("stores_hit_bench"),
-        F.count(F.lit(1)).alias("stores_total"),
-        F.avg("weeks_to_benchmark").alias("avg_weeks_to_bench"))
-    pct = group_percentiles(ttb, [key], "weeks_to_benchmark",
-                            {"p50_weeks_to_bench": 0.5, "p90_weeks_to_bench": 0.9},
-                            max_bcast_rows=params.broadcast_max_rows)
-    return attach(counts, pct, [key], null_safe=True, max_rows=params.broadcast_max_rows).select(
+    return group_percentiles(
+        ttb, [key], "weeks_to_benchmark", {"p50_weeks_to_bench": 0.5, "p90_weeks_to_bench": 0.9},
+        extra_aggs=[F.count("weeks_to_benchmark").alias("stores_hit_bench"),
+                    F.count(F.lit(1)).alias("stores_total"),
+                    F.avg("weeks_to_benchmark").alias("avg_weeks_to_bench")],
+        max_bcast_rows=params.broadcast_max_rows).select(
         key, "stores_hit_bench", "stores_total", "avg_weeks_to_bench",
         "p50_weeks_to_bench", "p90_weeks_to_bench")

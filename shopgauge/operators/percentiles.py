@@ -31,30 +31,55 @@ ACCURACY = 10_000    # sketch rank error <= n / ACCURACY, well inside one grid s
 MARGIN = 3           # grid steps kept on each side of the target
 
 
-def group_percentiles(df: DataFrame, keys: list[str], value: str | Column,
-                      probs: dict[str, float], small_group: int = 200_000,
+def group_percentiles(df: DataFrame, keys: list[str], value: str | Column | None = None,
+                      probs: dict[str, float] | None = None, *,
+                      specs: list[tuple[str | Column, dict[str, float]]] | None = None,
+                      extra_aggs: list[Column] = (), small_group: int = 200_000,
                       max_rounds: int = 8, max_bcast_rows: int = 2_000_000,
                       stats: dict | None = None) -> DataFrame:
     """One row per group of ``df`` (groups whose values are all NULL included)
     with ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``name -> p``.
 
-    ``stats``, when given, receives ``groups`` (result rows) and ``largest``
-    (rows of the biggest group) from the sizing pass, so callers can
-    broadcast the result without counting it again.
+    ``specs`` lists several (value, probs) pairs; ``extra_aggs`` are further
+    aggregates of the same grouping (counts, means), computed in the same
+    pass when every group is small.  ``stats``, when given, receives
+    ``groups`` (result rows) and ``largest`` (rows of the biggest group), so
+    callers can broadcast the result without counting it again.
     """
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    data = df.select(*keys, v.alias("_v"))
-
+    specs = list(specs or []) + ([(value, probs)] if value is not None else [])
+    vcols = []
+    data = df
+    for i, (val, _) in enumerate(specs):
+        c = (F.col(val) if isinstance(val, str) else val).cast("double")
+        data = data.withColumn(f"_v{i}", c)
+        vcols.append(f"_v{i}")
+
+    sizes = data.groupBy(*keys).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(vcols)])
+    row = sizes.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(vcols))], F.lit(0)),
+                    F.count(F.lit(1))).first()
+    largest, groups = row[0], row[1]
+    if stats is not None:
+        stats.update(groups=groups, largest=largest)
+    if largest <= small_group:
+        aggs = [F.percentile(F.col(c), F.lit(float(p))).alias(n)
+                for c, (_, pr) in zip(vcols, specs) for n, p in pr.items()]
+        return data.groupBy(*keys).agg(*aggs, *extra_aggs)
+    out = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else None
+    for c, (_, pr) in zip(vcols, specs):
+        part = _one_value(data.select(*keys, F.col(c).alias("_v")), keys, pr, small_group,
+                          max_rounds, max_bcast_rows)
+        out = part if out is None else attach(out, part, keys, null_safe=True,
+                                              max_rows=max_bcast_rows)
+    return out
+
+
+def _one_value(data: DataFrame, keys: list[str], probs: dict[str, float], small_group: int,
+               max_rounds: int, max_bcast_rows: int) -> DataFrame:
     def exact(part: DataFrame) -> DataFrame:
         aggs = [F.percentile(F.col("_v"), F.lit(float(p))).alias(n) for n, p in probs.items()]
         return part.groupBy(*keys).agg(*aggs)
 
     sizes = data.groupBy(*keys).agg(F.count("_v").alias("_n"))
-    largest, groups = sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
-    if stats is not None:
-        stats.update(groups=groups, largest=largest)
-    if largest is None or largest <= small_group:
-        return exact(data)
     hot = broadcast_if_small(sizes.where(F.col("_n") > small_group), max_bcast_rows)
     if not keys:
         return _bracketed(data.where(F.col("_v").isNotNull()), hot, keys, probs,

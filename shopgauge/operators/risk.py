@@ -69,13 +69,12 @@ def watchlist(risk: DataFrame, params: Params = Params()) -> DataFrame:
 
 def region_risk_summary(wl: DataFrame, params: Params = Params()) -> DataFrame:
     """stores, mean score, watchlist count and share, revenue p10/p90 and their ratio."""
-    counts = wl.groupBy("region").agg(
-        F.count(F.lit(1)).alias("stores"),
-        money_avg("risk_score").alias("avg_risk_score"),
-        F.sum("is_watchlist").cast("bigint").alias("at_risk_cnt"))
-    pct = group_percentiles(wl, ["region"], "revenue90", {"p10_rev": 0.1, "p90_rev": 0.9},
-                            max_bcast_rows=params.broadcast_max_rows)
-    j = attach(counts, pct, ["region"], null_safe=True, max_rows=params.broadcast_max_rows)
+    j = group_percentiles(
+        wl, ["region"], "revenue90", {"p10_rev": 0.1, "p90_rev": 0.9},
+        extra_aggs=[F.count(F.lit(1)).alias("stores"),
+                    money_avg("risk_score").alias("avg_risk_score"),
+                    F.sum("is_watchlist").cast("bigint").alias("at_risk_cnt")],
+        max_bcast_rows=params.broadcast_max_rows)
     return j.select("region", "stores", "avg_risk_score", "at_risk_cnt",
                     (F.lit(100.0) * safe_div(F.col("at_risk_cnt"), F.col("stores"))).alias("at_risk_pct"),
                     "p10_rev", "p90_rev",

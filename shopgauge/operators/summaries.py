@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions.dates import days_between
 from ..functions.measures import fixed_avg, money_sum, ratio_of_sums, row_aov
-from .joins import attach
 from .percentiles import group_percentiles
 
 DIST_PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -17,11 +16,12 @@ DIST_PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 def aov_distribution(base: DataFrame, params: Params = Params()) -> DataFrame:
     """G1: row-level AOV per region: n, mean, population sd and five exact percentiles."""
     rows = base.select("region", row_aov().alias("aov"))
-    stats = rows.groupBy("region").agg(F.count("aov").alias("n"), fixed_avg("aov").alias("mean_aov"),
-                                       F.stddev_pop("aov").alias("sd_aov"))
-    pct = group_percentiles(rows, ["region"], "aov", DIST_PROBS,
-                            max_bcast_rows=params.broadcast_max_rows)
-    return attach(stats, pct, ["region"], null_safe=True, max_rows=params.broadcast_max_rows)
+    return group_percentiles(
+        rows, ["region"], "aov", DIST_PROBS,
+        extra_aggs=[F.count("aov").alias("n"), fixed_avg("aov").alias("mean_aov"),
+                    F.stddev_pop("aov").alias("sd_aov")],
+        max_bcast_rows=params.broadcast_max_rows).select(
+        "region", "n", "mean_aov", "sd_aov", *DIST_PROBS)
 
 
 def aov_histogram(base: DataFrame, params: Params = Params()) -> DataFrame:
@@ -97,10 +97,8 @@ def new_store_benchmarks(horizons: DataFrame, params: Params = Params()) -> Data
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    counts = long.groupBy("horizon_days").agg(F.count(F.lit(1)).alias("stores"))
-    meds = [group_percentiles(long, ["horizon_days"], c, {f"median_{c}": 0.5},
-                              max_bcast_rows=params.broadcast_max_rows) for c in ("rev", "tx", "aov")]
-    out = counts
-    for m in meds:
-        out = out.join(m, "horizon_days")
-    return out
+    return group_percentiles(
+        long, ["horizon_days"], specs=[(c, {f"median_{c}": 0.5}) for c in ("rev", "tx", "aov")],
+        extra_aggs=[F.count(F.lit(1)).alias("stores")],
+        max_bcast_rows=params.broadcast_max_rows).select(
+        "horizon_days", "stores", "median_rev", "median_tx", "median_aov")
