@@ -51,3 +51,16 @@ def export_views(views: dict[str, DataFrame], base_path: str) -> list[str]:
         write_stage(df, path)
         written.append(path)
     return written
+
+
+def balance(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute a scan that yields fewer splits than the cluster has cores.
+
+    A big table arrives in many splits and is returned untouched (no
+    shuffle).  A small file stored as one row group would otherwise run
+    every narrow stage after the scan - joins, flags, map-side partial
+    aggregation - in a single task.  Hash partitioning on a well-spread
+    key is deterministic, so a retried task sees the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import balance
 from .schemas import MONEY
 
 # Fixed values of the adapter: stores open on 1998-05-08 plus
@@ -60,9 +61,9 @@ def stores_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_quantity",
-                                           "l_extendedprice", "l_discount", "l_returnflag",
-                                           "l_shipdate"])
+    li = balance(_read(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_quantity",
+                                                   "l_extendedprice", "l_discount", "l_returnflag",
+                                                   "l_shipdate"]), "l_orderkey")
     ok = F.col("l_orderkey")
     # Exact money in integer cents: price (2 decimals) x (100 - discount
     # percent) is an exact count of 1/10000 units, rounded half away from

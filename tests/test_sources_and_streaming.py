@@ -55,8 +55,9 @@ def test_streaming_flags_match_batch(spark):
     sales = sales.withColumn("revenue", F.col("revenue").cast("decimal(18,2)"))
     sales.where("store_id % 2 = 0").write.mode("append").parquet(src)
     sales.where("store_id % 2 = 1").write.mode("append").parquet(src)
-    stream = flagging.flag_stream(flagging.read_sales_stream(spark, src, max_files_per_trigger=1),
-                                  stores, regions)
+    # history is replayed out of date order, so the watermark must cover all of it
+    stream = flagging.flag_stream(flagging.read_sales_stream(spark, src, max_files_per_trigger=4),
+                                  stores, regions, watermark="36500 days")
     q = stream.writeStream.format("memory").queryName("flagged_stream").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
