@@ -211,3 +211,16 @@ register("below_peer_heatmap")(lambda m: summaries.below_peer_heatmap(store_z(m)
 register("new_store_30_60_90")(new_store_horizons)
 register("new_store_benchmarks")(
     lambda m: summaries.new_store_benchmarks(new_store_horizons(m), m.params))
+
+
+def register_views(m: RetailModel) -> None:
+    """B12 + E10: the core views and the optional lifecycle views as temp views,
+    so the results can also be queried with ``spark.sql``."""
+    from ..operators import views
+    m.register()
+    views.register_views({
+        "v_store_weeks": store_weeks(m),
+        "v_cohort_ramp": lifecycle.cohort_ramp(store_weeks(m)),
+        "v_regional_ramp": lifecycle.regional_ramp(store_weeks(m)),
+        "v_time_to_benchmark": time_to_benchmark(m),
+    })

@@ -68,3 +68,14 @@ def test_streaming_flags_match_batch(spark):
     assert got.where("date IS NOT NULL").count() == exp_dated
     assert got.where("date IS NULL").count() == batch.where("date IS NULL").count()
     assert got.where("keep_core = 0").count() > 0
+
+
+def test_registered_views_are_queryable(spark):
+    from shopgauge.plans import catalog
+    m = RetailModel.from_testdata(spark, "/root/testdata/sf0.001")
+    catalog.register_views(m)
+    n = spark.sql("SELECT COUNT(*) AS n FROM v_sales_last90 WHERE keep_core = 1").first()["n"]
+    assert n == m.last90.count()
+    for v in ("v_stores", "v_regions", "v_sales_clean_alltime", "v_sales_anomalies",
+              "v_store_weeks", "v_cohort_ramp", "v_regional_ramp", "v_time_to_benchmark"):
+        assert spark.sql(f"SELECT COUNT(*) FROM {v}").first()[0] >= 0
