@@ -66,3 +66,35 @@ def test_keep_best_matches_row_number(spark):
         if k not in exp or key > exp[k][0]:
             exp[k] = (key, i)
     assert got == {k: v[1] for k, v in exp.items()}
+
+
+def test_fused_percentiles_with_extras_hot_path(spark):
+    df = spark.createDataFrame(_rows(3000, 13), "g string, v double, id long") \
+        .withColumn("w", F.col("id") % 17)
+    specs = [("v", {"pv50": 0.5, "pv90": 0.9}), ("w", {"pw10": 0.1})]
+    extra = [F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")]
+    a = {r["g"]: r.asDict() for r in group_percentiles(df, ["g"], specs=specs, extra_aggs=extra).collect()}
+    b = {r["g"]: r.asDict() for r in group_percentiles(df, ["g"], specs=specs, extra_aggs=extra,
+                                                       small_group=30).collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        for k, x in a[g].items():
+            y = b[g][k]
+            assert (x is None and y is None) or x == y or abs(x - y) < 1e-9, (g, k, x, y)
+
+
+def test_pipeline_hot_path_matches_plain(spark):
+    """The thresholds of the real cleaning stage through the bracketing path."""
+    from shopgauge.plans.stages import RetailModel
+    m = RetailModel.from_testdata(spark, "/root/testdata/sf0.001")
+    fl = m.flagged
+    probs = {"p01_rev": 0.01, "p99_rev": 0.99}
+    a = {(r["region"], None): (r["p01_rev"], r["p99_rev"])
+         for r in group_percentiles(fl, ["region"], "revenue", probs).collect()}
+    b = {(r["region"], r["date"]): (r["p01_rev"], r["p99_rev"])
+         for r in group_percentiles(fl.withColumn("date", F.lit(None).cast("date")), ["region", "date"],
+                                    "revenue", probs, small_group=50).collect()}
+    assert set(k[0] for k in a) == set(k[0] for k in b)
+    for (reg, _), (lo, hi) in a.items():
+        blo, bhi = b[(reg, None)]
+        assert abs(lo - blo) < 1e-6 and abs(hi - bhi) < 1e-6
