@@ -6,6 +6,7 @@ store-weeks …) are built once per model and reused as DataFrames.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators import kpi, lifecycle, regional, risk, summaries
@@ -14,12 +15,19 @@ from .stages import RetailModel
 
 
 def memo(fn):
+    """Build an intermediate once per model.  With ``share_intermediates`` the
+    result is also persisted (MEMORY_AND_DISK; lost blocks are recomputed from
+    the materialised ``sales_enriched``), as the reference's CTEs are reused by
+    several outputs while Spark would otherwise recompute each reference."""
     name = fn.__name__
 
     def wrapper(m: RetailModel) -> DataFrame:
         cache = m.__dict__.setdefault("_memo", {})
         if name not in cache:
-            cache[name] = fn(m)
+            df = fn(m)
+            if m.share_intermediates:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            cache[name] = df
         return cache[name]
     wrapper.__name__ = name
     return wrapper

@@ -23,9 +23,10 @@ from ..sources import files, tpch_adapter
 
 class RetailModel:
     def __init__(self, regions: DataFrame, stores: DataFrame, sales: DataFrame,
-                 params: Params = Params()):
+                 params: Params = Params(), share_intermediates: bool = False):
         self.regions, self.stores, self.sales = regions, stores, sales
         self.params = params
+        self.share_intermediates = share_intermediates
         self._enriched: DataFrame | None = None
 
     # ---- construction -------------------------------------------------
@@ -103,6 +104,12 @@ class RetailModel:
     def enriched_view(self) -> DataFrame:
         return views._visible(self.enriched)
 
+    def release(self) -> None:
+        """Unpersist shared intermediates (see ``share_intermediates``)."""
+        for df in self.__dict__.get("_memo", {}).values():
+            df.unpersist()
+        self.__dict__["_memo"] = {}
+
     def register(self) -> None:
         """Temp views named as in the reference."""
         views.register_views({
