@@ -21,7 +21,7 @@ def _date_range(df: DataFrame, start, end=None) -> DataFrame:
     return df.where(cond)
 
 
-def _visible(df: DataFrame) -> DataFrame:
+def visible(df: DataFrame) -> DataFrame:
     return df.drop(PARTITION_COLUMN) if PARTITION_COLUMN in df.columns else df
 
 
@@ -32,23 +32,23 @@ def sales_last90(enriched: DataFrame, params: Params = Params()) -> DataFrame:
     NULL dates never pass (T21).
     """
     end = params.as_of if params.closed_window else None
-    return _visible(_date_range(enriched, params.window_start, end).where(F.col("keep_core") == 1))
+    return visible(_date_range(enriched, params.window_start, end).where(F.col("keep_core") == 1))
 
 
 def sales_clean_alltime(enriched: DataFrame) -> DataFrame:
     """B10 ``v_sales_clean_alltime``."""
-    return _visible(enriched.where(F.col("keep_core") == 1))
+    return visible(enriched.where(F.col("keep_core") == 1))
 
 
 def sales_anomalies(enriched: DataFrame) -> DataFrame:
     """B11 ``v_sales_anomalies``: outside the core, or rule C (kept in core)."""
-    return _visible(enriched.where((F.col("keep_core") == 0) | (F.col("flag_rev_nonpos_txpos") == 1)))
+    return visible(enriched.where((F.col("keep_core") == 0) | (F.col("flag_rev_nonpos_txpos") == 1)))
 
 
 def current_quarter(clean_alltime: DataFrame, params: Params = Params()) -> DataFrame:
     """Rows from the start of the as-of quarter on (C9), no upper bound unless closed."""
     end = params.as_of if params.closed_window else None
-    return _visible(_date_range(clean_alltime, params.quarter_start, end))
+    return visible(_date_range(clean_alltime, params.quarter_start, end))
 
 
 def register_views(views: dict[str, DataFrame]) -> None:

@@ -36,10 +36,9 @@ def json_object(df: DataFrame, fields: list[str], name: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in fields]), JSON_OPTS).alias(name))
 
 
-def json_lines(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def json_lines(df: DataFrame) -> DataFrame:
     """Per-row JSON text (distributed; for sections that grow with the chain)."""
-    out = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), JSON_OPTS).alias("json"))
-    return out
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), JSON_OPTS).alias("json"))
 
 
 def _bounded_array(df, order, payload, name, max_rows):

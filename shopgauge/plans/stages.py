@@ -102,7 +102,7 @@ class RetailModel:
 
     @property
     def enriched_view(self) -> DataFrame:
-        return views._visible(self.enriched)
+        return views.visible(self.enriched)
 
     def release(self) -> None:
         """Unpersist shared intermediates (see ``share_intermediates``)."""

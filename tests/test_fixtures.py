@@ -1,7 +1,6 @@
 """Hand-written fixtures with expected results (FIXTURES.md #1-#46)."""
 
 import json
-import math
 from datetime import date
 
 import pytest
@@ -320,3 +319,44 @@ def test_json_array_empty_is_null_and_keeps_null_fields(spark):
     one = spark.createDataFrame([(1, None), (0, "z")], "a long, b string")
     got = json.loads(bundles.json_array(one, [F.col("a")], ["a", "b"], "x").first()["x"])
     assert got == [{"a": 0, "b": "z"}, {"a": 1, "b": None}]
+
+
+# ---- opt-in fixes of the reference traps ------------------------------------------
+def test_prefer_core_keeps_the_good_row(spark):
+    d = D("2024-01-01")
+    f = flagged(spark, [(1, d, 100, 0), (1, d, 50, 2)])
+    p = Params(prefer_core=True)
+    r = cleaning.sales_dedup(cleaning.sales_cleaned(f, cleaning.rev_thresholds(f, p), p), p).collect()
+    assert len(r) == 1 and r[0]["keep_core"] == 1 and r[0]["transactions"] == 2  # T5 fixed
+
+
+def test_thresholds_on_core_only(spark):
+    d = D("2024-01-01")
+    rows = [(1, d, 10, 1), (1, d, 20, 1), (1, d, 30, 1), (1, d, 1000, 0)]
+    f = flagged(spark, rows)
+    ref = cleaning.rev_thresholds(f).first()
+    fix = cleaning.rev_thresholds(f, Params(thresholds_on_core_only=True)).first()
+    assert fix["p99_rev"] == pytest.approx(29.8) and ref["p99_rev"] > 29.8  # T3
+
+
+def test_whole_weeks_groups_across_monday(spark):
+    cv = _clean_view(spark, [(D("2024-01-07"), 1.0, 1), (D("2024-01-08"), 2.0, 1)])
+    sw = lifecycle.store_weeks(cv, Params(whole_weeks=True)).collect()
+    assert len(sw) == 1 and sw[0]["week_revenue"] == 3.0 and sw[0]["week"] == D("2024-01-01")  # T11
+
+
+def test_weekly_benchmark_scales_tx_median(spark):
+    weeks = spark.createDataFrame([(1, "N", D("2024-01-01"), 0, 10.0, 10)],
+                                  "store_id long, region string, cohort_month date, weeks_since_open int, "
+                                  "week_aov double, week_tx long")
+    med = spark.createDataFrame([(5.0, 91.0)], "median_aov90_store double, median_tx90_store double")
+    assert lifecycle.ttb_flagged(weeks, med).first()["meets_benchmark"] == 0
+    assert lifecycle.ttb_flagged(weeks, med, Params(weekly_benchmark=True)).first()["meets_benchmark"] == 1
+
+
+def test_risk_weights_are_parameters(spark):
+    df = spark.createDataFrame([(1, "N", 1.0, 1, 1.0, -1.0, 0.0, 0.0, 1)],
+                               "store_id long, region string, revenue90 double, tx90 long, aov90 double, "
+                               "z_rev double, z_tx double, z_aov double, q_rev_in_region int")
+    r = risk.store_risk(df, Params(weights=(1.0, 0.0, 0.0))).first()
+    assert r["raw_risk"] == pytest.approx(1.0) and r["risk_score"] == 73.1
