@@ -71,7 +71,8 @@ def rev_thresholds(flagged: DataFrame, params: Params = Params(),
         src = flagged.where(core_rule() == 1)
     pct = group_percentiles(src, ["region", "date"], "revenue",
                             {"p01_rev": params.winsor_lo, "p99_rev": params.winsor_hi},
-                            max_bcast_rows=params.broadcast_max_rows, stats=stats)
+                            max_bcast_rows=params.broadcast_max_rows, stats=stats,
+                            small_group=params.hot_group_rows)
     return pct.select("region", "date", *[money(c).alias(c) for c in ("p01_rev", "p99_rev")])
 
 

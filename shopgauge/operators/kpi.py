@@ -85,7 +85,7 @@ def quarter_kpis(quarter: DataFrame) -> DataFrame:
             .agg(*kpi_aggs(names=("q_rev", "q_tx", "q_aov"))))
 
 
-def quarter_league(qk: DataFrame) -> DataFrame:
+def quarter_league(qk: DataFrame, params: Params = Params()) -> DataFrame:
     """Quartiles within region by q_rev, q_aov and q_tx (1 = best).
 
     DESC sorts NULLs first as PostgreSQL does; store_id breaks ties.
@@ -94,7 +94,8 @@ def quarter_league(qk: DataFrame) -> DataFrame:
         return [F.col(c).desc_nulls_first(), F.col("store_id")]
     return add_ntiles(qk, ["region"], {"quartile_by_rev": (4, by("q_rev")),
                                        "quartile_by_aov": (4, by("q_aov")),
-                                       "quartile_by_tx": (4, by("q_tx"))})
+                                       "quartile_by_tx": (4, by("q_tx"))},
+                       small_group=params.hot_group_rows)
 
 
 def lifecycle_kpis(base: DataFrame) -> DataFrame:

@@ -42,7 +42,8 @@ def network_medians(totals: DataFrame, params: Params = Params()) -> DataFrame:
     """Medians over stores of aov90 and tx90 (NULLs ignored; one row)."""
     return group_percentiles(totals, [], specs=[("aov90", {"median_aov90_store": 0.5}),
                                                 ("tx90", {"median_tx90_store": 0.5})],
-                             max_bcast_rows=params.broadcast_max_rows)
+                             max_bcast_rows=params.broadcast_max_rows,
+                             small_group=params.hot_group_rows)
 
 
 def ttb_flagged(weeks: DataFrame, medians: DataFrame, params: Params = Params()) -> DataFrame:
@@ -94,6 +95,6 @@ def ttb_summary(ttb: DataFrame, key: str, params: Params = Params()) -> DataFram
         extra_aggs=[F.count("weeks_to_benchmark").alias("stores_hit_bench"),
                     F.count(F.lit(1)).alias("stores_total"),
                     F.avg("weeks_to_benchmark").alias("avg_weeks_to_bench")],
-        max_bcast_rows=params.broadcast_max_rows).select(
+        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
         key, "stores_hit_bench", "stores_total", "avg_weeks_to_bench",
         "p50_weeks_to_bench", "p90_weeks_to_bench")

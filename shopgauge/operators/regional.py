@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Params
 from ..functions.measures import fixed_avg, kpi_aggs, money_avg, safe_div
 from .kpi import regression
 from .ranking import add_ntiles
@@ -32,11 +33,12 @@ def _per_capita() -> F.Column:
     return F.when(F.col("population") > 0, F.col("revenue") / F.col("population"))
 
 
-def region_income_bins(ra: DataFrame) -> DataFrame:
+def region_income_bins(ra: DataFrame, params: Params = Params()) -> DataFrame:
     """D3: per-capita revenue and income quintile (NTILE(5) by income ASC, NULLs last)."""
     out = ra.withColumn("revenue_per_capita", _per_capita())
     return add_ntiles(out, [], {"income_quintile": (
-        5, [F.col("avg_income").asc_nulls_last(), F.col("region")])}).select(
+        5, [F.col("avg_income").asc_nulls_last(), F.col("region")])},
+        small_group=params.hot_group_rows).select(
         "region", "revenue", "transactions", "aov", "population", "avg_income",
         "revenue_per_capita", "income_quintile")
 
@@ -80,10 +82,11 @@ def income_quintile_summary(bins: DataFrame) -> DataFrame:
         fixed_avg("revenue_per_capita").alias("bin_avg_rev_per_capita"))
 
 
-def population_bins(ra: DataFrame) -> DataFrame:
+def population_bins(ra: DataFrame, params: Params = Params()) -> DataFrame:
     """Population tercile, NTILE(3) by population ASC (NULLs last)."""
     return add_ntiles(ra, [], {"population_tercile": (
-        3, [F.col("population").asc_nulls_last(), F.col("region")])})
+        3, [F.col("population").asc_nulls_last(), F.col("region")])},
+        small_group=params.hot_group_rows)
 
 
 def population_tercile_summary(pb: DataFrame) -> DataFrame:

@@ -32,13 +32,14 @@ def store_z(totals: DataFrame, stats: DataFrame, params: Params = Params()) -> D
                     z_score("aov90", "avg_aov_reg", "sd_aov_reg").alias("z_aov"))
 
 
-def store_league(z: DataFrame) -> DataFrame:
+def store_league(z: DataFrame, params: Params = Params()) -> DataFrame:
     """quartiles and deciles within region (DESC, NULLs first; store_id breaks ties)."""
     def by(c):
         return [F.col(c).desc_nulls_first(), F.col("store_id")]
     return add_ntiles(z, ["region"], {
         "q_rev_in_region": (4, by("revenue90")), "d_rev_in_region": (10, by("revenue90")),
-        "q_aov_in_region": (4, by("aov90")), "q_tx_in_region": (4, by("tx90"))})
+        "q_aov_in_region": (4, by("aov90")), "q_tx_in_region": (4, by("tx90"))},
+        small_group=params.hot_group_rows)
 
 
 def store_risk(league: DataFrame, params: Params = Params()) -> DataFrame:
@@ -74,7 +75,7 @@ def region_risk_summary(wl: DataFrame, params: Params = Params()) -> DataFrame:
         extra_aggs=[F.count(F.lit(1)).alias("stores"),
                     money_avg("risk_score").alias("avg_risk_score"),
                     F.sum("is_watchlist").cast("bigint").alias("at_risk_cnt")],
-        max_bcast_rows=params.broadcast_max_rows)
+        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows)
     return j.select("region", "stores", "avg_risk_score", "at_risk_cnt",
                     (F.lit(100.0) * safe_div(F.col("at_risk_cnt"), F.col("stores"))).alias("at_risk_pct"),
                     "p10_rev", "p90_rev",

@@ -20,7 +20,7 @@ def aov_distribution(base: DataFrame, params: Params = Params()) -> DataFrame:
         rows, ["region"], "aov", DIST_PROBS,
         extra_aggs=[F.count("aov").alias("n"), fixed_avg("aov").alias("mean_aov"),
                     F.stddev_pop("aov").alias("sd_aov")],
-        max_bcast_rows=params.broadcast_max_rows).select(
+        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
         "region", "n", "mean_aov", "sd_aov", *DIST_PROBS)
 
 
@@ -100,5 +100,5 @@ def new_store_benchmarks(horizons: DataFrame, params: Params = Params()) -> Data
     return group_percentiles(
         long, ["horizon_days"], specs=[(c, {f"median_{c}": 0.5}) for c in ("rev", "tx", "aov")],
         extra_aggs=[F.count(F.lit(1)).alias("stores")],
-        max_bcast_rows=params.broadcast_max_rows).select(
+        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
         "horizon_days", "stores", "median_rev", "median_tx", "median_aov")

@@ -65,7 +65,7 @@ def kpi_bundle(m: RetailModel, max_rows: int = 100_000) -> DataFrame:
     reg = kpi.REGION_COLS
     st = kpi.STORE_COLS
     kcols = ["revenue", "transactions", "aov"]
-    league = kpi.quarter_league(catalog.quarter_kpis(m))
+    league = kpi.quarter_league(catalog.quarter_kpis(m), m.params)
     return _one_row([
         ex,
         json_array(kpi.top_regions(rk, m.params.top_regions),
@@ -178,7 +178,7 @@ def risk_bundle(m: RetailModel, max_rows: int = 100_000) -> DataFrame:
 def store_sections(m: RetailModel) -> dict[str, DataFrame]:
     """The per-store bundle sections as distributed JSON lines (no size limit)."""
     return {
-        "store_league": json_lines(kpi.quarter_league(catalog.quarter_kpis(m)).select(
+        "store_league": json_lines(kpi.quarter_league(catalog.quarter_kpis(m), m.params).select(
             "region", "store_id", "q_rev", "q_aov", "q_tx", "quartile_by_rev", "quartile_by_aov",
             "quartile_by_tx")),
         "store_time_to_benchmark": json_lines(catalog.time_to_benchmark(m).select(

@@ -68,7 +68,7 @@ register("weekday_seasonality")(lambda m: kpi.weekday_seasonality(m.last90))
 register("daily_trend")(lambda m: kpi.daily_trend(m.last90))
 register("weekly_trend")(lambda m: kpi.weekly_trend(m.last90))
 register("quarter_kpis")(quarter_kpis)
-register("quarter_league")(lambda m: kpi.quarter_league(quarter_kpis(m)))
+register("quarter_league")(lambda m: kpi.quarter_league(quarter_kpis(m), m.params))
 register("lifecycle_kpis")(lambda m: kpi.lifecycle_kpis(m.last90))
 register("aov_by_region")(lambda m: kpi.aov_by_region(m.last90))
 register("income_vs_aov")(income_vs_aov)
@@ -92,12 +92,12 @@ def network_bench(m):
 
 @memo
 def region_income_bins(m):
-    return regional.region_income_bins(region_agg(m))
+    return regional.region_income_bins(region_agg(m), m.params)
 
 
 @memo
 def population_bins(m):
-    return regional.population_bins(region_agg(m))
+    return regional.population_bins(region_agg(m), m.params)
 
 
 register("region_agg")(region_agg)
@@ -174,7 +174,7 @@ def store_z(m):
 
 @memo
 def store_league(m):
-    return risk.store_league(store_z(m))
+    return risk.store_league(store_z(m), m.params)
 
 
 @memo
