@@ -54,9 +54,10 @@ def group_percentiles(df: DataFrame, keys: list[str], value: str | Column | None
         data = data.withColumn(f"_v{i}", c)
         vcols.append(f"_v{i}")
 
-    sizes = data.groupBy(*keys).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(vcols)])
-    row = sizes.agg(F.greatest(*[F.max(f"_n{i}") for i in range(len(vcols))], F.lit(0)),
-                    F.count(F.lit(1))).first()
+    # rows per group bound every value column's count, and counting rows lets
+    # the scan skip the columns the values are computed from
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    row = sizes.agg(F.coalesce(F.max("_rows"), F.lit(0)), F.count(F.lit(1))).first()
     largest, groups = row[0], row[1]
     if stats is not None:
         stats.update(groups=groups, largest=largest)
