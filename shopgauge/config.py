@@ -8,7 +8,7 @@ the ``*_fix`` style switches are opt-in corrections of its known traps.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 # Fixed values that must equal the reference for identical results:
@@ -54,7 +54,8 @@ class Params:
     # Groups above this many rows take the distributed hot-group plans
     # (bracketed percentiles, sort-based NTILE) instead of one task per group.
     hot_group_rows: int = 200_000
-    extra: dict = field(default_factory=dict)
+    # Carry the uncapped revenue as revenue_raw through to the views
+    keep_raw_revenue: bool = False
 
     @property
     def window_start(self) -> date:

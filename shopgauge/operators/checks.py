@@ -14,10 +14,14 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         c = F.col(k).isNull()
         any_null = c if any_null is None else any_null | c
-    dup = (df.where(~any_null).groupBy(*keys).count().where(F.col("count") > 1)
-           .agg(F.count(F.lit(1)).alias("cnt")).select(F.lit("DUPLICATE_KEY").alias("issue"), "cnt"))
-    nul = df.agg(F.count_if(any_null).alias("cnt")).select(F.lit("NULL_KEY").alias("issue"), "cnt")
-    return dup.unionByName(nul)
+    # one pass: rows per key, then both counts from that small table
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    both = per_key.agg(F.count_if(~any_null & (F.col("_c") > 1)).alias("dup"),
+                       F.coalesce(F.sum(F.when(any_null, F.col("_c"))), F.lit(0)).alias("nul"))
+    return both.select(F.explode(F.array(
+        F.struct(F.lit("DUPLICATE_KEY").alias("issue"), F.col("dup").cast("bigint").alias("cnt")),
+        F.struct(F.lit("NULL_KEY").alias("issue"), F.col("nul").cast("bigint").alias("cnt")))).alias("r")
+    ).select("r.issue", "r.cnt")
 
 
 def check_missing_region(stores: DataFrame, regions: DataFrame) -> DataFrame:

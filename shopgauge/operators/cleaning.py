@@ -95,11 +95,9 @@ def sales_cleaned(flagged: DataFrame, thresholds: DataFrame, params: Params = Pa
                known_rows=threshold_rows)
     capped = winsorize(F.col("revenue"), F.col("p01_rev"), F.col("p99_rev"))
     cols = [F.col(c) for c in CLEANED_COLUMNS if c not in ("revenue_capped", "keep_core")]
-    out = j.select(*cols[:7], capped.alias("revenue_capped"), *cols[7:],
-                   core_rule().alias("keep_core"))
-    if keep_raw:
-        out = out.withColumn("revenue_raw", j["revenue"])
-    return out
+    raw = [F.col("revenue").alias("revenue_raw")] if keep_raw else []
+    return j.select(*cols[:7], capped.alias("revenue_capped"), *cols[7:],
+                    core_rule().alias("keep_core"), *raw)
 
 
 def sales_dedup(cleaned: DataFrame, params: Params = Params()) -> DataFrame:
@@ -137,4 +135,5 @@ def derive(dedup: DataFrame) -> DataFrame:
         F.greatest(days, F.lit(0)).alias("store_age_days"),
         age_bucket(days).alias("store_age_bucket"),
         F.when(pop > 0, rev / pop.cast("double")).alias("rev_per_capita"),
-    ).select(*ENRICHED_COLUMNS)
+        *(["revenue_raw"] if "revenue_raw" in dedup.columns else []),
+    ).select(*ENRICHED_COLUMNS, *(["revenue_raw"] if "revenue_raw" in dedup.columns else []))

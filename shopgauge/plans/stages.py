@@ -56,6 +56,7 @@ class RetailModel:
     def cleaned(self) -> DataFrame:
         th = self.thresholds
         return cleaning.sales_cleaned(self.flagged, th, self.params,
+                                      keep_raw=self.params.keep_raw_revenue,
                                       threshold_rows=self._threshold_stats.get("groups"))
 
     @cached_property

@@ -360,3 +360,20 @@ def test_risk_weights_are_parameters(spark):
                                "z_rev double, z_tx double, z_aov double, q_rev_in_region int")
     r = risk.store_risk(df, Params(weights=(1.0, 0.0, 0.0))).first()
     assert r["raw_risk"] == pytest.approx(1.0) and r["risk_score"] == 73.1
+
+
+def test_raw_revenue_kept_for_anomaly_view(spark):
+    from shopgauge.plans.stages import RetailModel
+    d = D("2024-01-01")
+    rows = [(1, d, 10, 1), (1, d, 20, 1), (1, d, 30, 1), (1, D("2024-01-02"), -5, 3)]
+    m = RetailModel(regions(spark), stores(spark), sales(spark, rows),
+                    Params(as_of=D("2024-01-31"), keep_raw_revenue=True))
+    an = m.anomalies.collect()
+    assert len(an) == 1 and an[0]["revenue_raw"] == -5.0 and an[0]["flag_rev_nonpos_txpos"] == 1
+    assert "revenue_raw" in m.enriched_view.columns
+
+
+def test_check_unique_counts_duplicates_and_nulls(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (3,), (3,), (3,)], "k long")
+    got = {r["issue"]: r["cnt"] for r in checks.check_unique(df, ["k"]).collect()}
+    assert got == {"DUPLICATE_KEY": 2, "NULL_KEY": 2}
