@@ -3,8 +3,9 @@
 The cleaning stages run from the raw tables once and ``sales_enriched``
 is written as parquet partitioned by month (the design's persist point);
 every other query then reads that table.  Each query is executed fully
-(``noop`` sink) and timed, including its planning-time size checks.
-Prints one JSON line.
+(``noop`` sink) and timed, including its planning-time size checks
+(``queries``, cold), then once more (``queries_warm``).  ``value`` is the
+cold total.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -56,12 +57,23 @@ def main() -> None:
         run(fn(model))
         times[name] = round(time.time() - t0, 3)
 
+    # warm: the same queries again (plans, size checks and shared intermediates exist)
+    warm: dict[str, float] = {}
+    for name, fn in QUERIES.items():
+        if name in CLEANING:
+            continue
+        t0 = time.time()
+        run(fn(model))
+        warm[name] = round(time.time() - t0, 3)
+
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "total_seconds_all_queries",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "queries_warm": warm,
+        "warm_total": round(sum(warm.values()), 3),
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": cpus,
         "queries_run": len(times),
