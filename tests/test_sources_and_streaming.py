@@ -79,3 +79,18 @@ def test_registered_views_are_queryable(spark):
     for v in ("v_stores", "v_regions", "v_sales_clean_alltime", "v_sales_anomalies",
               "v_store_weeks", "v_cohort_ramp", "v_regional_ramp", "v_time_to_benchmark"):
         assert spark.sql(f"SELECT COUNT(*) FROM {v}").first()[0] >= 0
+
+
+def test_every_query_runs_on_empty_sales(spark):
+    from shopgauge.plans import bundles, catalog  # noqa: F401
+    from shopgauge.plans.registry import QUERIES
+    d = tempfile.mkdtemp(dir="/tmp")
+    r = _write(d, "regions.csv", "region,population,avg_income\nNorth,10,5\n")
+    s = _write(d, "stores.csv", "store_id,city,region,opening_date\n1,a,North,2024-01-01\n")
+    sa = _write(d, "sales.csv", "store_id,date,revenue,transactions\n")
+    m = RetailModel.from_csv(spark, r, s, sa, Params(as_of=date(2024, 3, 31)))
+    for name, fn in QUERIES.items():
+        rows = fn(m).collect()
+        assert isinstance(rows, list), name
+    kb = QUERIES["kpi_bundle"](m).first()
+    assert kb["top5_regions_by_aov"] is None and kb["exec_total_revenue"] is None
