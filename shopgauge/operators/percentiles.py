@@ -27,6 +27,7 @@ from ..session import cut_lineage
 from .joins import attach, broadcast_if_small
 
 GRID = 1000          # sketch probabilities 0, 1/GRID, ..., 1
+SKETCH_ROW_FACTOR = 200  # a sketch row (1001 doubles) weighs ~200 narrow rows
 ACCURACY = 10_000    # sketch rank error <= n / ACCURACY, well inside one grid step
 MARGIN = 3           # grid steps kept on each side of the target
 
@@ -123,7 +124,8 @@ def _bracketed(rows: DataFrame, hot: DataFrame, keys: list[str], probs: dict[str
     # round 1: one sketch per group serves every target of the group
     sk = rows.groupBy(*keys).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_g"))
     lo, hi = _bounds(F.col("_g"))
-    bounds = attach(targets, sk, keys, null_safe=True, max_rows=max_bcast_rows).select(
+    wide = max(1, max_bcast_rows // SKETCH_ROW_FACTOR)  # broadcast bound for sketch rows
+    bounds = attach(targets, sk, keys, null_safe=True, max_rows=wide).select(
         *keys, "_n", "_t", "_k", "_below", lo.alias("_lo"), hi.alias("_hi"))
     tagged = attach(rows, bounds, keys, null_safe=True, max_rows=max_bcast_rows)
     counts = tagged.groupBy(*keys, "_t").agg(
@@ -143,7 +145,7 @@ def _bracketed(rows: DataFrame, hot: DataFrame, keys: list[str], probs: dict[str
                      max_rows=max_bcast_rows)
               .groupBy(*ok).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_g")))
         lo, hi = _bounds(F.col("_g"))
-        nb = attach(open_, sk, ok, null_safe=True, max_rows=max_bcast_rows).select(
+        nb = attach(open_, sk, ok, null_safe=True, max_rows=wide).select(
             *keys, "_n", "_t", "_k", "_below", lo.alias("_nlo"), hi.alias("_nhi"))
         tagged = attach(cand, nb, ok, null_safe=True, max_rows=max_bcast_rows)
         counts = tagged.groupBy(*ok).agg(
