@@ -94,3 +94,17 @@ def test_every_query_runs_on_empty_sales(spark):
         assert isinstance(rows, list), name
     kb = QUERIES["kpi_bundle"](m).first()
     assert kb["top5_regions_by_aov"] is None and kb["exec_total_revenue"] is None
+
+
+def test_cli_writes_every_report_table(spark):
+    from shopgauge import cli
+    from shopgauge.plans.reports import REPORTS
+    out = tempfile.mkdtemp(dir="/tmp")
+    written = cli.main(["--testdata", "/root/testdata/sf0.001", "--out", out])
+    assert len(written) == 44 and len(REPORTS) == 5  # 10 + 12 + 6 + 10 + 6 tables
+    names = {p.split(out + "/", 1)[1] for p in written}
+    assert {"kpi/kpi_bundle", "risk/store_league_risk", "lifecycle/ttb_region_summary",
+            "regional/revenue_decomposition", "cleaning/sales_enriched"} <= names
+    assert spark.read.parquet(f"{out}/kpi/kpi_bundle").count() == 1
+    assert spark.read.parquet(f"{out}/risk/store_league_risk").count() == \
+        spark.read.parquet(f"{out}/risk/region_risk_summary").agg({"stores": "sum"}).first()[0]
