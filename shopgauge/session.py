@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
-                  app: str = "shopgauge", driver_memory: str = "16g") -> SparkSession:
+                  app: str = "shopgauge", driver_memory: str = "16g",
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the benchmark; gets its own checkpoint folder."""
     scratch = tempfile.mkdtemp(prefix="shopgauge-ckpt-", dir="/tmp")
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .config("spark.checkpoint.dir", scratch)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
