@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from .config import Params
 from .plans.reports import REPORTS
 from .plans.stages import RetailModel
+from .session import tune_for_scale
 from .sources.files import export_views
 
 
@@ -31,9 +32,13 @@ def main(argv: list[str] | None = None) -> list[str]:
     ap.add_argument("--out", required=True)
     ap.add_argument("--reports", default=",".join(REPORTS))
     ap.add_argument("--closed-window", action="store_true")
+    ap.add_argument("--fact-gb", type=float,
+                    help="compressed size of the sales input; sizes shuffle partitions")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("shopgauge").getOrCreate()
+    if args.fact_gb:
+        tune_for_scale(spark, int(args.fact_gb * 2**30))
     if args.testdata:
         m = RetailModel.from_testdata(spark, args.testdata)
         if args.as_of:

@@ -81,3 +81,26 @@ def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None =
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.parquet(path)
+
+
+def tune_for_scale(spark: SparkSession, fact_bytes: int, target_partition_mb: int = 256) -> dict:
+    """Set the runtime SQL options for a fact table of ``fact_bytes`` (compressed).
+
+    Shuffle partitions are sized so one partition holds ~``target_partition_mb``
+    (shuffle data is about the size of the pruned input), never fewer than the
+    cluster's cores; AQE coalesces what turns out smaller and splits skewed
+    partitions of joins.  Returns the settings it applied.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, int(fact_bytes // (target_partition_mb * 2**20)) + 1)
+    settings = {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return settings

@@ -108,3 +108,15 @@ def test_cli_writes_every_report_table(spark):
     assert spark.read.parquet(f"{out}/kpi/kpi_bundle").count() == 1
     assert spark.read.parquet(f"{out}/risk/store_league_risk").count() == \
         spark.read.parquet(f"{out}/risk/region_risk_summary").agg({"stores": "sum"}).first()[0]
+
+
+def test_tune_for_scale_sizes_partitions(spark):
+    from shopgauge.session import tune_for_scale
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        s = tune_for_scale(spark, 100 * 2**40)          # 100 TB
+        assert int(s["spark.sql.shuffle.partitions"]) == 409601
+        s = tune_for_scale(spark, 10 * 2**20)           # 10 MB: never fewer than the cores
+        assert int(s["spark.sql.shuffle.partitions"]) == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
