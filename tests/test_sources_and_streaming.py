@@ -115,7 +115,9 @@ def test_tune_for_scale_sizes_partitions(spark):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         s = tune_for_scale(spark, 100 * 2**40)          # 100 TB
-        assert int(s["spark.sql.shuffle.partitions"]) == 409601
+        assert int(s["spark.sql.shuffle.partitions"]) == 50_000          # capped
+        s = tune_for_scale(spark, 1 * 2**40)            # 1 TB
+        assert int(s["spark.sql.shuffle.partitions"]) == 4097
         s = tune_for_scale(spark, 10 * 2**20)           # 10 MB: never fewer than the cores
         assert int(s["spark.sql.shuffle.partitions"]) == spark.sparkContext.defaultParallelism
     finally:
