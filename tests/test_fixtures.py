@@ -1,5 +1,6 @@
 """Hand-written fixtures with expected results (FIXTURES.md #1-#46)."""
 
+import decimal
 import json
 from datetime import date
 
@@ -15,7 +16,7 @@ D = date.fromisoformat
 
 
 def regions(spark, rows=(("North", 1000, 2000.0),)):
-    return spark.createDataFrame([(r, p, None if i is None else __import__("decimal").Decimal(str(i)))
+    return spark.createDataFrame([(r, p, None if i is None else decimal.Decimal(str(i)))
                                   for r, p, i in rows], schemas.REGIONS)
 
 
@@ -24,7 +25,6 @@ def stores(spark, rows=((1, "c", "North", D("2020-01-01")),)):
 
 
 def sales(spark, rows):
-    import decimal
     return spark.createDataFrame(
         [(s, d, None if r is None else decimal.Decimal(str(r)), t) for s, d, r, t in rows],
         schemas.SALES)
