@@ -68,3 +68,13 @@ def test_shuffle_joins_match_oracle(spark, con, name):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["sales_enriched", "weekly_trend", "store_weeks", "new_store_30_60_90"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        _check(RetailModel.from_testdata(spark, SF), con, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
