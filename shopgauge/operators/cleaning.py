@@ -15,12 +15,18 @@ from .percentiles import group_percentiles
 
 
 def enrich(sales: DataFrame, stores: DataFrame, regions: DataFrame,
-           params: Params = Params()) -> DataFrame:
-    """B1: sales × stores × regions, inner joins (unknown stores and regions drop out)."""
-    st = broadcast_if_small(stores.select("store_id", "region", "opening_date"),
-                            params.broadcast_max_rows)
-    rg = broadcast_if_small(regions.select("region", "population", "avg_income"),
-                            params.broadcast_max_rows)
+           params: Params = Params(), dim_rows: dict | None = None) -> DataFrame:
+    """B1: sales × stores × regions, inner joins (unknown stores and regions drop out).
+
+    ``dim_rows`` holds row counts of the dimensions already proven by the caller.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        n = (dim_rows or {}).get(name)
+        if n is None:
+            return broadcast_if_small(df, params.broadcast_max_rows)
+        return F.broadcast(df) if n <= params.broadcast_max_rows else df
+    st = side(stores.select("store_id", "region", "opening_date"), "stores")
+    rg = side(regions.select("region", "population", "avg_income"), "regions")
     return (sales.join(st, "store_id").join(rg, "region")
             .select("store_id", "date", F.col("revenue").cast("double").alias("revenue"),
                     "transactions", "region", "opening_date", "population", "avg_income"))
@@ -39,9 +45,9 @@ def flag_anomalies(df: DataFrame) -> DataFrame:
 
 
 def sales_flagged(sales: DataFrame, stores: DataFrame, regions: DataFrame,
-                  params: Params = Params()) -> DataFrame:
+                  params: Params = Params(), dim_rows: dict | None = None) -> DataFrame:
     """B1 + B2 (``stg.sales_flagged``)."""
-    return flag_anomalies(enrich(sales, stores, regions, params))
+    return flag_anomalies(enrich(sales, stores, regions, params, dim_rows))
 
 
 def core_rule() -> F.Column:

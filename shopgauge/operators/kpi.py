@@ -49,9 +49,11 @@ def region_bench(stores: DataFrame) -> DataFrame:
     )
 
 
-def stores_vs_region(stores: DataFrame, bench: DataFrame, params: Params = Params()) -> DataFrame:
+def stores_vs_region(stores: DataFrame, bench: DataFrame, params: Params = Params(),
+                     region_rows: int | None = None) -> DataFrame:
     """Gaps and z-scores of each store against its region's peers."""
-    j = attach(stores, bench, ["region"], max_rows=params.broadcast_max_rows)
+    j = attach(stores, bench, ["region"], max_rows=params.broadcast_max_rows,
+               known_rows=region_rows)
     return j.select(
         "store_id", "region", "revenue", "transactions", "aov",
         "avg_rev_store", "avg_aov_store", "avg_tx_store",
@@ -108,10 +110,12 @@ def aov_by_region(base: DataFrame) -> DataFrame:
     return base.groupBy("region").agg(fixed_avg(row_aov()).alias("avg_aov"))
 
 
-def income_vs_aov(aov_region: DataFrame, regions: DataFrame, params: Params = Params()) -> DataFrame:
+def income_vs_aov(aov_region: DataFrame, regions: DataFrame, params: Params = Params(),
+                  region_rows: int | None = None) -> DataFrame:
     """Region income beside its mean daily AOV (scatter data)."""
     r = regions.select("region", F.col("avg_income").cast("double").alias("avg_income"))
-    return attach(aov_region, r, ["region"], max_rows=params.broadcast_max_rows).select(
+    return attach(aov_region, r, ["region"], max_rows=params.broadcast_max_rows,
+                  known_rows=region_rows).select(
         "region", "avg_income", "avg_aov")
 
 

@@ -23,9 +23,11 @@ def region_stats(totals: DataFrame) -> DataFrame:
         fixed_avg("aov90").alias("avg_aov_reg"), F.stddev_pop("aov90").alias("sd_aov_reg"))
 
 
-def store_z(totals: DataFrame, stats: DataFrame, params: Params = Params()) -> DataFrame:
+def store_z(totals: DataFrame, stats: DataFrame, params: Params = Params(),
+            region_rows: int | None = None) -> DataFrame:
     """F2: store z-scores against region peers; NULL when the sd is 0."""
-    j = attach(totals, stats, ["region"], max_rows=params.broadcast_max_rows)
+    j = attach(totals, stats, ["region"], max_rows=params.broadcast_max_rows,
+               known_rows=region_rows)
     return j.select("store_id", "region", *TOTALS,
                     z_score("revenue90", "avg_rev_reg", "sd_rev_reg").alias("z_rev"),
                     z_score("tx90", "avg_tx_reg", "sd_tx_reg").alias("z_tx"),

@@ -41,7 +41,8 @@ def store_kpis(m):
 
 @memo
 def stores_vs_region(m):
-    return kpi.stores_vs_region(store_kpis(m), kpi.region_bench(store_kpis(m)), m.params)
+    return kpi.stores_vs_region(store_kpis(m), kpi.region_bench(store_kpis(m)), m.params,
+                                m.dim_rows["regions"])
 
 
 @memo
@@ -51,7 +52,8 @@ def regional_kpis(m):
 
 @memo
 def income_vs_aov(m):
-    return kpi.income_vs_aov(kpi.aov_by_region(m.last90), m.regions, m.params)
+    return kpi.income_vs_aov(kpi.aov_by_region(m.last90), m.regions, m.params,
+                             m.dim_rows["regions"])
 
 
 @memo
@@ -169,7 +171,8 @@ def store_totals90(m):
 
 @memo
 def store_z(m):
-    return risk.store_z(store_totals90(m), risk.region_stats(store_totals90(m)), m.params)
+    return risk.store_z(store_totals90(m), risk.region_stats(store_totals90(m)), m.params,
+                        m.dim_rows["regions"])
 
 
 @memo

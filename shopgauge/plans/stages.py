@@ -43,9 +43,22 @@ class RetailModel:
         return cls(regions, stores, sales, params)
 
     # ---- staged tables ------------------------------------------------
+    @cached_property
+    def dim_rows(self) -> dict:
+        """Row counts of the dimensions, each capped at broadcast_max_rows + 1.
+
+        They decide the dimension broadcasts, and the region count also
+        bounds every region-grain aggregate of the facts (the inner join
+        admits no other region), so those joins need no count of their own.
+        """
+        cap = self.params.broadcast_max_rows + 1
+        return {"stores": self.stores.limit(cap).count(),
+                "regions": self.regions.limit(cap).count()}
+
     @cached_property
     def flagged(self) -> DataFrame:
-        return cleaning.sales_flagged(self.sales, self.stores, self.regions, self.params)
+        return cleaning.sales_flagged(self.sales, self.stores, self.regions, self.params,
+                                      self.dim_rows)
 
     @cached_property
     def thresholds(self) -> DataFrame:
