@@ -35,9 +35,9 @@ from . import words
 from .words import U
 
 #: Bytes of text in a block of documents, unless one text is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text for each part of the key space.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Steps of a power of two in the held-out histogram.
 GRID = 4
 _END, _START = U(0xE4D0F7E27), U(0x57A27)
