@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_and_reload
 from . import words
 
 
@@ -125,7 +126,8 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
 
     new = unseen(versions, read_ledger(spark, ledger_path), rules, path_col).mapInArrow(run, LEDGER)
     new.write.mode("append").parquet(ledger_path)
-    return read_ledger(spark, ledger_path)
+    # written with one row for each blob, so that a join's skew handling sees a plain exchange on both sides
+    return write_and_reload(read_ledger(spark, ledger_path), "ledger-blobs")
 
 
 def by_path(versions: DataFrame, ledger: DataFrame) -> DataFrame:

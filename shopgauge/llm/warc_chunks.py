@@ -245,6 +245,7 @@ def records(chunk_table: DataFrame) -> DataFrame:
     own = chunk_table.groupBy("file", "record_no").agg(
         *(F.max(c).alias(c) for c in ("record_id", "type", "stated_digest", "refers_to")),
         F.sum(F.octet_length("data")).alias("size"), F.max_by("digest", "chunk_no").alias("digest"))
+    own = write_and_reload(own, "warc-records")  # the files are read once
     responses = own.where("type = 'response'").groupBy(
         F.col("record_id").alias("of"), F.col("digest").alias("of_digest")).agg(F.max("size").alias("of_size"))
     found = own.join(responses, (F.col("refers_to") == F.col("of")) & (F.col("stated_digest") == F.col("of_digest")), "left")
