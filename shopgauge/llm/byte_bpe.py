@@ -1,7 +1,7 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
 Waiting pairs of a pre-token lie in a bucket for each merge rank, as the
-positions of their left symbols in a linked list.  A three-level bitmap over
+positions of their left symbols in a linked list.  A two-level bitmap over
 the ranks tells the lowest non-empty bucket by find-first-set, so the next
 merge costs a few bit operations however long the pre-token is.  Positions of
 one bucket leave it from the left; an entry whose pair has changed since is
@@ -11,6 +11,7 @@ stale and skipped.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -22,9 +23,9 @@ from pyspark.sql import types as T
 from . import words
 
 #: Pre-tokens and space-separated chunks remembered by a Python worker.
-REMEMBER = 300_000
-# a space with white space or nothing beside it: chunks between spaces are then no units
-_ODD_SPACE = regex.compile(r"(?<!\S) | (?!\S)")
+REMEMBER = 120_000
+# white space other than single spaces between other characters: spaces then do not part pre-tokens
+_ODD_SPACE = regex.compile(r"^ | $|[^\S ] | \s")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,93 +35,113 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Merges one byte string at a time by rising rank, leftmost first."""
+    """Merges one byte string at a time by rising rank, leftmost first.
+
+    ``low`` has a bit for each rank, 256 to a word, and ``top`` (held while a
+    string is merged) a bit for each word that is not zero; both are empty
+    between strings.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        n = max(ranks.values(), default=0) + 1
-        self.low = [0] * (n // 64 + 1)
-        self.mid = [0] * (n // 4096 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank; the queue must not be empty."""
-        top = self.top
-        k = (top & -top).bit_length() - 1
-        mid = self.mid[k]
-        j = k << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[j]
-        rank = j << 6 | (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[j] = low & (low - 1)
-            if not self.low[j]:
-                self.mid[k] = mid & (mid - 1)
-                if not self.mid[k]:
-                    self.top = top & (top - 1)
-        return rank, at
+        self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
+        low, top, buckets = self.low, 0, {}
         n = len(piece)
         end = list(range(1, n + 1))  # symbol at i is piece[i:end[i]]; the next one starts at end[i]
-        before = list(range(-1, n - 1))
-        get, push = ranks.get, self.push
+        before = list(range(-1, n))
+        pair = [-1] * (n + 1)  # rank of the pair that now starts at i
+        # a bucket is a position, or a heap of two or more
         for i in range(n - 1):
             rank = get(piece[i:i + 2])
             if rank is not None:
-                push(rank, i)
-        while self.top:
-            rank, i = self.pop()
+                pair[i] = rank
+                if rank in buckets:
+                    bucket = buckets[rank]
+                    if type(bucket) is int:
+                        buckets[rank] = [bucket, i]
+                    else:
+                        bucket.append(i)
+                else:
+                    buckets[rank] = i
+                    word = rank >> 8
+                    low[word] |= 1 << (rank & 255)
+                    top |= 1 << word
+        while top:
+            # find first set, twice: the lowest rank that has pairs
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            bit = bits & -bits
+            rank = word << 8 | bit.bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int:
+                del buckets[rank]
+                low[word] = bits ^ bit
+                if bits == bit:
+                    top &= top - 1
+            else:
+                bucket, i = i, heappop(i)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
+            if pair[i] != rank:
+                continue  # stale: one of the two symbols has grown or gone
             j = end[i]
-            if j <= 0 or j >= n or get(piece[i:end[j]]) != rank:
-                continue
             end[i] = stop = end[j]
-            end[j] = -1  # no longer a symbol's start
-            if stop < n:
-                before[stop] = i
-                rank = get(piece[i:end[stop]])
-                if rank is not None:
-                    push(rank, i)
+            pair[j] = pair[i] = -1
+            before[stop] = i
             left = before[i]
+            if stop < n and (rank := get(piece[i:end[stop]])) is not None:
+                pair[i] = rank
+                self._push(buckets, rank, i)
+                word = rank >> 8
+                low[word] |= 1 << (rank & 255)
+                top |= 1 << word
             if left >= 0:
-                rank = get(piece[left:stop])
-                if rank is not None:
-                    push(rank, left)
+                if (rank := get(piece[left:stop])) is not None:
+                    pair[left] = rank
+                    self._push(buckets, rank, left)
+                    word = rank >> 8
+                    low[word] |= 1 << (rank & 255)
+                    top |= 1 << word
+                else:
+                    pair[left] = -1
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i:end[i]]])
+            out.append(get(piece[i:end[i]]))
             i = end[i]
         return out
 
+    @staticmethod
+    def _push(buckets: dict, rank: int, at: int) -> None:
+        bucket = buckets.get(rank)
+        if bucket is None:
+            buckets[rank] = at
+        elif type(bucket) is int:
+            buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+        else:
+            heappush(bucket, at)
+
 
 class _Memory(dict):
-    """Remembered results; forgets all when full, which changes no result."""
+    """Remembered results, the older half forgotten when full; this changes no result."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= REMEMBER:
+            self.older = dict(self)
             self.clear()
-        self[key] = out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -130,8 +151,12 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.queue = RankQueue(ranks)
         self.find = regex.compile(pattern).findall
-        self.pieces = _Memory(lambda t: np.array(self.queue.encode(t.encode()), "<i4").tobytes())
-        self.chunks = _Memory(lambda t: b"".join([self.pieces[x] for x in self.find(" " + t)]))
+        self.pieces = _Memory(lambda t: array("i", self.queue.encode(t.encode())).tobytes())
+        self.chunks = _Memory(self._chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.find(" " + chunk)
+        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[x] for x in found])
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
@@ -142,6 +167,30 @@ class Encoder:
         return head + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest else head
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The worker's encoder for a vocabulary; what it remembers lasts from task to task."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
+    return _ENCODERS[path, pattern]
+
+
+_SYMBOLS: dict[str, list[bytes]] = {}
+
+
+def symbols_of(path: str) -> list[bytes]:
+    """The bytes of each id of a vocabulary, read once by a worker."""
+    if path not in _SYMBOLS:
+        ranks = read_ranks(path)
+        out = [b""] * (max(ranks.values(), default=0) + 1)
+        for raw, rank in ranks.items():
+            out[rank] = raw
+        _SYMBOLS[path] = out
+    return _SYMBOLS[path]
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with a column ``ids`` (array of int) in place of ``text``; null texts are empty.
 
@@ -153,7 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("text", "ids")]
 
     def run(batches):
-        encoder = Encoder(read_ranks(path), pattern)
+        encoder = encoder_of(path, pattern)
         for b in words.slices(batches, "text"):
             got = [encoder.encode(t or "") for t in b.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
@@ -169,10 +218,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     keep = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches):
-        ranks = read_ranks(path)
-        symbols = [b""] * (max(ranks.values(), default=0) + 1)
-        for raw, rank in ranks.items():
-            symbols[rank] = raw
+        symbols = symbols_of(path)
         size = np.array([len(s) for s in symbols])
         for b in batches:
             ids = b.column("ids")
