@@ -8,7 +8,7 @@ the ``*_fix`` style switches are opt-in corrections of its known traps.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
 # Fixed values that must equal the reference for identical results:
@@ -24,7 +24,8 @@ AGE_BUCKET_ELSE = "2y+"
 
 @dataclass(frozen=True)
 class Params:
-    as_of: date = date(2001, 11, 4)
+    #: the reference takes the current date
+    as_of: date = field(default_factory=date.today)
     window_days: int = 90
     # The reference window has no upper bound; closed_window adds date <= as_of
     closed_window: bool = False

@@ -30,19 +30,9 @@ def money_avg(c) -> Column:
     return F.try_divide(F.sum(x.cast(EXACT)).cast("double"), F.count(x).cast("double"))
 
 
-FIXED = 1e8  # fixed-point grid of ratio means
-
-
-def fixed_avg(c) -> Column:
-    """AVG of a non-money double (a ratio such as AOV) on a 1e-8 fixed-point grid.
-
-    Each value is floored to 1e-8 and the integers are summed exactly, so
-    the mean does not depend on summation order: it is identical for any
-    partitioning of the data, and across engines.
-    """
-    x = col_(c)
-    units = F.floor(x * F.lit(FIXED)).cast("decimal(18,0)")
-    return F.try_divide(F.sum(units).cast("double"), F.count(x).cast("double")) / F.lit(FIXED)
+def mean(c) -> Column:
+    """AVG of a non-money double (a ratio such as AOV)."""
+    return F.avg(col_(c).cast("double"))
 
 
 def count_sum(c) -> Column:

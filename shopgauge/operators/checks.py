@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import fixed_avg, money_avg, safe_div
+from ..functions.measures import mean, money_avg, safe_div
 
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +58,7 @@ def qa_excluded_share(enriched: DataFrame) -> DataFrame:
 def qa_region_sanity(last90: DataFrame) -> DataFrame:
     """Mean of daily (row-level) aov, tx and revenue per region."""
     return (last90.groupBy("region")
-            .agg(fixed_avg("aov").alias("avg_aov"), F.avg("transactions").alias("avg_tx"),
+            .agg(mean("aov").alias("avg_aov"), F.avg("transactions").alias("avg_tx"),
                  money_avg("revenue").alias("avg_rev"))
             .orderBy(F.col("avg_aov").desc_nulls_first(), "region"))
 

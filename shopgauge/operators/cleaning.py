@@ -58,19 +58,11 @@ def core_rule() -> F.Column:
             .otherwise(1))
 
 
-def money(c: str) -> F.Column:
-    """A double amount kept to four decimals."""
-    return F.col(c).cast(EXACT).cast("double")
-
-
 def rev_thresholds(flagged: DataFrame, params: Params = Params(),
                    stats: dict | None = None) -> DataFrame:
     """Exact interpolated p01 / p99 of revenue per (region, date), on all rows.
 
     With ``thresholds_on_core_only`` (T3 fix) only core rows feed them.
-    Thresholds are money: they are kept to 1/100 of a cent (exact for the
-    default quantiles of 2-decimal revenue), which removes floating-point
-    noise of the interpolation the way the reference's NUMERIC casts do.
     """
     src = flagged
     if params.thresholds_on_core_only:
@@ -79,7 +71,7 @@ def rev_thresholds(flagged: DataFrame, params: Params = Params(),
                             {"p01_rev": params.winsor_lo, "p99_rev": params.winsor_hi},
                             max_bcast_rows=params.broadcast_max_rows, stats=stats,
                             small_group=params.hot_group_rows)
-    return pct.select("region", "date", *[money(c).alias(c) for c in ("p01_rev", "p99_rev")])
+    return pct.select("region", "date", "p01_rev", "p99_rev")
 
 
 def winsorize(rev: F.Column, lo: F.Column, hi: F.Column) -> F.Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import iso_weekday, week_start
-from ..functions.measures import fixed_avg, kpi_aggs, money_avg, row_aov
+from ..functions.measures import kpi_aggs, mean, money_avg, row_aov
 from ..functions.stats import safe_corr, safe_intercept, safe_slope, z_score
 from .joins import attach
 from .ranking import add_ntiles
@@ -29,7 +29,7 @@ def regional_kpis(base: DataFrame) -> DataFrame:
     """Region KPIs plus the mean of daily per-capita revenue."""
     per_capita = F.when(F.col("population") > 0,
                         F.col("revenue") / F.col("population").cast("double"))
-    return base.groupBy("region").agg(*kpi_aggs(), fixed_avg(per_capita).alias("avg_rev_per_capita"))
+    return base.groupBy("region").agg(*kpi_aggs(), mean(per_capita).alias("avg_rev_per_capita"))
 
 
 def store_kpis(base: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def region_bench(stores: DataFrame) -> DataFrame:
     """C4: peer benchmark per region over store KPIs (unweighted by store)."""
     return stores.groupBy("region").agg(
         money_avg("revenue").alias("avg_rev_store"),
-        fixed_avg("aov").alias("avg_aov_store"),
+        mean("aov").alias("avg_aov_store"),
         F.avg("transactions").alias("avg_tx_store"),
         F.stddev_pop("revenue").alias("std_rev_store"),
         F.stddev_pop("aov").alias("std_aov_store"),
@@ -107,7 +107,7 @@ def lifecycle_kpis(base: DataFrame) -> DataFrame:
 
 def aov_by_region(base: DataFrame) -> DataFrame:
     """Mean of row-level AOV per region (not aov*; trap T8)."""
-    return base.groupBy("region").agg(fixed_avg(row_aov()).alias("avg_aov"))
+    return base.groupBy("region").agg(mean(row_aov()).alias("avg_aov"))
 
 
 def income_vs_aov(aov_region: DataFrame, regions: DataFrame, params: Params = Params(),

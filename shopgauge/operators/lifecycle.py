@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import days_between, month_start, week_start
-from ..functions.measures import fixed_avg, kpi_aggs, money_avg
+from ..functions.measures import kpi_aggs, mean, money_avg
 from .percentiles import group_percentiles
 
 
@@ -74,7 +74,7 @@ def _ramp(weeks: DataFrame, key: str) -> DataFrame:
     return weeks.groupBy(key, "weeks_since_open").agg(
         money_avg("week_revenue").alias("avg_week_revenue"),
         F.avg("week_tx").alias("avg_week_tx"),
-        fixed_avg("week_aov").alias("avg_week_aov"),
+        mean("week_aov").alias("avg_week_aov"),
         F.count_distinct("store_id").alias("stores_active"))
 
 

@@ -82,6 +82,9 @@ def _one_value(data: DataFrame, keys: list[str], probs: dict[str, float], small_
         return part.groupBy(*keys).agg(*aggs)
 
     sizes = data.groupBy(*keys).agg(F.count("_v").alias("_n"))
+    # the one group of a keyless call may have many rows but few values (or none)
+    if not keys and sizes.first()["_n"] <= small_group:
+        return exact(data)
     hot = broadcast_if_small(sizes.where(F.col("_n") > small_group), max_bcast_rows)
     if not keys:
         return _bracketed(data.where(F.col("_v").isNotNull()), hot, keys, probs,

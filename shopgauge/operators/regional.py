@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params
-from ..functions.measures import fixed_avg, kpi_aggs, money_avg, safe_div
+from ..functions.measures import kpi_aggs, mean, money_avg, safe_div
 from .kpi import regression
 from .ranking import add_ntiles
 
@@ -76,10 +76,10 @@ def income_quintile_summary(bins: DataFrame) -> DataFrame:
     return bins.groupBy("income_quintile").agg(
         F.count(F.lit(1)).alias("regions_in_bin"),
         F.avg("avg_income").alias("bin_avg_income"),
-        fixed_avg("aov").alias("bin_avg_aov"),
+        mean("aov").alias("bin_avg_aov"),
         money_avg("revenue").alias("bin_avg_revenue"),
         F.avg("transactions").alias("bin_avg_tx"),
-        fixed_avg("revenue_per_capita").alias("bin_avg_rev_per_capita"))
+        mean("revenue_per_capita").alias("bin_avg_rev_per_capita"))
 
 
 def population_bins(ra: DataFrame, params: Params = Params()) -> DataFrame:
@@ -94,7 +94,7 @@ def population_tercile_summary(pb: DataFrame) -> DataFrame:
     return pb.groupBy("population_tercile").agg(
         F.count(F.lit(1)).alias("regions_in_bin"),
         F.avg("population").alias("bin_avg_population"),
-        fixed_avg("aov").alias("bin_avg_aov"),
+        mean("aov").alias("bin_avg_aov"),
         money_avg("revenue").alias("bin_avg_revenue"),
         F.avg("transactions").alias("bin_avg_tx"),
-        fixed_avg(_per_capita()).alias("bin_avg_rev_per_capita"))
+        mean(_per_capita()).alias("bin_avg_rev_per_capita"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params
-from ..functions.measures import fixed_avg, money_avg, safe_div
+from ..functions.measures import mean, money_avg, safe_div
 from ..functions.stats import clamp, z_score
 from .joins import attach
 from .percentiles import group_percentiles
@@ -20,7 +20,7 @@ def region_stats(totals: DataFrame) -> DataFrame:
     return totals.groupBy("region").agg(
         money_avg("revenue90").alias("avg_rev_reg"), F.stddev_pop("revenue90").alias("sd_rev_reg"),
         F.avg("tx90").alias("avg_tx_reg"), F.stddev_pop("tx90").alias("sd_tx_reg"),
-        fixed_avg("aov90").alias("avg_aov_reg"), F.stddev_pop("aov90").alias("sd_aov_reg"))
+        mean("aov90").alias("avg_aov_reg"), F.stddev_pop("aov90").alias("sd_aov_reg"))
 
 
 def store_z(totals: DataFrame, stats: DataFrame, params: Params = Params(),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import days_between
-from ..functions.measures import fixed_avg, money_sum, ratio_of_sums, row_aov
+from ..functions.measures import mean, money_sum, ratio_of_sums, row_aov
 from .percentiles import group_percentiles
 
 DIST_PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -18,7 +18,7 @@ def aov_distribution(base: DataFrame, params: Params = Params()) -> DataFrame:
     rows = base.select("region", row_aov().alias("aov"))
     return group_percentiles(
         rows, ["region"], "aov", DIST_PROBS,
-        extra_aggs=[F.count("aov").alias("n"), fixed_avg("aov").alias("mean_aov"),
+        extra_aggs=[F.count("aov").alias("n"), mean("aov").alias("mean_aov"),
                     F.stddev_pop("aov").alias("sd_aov")],
         max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
         "region", "n", "mean_aov", "sd_aov", *DIST_PROBS)

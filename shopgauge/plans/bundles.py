@@ -1,198 +1,61 @@
-"""One-row JSON bundles (C17, D9, E11, F11) built from the relational results.
-
-A bundle collapses small result tables into JSON text, so it is only
-built from tables whose size is bounded by the domain (regions, days,
-weeks, cohorts, top-k lists).  Sections with one element per store grow
-with the chain; they are embedded only behind a checked row bound
-(``max_rows``) and are always available, distributed, as JSON lines
-through ``json_lines``.  PostgreSQL's JSON_AGG rules are kept: an empty
-array is NULL, NULL fields are written, element order is the inner
-ORDER BY.
+"""The scripts' closing JSON bundles (C17, D9, E11, F11) as JSON lines.
+
+The reference folds each script's result tables into one row of JSON arrays.
+Some of those tables have a row for each store, week or cohort, so folding
+them takes one task for the whole chain.  Here a bundle is a table of
+(section, json): one line of JSON for each row of each section, made where
+the row is.  Sections have any number of rows, an empty one has none, and NULL
+fields are written as null.  Lines carry the fields that arrays are ordered by.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import kpi, lifecycle, regional, risk
-from ..operators.joins import row_count_at_most
-from . import catalog
+from .registry import QUERIES, comparable, register
 from .stages import RetailModel
 
-JSON_OPTS = {"ignoreNullFields": "false"}
-
-
-def json_array(df: DataFrame, order: list[Column], payload: list[str], name: str) -> DataFrame:
-    """One row, one column ``name``: the rows of ``df`` as a JSON array in ``order``."""
-    idx = F.row_number().over(Window.orderBy(*order))
-    rows = df.select(idx.alias("_i"), F.struct(*[F.col(c) for c in payload]).alias("_p"))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"])
-    return rows.agg(F.when(F.size(arr) > 0, F.to_json(arr, JSON_OPTS)).alias(name))
-
-
-def json_object(df: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """One row: the single row of ``df`` as a JSON object."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in fields]), JSON_OPTS).alias(name))
-
-
-def json_lines(df: DataFrame) -> DataFrame:
-    """Per-row JSON text (distributed; for sections that grow with the chain)."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), JSON_OPTS).alias("json"))
-
-
-def _bounded_array(df, order, payload, name, max_rows):
-    if row_count_at_most(df, max_rows):
-        return json_array(df, order, payload, name)
-    return df.sparkSession.range(1).select(F.lit(None).cast("string").alias(name))
-
-
-def _one_row(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out
-
-
-def kpi_bundle(m: RetailModel, max_rows: int = 100_000) -> DataFrame:
-    """C17: 13 columns, as the reference's final SELECT of its KPI script."""
-    rk = catalog.regional_kpis(m)
-    svr = catalog.stores_vs_region(m)
-    ex = kpi.exec_kpi(m.last90).select(
-        F.col("total_revenue").alias("exec_total_revenue"),
-        F.col("total_transactions").alias("exec_total_tx"),
-        F.col("network_aov").alias("exec_network_aov"))
-    reg = kpi.REGION_COLS
-    st = kpi.STORE_COLS
-    kcols = ["revenue", "transactions", "aov"]
-    league = kpi.quarter_league(catalog.quarter_kpis(m), m.params)
-    return _one_row([
-        ex,
-        json_array(kpi.top_regions(rk, m.params.top_regions),
-                   [F.col("aov").desc_nulls_first(), F.col("region")], reg, "top5_regions_by_aov"),
-        json_array(kpi.bottom_regions(rk, m.params.top_regions),
-                   [F.col("aov").asc_nulls_last(), F.col("region")], reg, "bottom5_regions_by_aov"),
-        json_array(kpi.top_stores(svr, m.params.top_stores),
-                   [F.col("z_rev_vs_region").desc_nulls_last(), F.col("store_id")], st,
-                   "top20_stores_vs_region_rev"),
-        json_array(kpi.bottom_stores(svr, m.params.top_stores),
-                   [F.col("z_rev_vs_region").asc_nulls_last(), F.col("store_id")], st,
-                   "bottom20_stores_vs_region_rev"),
-        json_array(kpi.weekday_seasonality(m.last90), [F.col("weekday")], ["weekday", *kcols],
-                   "weekday_seasonality"),
-        json_array(kpi.daily_trend(m.last90), [F.col("date")], ["date", *kcols], "daily_trend"),
-        json_array(kpi.weekly_trend(m.last90), [F.col("week")], ["week", *kcols], "weekly_trend"),
-        _bounded_array(league, [F.col("region"), F.col("quartile_by_rev"),
-                                F.col("q_rev").desc_nulls_first(), F.col("store_id")],
-                       ["region", "store_id", "q_rev", "q_aov", "q_tx", "quartile_by_rev",
-                        "quartile_by_aov", "quartile_by_tx"], "store_league", max_rows),
-        json_array(kpi.lifecycle_kpis(m.last90), [F.col("store_age_bucket")],
-                   ["store_age_bucket", *kcols], "lifecycle_kpis"),
-        json_object(kpi.income_aov_regression(catalog.income_vs_aov(m)),
-                    ["n_regions", "corr", "slope", "intercept"], "income_aov_regression"),
-    ])
-
-
-def driver_bundle(m: RetailModel) -> DataFrame:
-    """5 columns of the regional-drivers script."""
-    ra = catalog.region_agg(m)
-    bins = catalog.region_income_bins(m)
-    dec = regional.revenue_decomposition(ra, catalog.network_bench(m))
-    total = F.col("aov_component") + F.col("tx_component") + F.col("cross_component")
-    return _one_row([
-        json_array(bins, [F.col("aov").desc_nulls_first(), F.col("region")],
-                   ["region", "revenue", "transactions", "aov", "population", "avg_income",
-                    "revenue_per_capita", "income_quintile"], "regions_percap_incomebins"),
-        json_object(regional.income_aov_stats(ra),
-                    ["n_regions", "corr_income_aov", "slope_aov_per_income", "intercept"],
-                    "income_aov_regression"),
-        json_array(dec, [total.desc_nulls_first(), F.col("region")],
-                   ["region", "revenue", "transactions", "aov", "net_revenue", "net_transactions",
-                    "net_aov", "aov_component", "tx_component", "cross_component"],
-                   "regional_revenue_decomposition"),
-        json_array(regional.income_quintile_summary(bins), [F.col("income_quintile")],
-                   ["income_quintile", "regions_in_bin", "bin_avg_income", "bin_avg_aov",
-                    "bin_avg_revenue", "bin_avg_tx", "bin_avg_rev_per_capita"],
-                   "income_quintile_summary"),
-        json_array(regional.population_tercile_summary(catalog.population_bins(m)),
-                   [F.col("population_tercile")],
-                   ["population_tercile", "regions_in_bin", "bin_avg_population", "bin_avg_aov",
-                    "bin_avg_revenue", "bin_avg_tx", "bin_avg_rev_per_capita"],
-                   "population_tercile_summary"),
-    ])
-
-
-RAMP = ["weeks_since_open", "avg_week_revenue", "avg_week_tx", "avg_week_aov", "stores_active"]
-TTB = ["stores_hit_bench", "stores_total", "avg_weeks_to_bench", "p50_weeks_to_bench",
-       "p90_weeks_to_bench"]
-
-
-def lifecycle_bundle(m: RetailModel, max_rows: int = 100_000) -> DataFrame:
-    """6 columns of the lifecycle script."""
-    sw = catalog.store_weeks(m)
-    ttb = catalog.time_to_benchmark(m)
-    return _one_row([
-        json_object(catalog.network_medians(m), ["median_aov90_store", "median_tx90_store"],
-                    "network_benchmarks"),
-        json_array(lifecycle.cohort_ramp(sw), [F.col("cohort_month"), F.col("weeks_since_open")],
-                   ["cohort_month", *RAMP], "cohort_ramp_curves"),
-        json_array(lifecycle.regional_ramp(sw), [F.col("region"), F.col("weeks_since_open")],
-                   ["region", *RAMP], "regional_ramp_curves"),
-        _bounded_array(ttb, [F.col("weeks_to_benchmark").asc_nulls_last(), F.col("store_id")],
-                       ["store_id", "region", "cohort_month", "weeks_to_benchmark"],
-                       "store_time_to_benchmark", max_rows),
-        json_array(lifecycle.ttb_summary(ttb, "region", m.params), [F.col("region")],
-                   ["region", *TTB], "ttb_region_summary"),
-        json_array(lifecycle.ttb_summary(ttb, "cohort_month", m.params), [F.col("cohort_month")],
-                   ["cohort_month", *TTB], "ttb_cohort_summary"),
-    ])
-
-
-def _board(df: DataFrame, cols: list[str], name: str) -> DataFrame:
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*cols).alias("_p")))),
-                      lambda x: x["_p"])
-    return df.groupBy("region").agg(F.when(F.size(arr) > 0, arr).alias(name))
-
-
-def risk_bundle(m: RetailModel, max_rows: int = 100_000) -> DataFrame:
-    """3 columns of the league-and-risk script."""
-    result = catalog.store_result(m)
-    summary = risk.region_risk_summary(catalog.watchlist_full(m), m.params)
-    leaders = _board(risk.region_leaders(result, m.params.board_size), risk.LEADER_COLS,
-                     "top10_leaders")
-    watch = _board(risk.region_watch_board(result, m.params.board_size), risk.WATCH_COLS,
-                   "top10_watchlist")
-    boards = summary.select("region").join(leaders, "region", "left").join(watch, "region", "left")
-    return _one_row([
-        _bounded_array(result, [F.col("region"), F.col("risk_score").desc_nulls_first(),
-                                F.col("revenue90").asc_nulls_last(), F.col("store_id")],
-                       risk.STORE_RESULT, "store_league_risk", max_rows),
-        json_array(summary, [F.col("at_risk_pct").desc_nulls_first(), F.col("region")],
-                   ["region", "stores", "avg_risk_score", "at_risk_cnt", "at_risk_pct",
-                    "dispersion_ratio"], "region_risk_summary"),
-        json_array(boards, [F.col("region")], ["region", "top10_leaders", "top10_watchlist"],
-                   "region_boards_json"),
-    ])
-
-
-def store_sections(m: RetailModel) -> dict[str, DataFrame]:
-    """The per-store bundle sections as distributed JSON lines (no size limit)."""
-    return {
-        "store_league": json_lines(kpi.quarter_league(catalog.quarter_kpis(m), m.params).select(
-            "region", "store_id", "q_rev", "q_aov", "q_tx", "quartile_by_rev", "quartile_by_aov",
-            "quartile_by_tx")),
-        "store_time_to_benchmark": json_lines(catalog.time_to_benchmark(m).select(
-            "store_id", "region", "cohort_month", "weeks_to_benchmark")),
-        "store_league_risk": json_lines(catalog.store_result(m)),
-    }
-
-
-def _register() -> None:
-    from .registry import register
-    register("kpi_bundle")(kpi_bundle)
-    register("driver_bundle")(driver_bundle)
-    register("lifecycle_bundle")(lifecycle_bundle)
-    register("risk_bundle")(risk_bundle)
-
-
-_register()
+#: Sections of each bundle: name of the section -> registered query that has its rows.
+BUNDLES = {
+    "kpi_bundle": {
+        "exec_kpi": "exec_kpi", "top5_regions_by_aov": "top5_regions", "bottom5_regions_by_aov": "bottom5_regions",
+        "top20_stores_vs_region_rev": "top20_stores", "bottom20_stores_vs_region_rev": "bottom20_stores",
+        "weekday_seasonality": "weekday_seasonality", "daily_trend": "daily_trend", "weekly_trend": "weekly_trend",
+        "store_league": "quarter_league", "lifecycle_kpis": "lifecycle_kpis",
+        "income_aov_regression": "income_aov_regression"},
+    "driver_bundle": {
+        "regions_percap_incomebins": "region_income_bins", "income_aov_regression": "income_aov_stats",
+        "regional_revenue_decomposition": "revenue_decomposition",
+        "income_quintile_summary": "income_quintile_summary",
+        "population_tercile_summary": "population_tercile_summary"},
+    "lifecycle_bundle": {
+        "network_benchmarks": "network_medians", "cohort_ramp_curves": "cohort_ramp",
+        "regional_ramp_curves": "regional_ramp", "store_time_to_benchmark": "time_to_benchmark",
+        "ttb_region_summary": "ttb_region_summary", "ttb_cohort_summary": "ttb_cohort_summary"},
+    "risk_bundle": {
+        "store_league_risk": "watchlist", "region_risk_summary": "region_risk_summary",
+        "region_leaders": "region_leaders_top10", "region_watchlist": "region_watchlist_top10"},
+}
+#: Amounts in JSON have six decimals.
+AMOUNT = "decimal(38,6)"
+
+
+def json_lines(df: DataFrame, section: str) -> DataFrame:
+    """(section, json): each row of df as one line of JSON."""
+    fields = [F.col(f.name).cast(AMOUNT).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+              for f in comparable(df).schema.fields]
+    line = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return comparable(df).select(F.lit(section).alias("section"), line.alias("json"))
+
+
+def bundle(m: RetailModel, name: str) -> DataFrame:
+    """All sections of one bundle."""
+    return reduce(DataFrame.unionAll, [json_lines(QUERIES[q](m), s) for s, q in BUNDLES[name].items()])
+
+
+for _name in BUNDLES:
+    register(_name)(lambda m, name=_name: bundle(m, name))

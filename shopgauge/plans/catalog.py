@@ -141,10 +141,14 @@ def time_to_benchmark(m):
     return lifecycle.time_to_benchmark(ttb_flagged(m))
 
 
+@memo
+def ttb_flagged_weekly(m):
+    return lifecycle.ttb_flagged(store_weeks(m), network_medians(m), m.params.with_(weekly_benchmark=True))
+
+
 @memo
 def time_to_benchmark_weekly(m):
-    p = m.params.with_(weekly_benchmark=True)
-    return lifecycle.time_to_benchmark(lifecycle.ttb_flagged(store_weeks(m), network_medians(m), p))
+    return lifecycle.time_to_benchmark(ttb_flagged_weekly(m))
 
 
 register("store_weeks")(store_weeks)
@@ -161,6 +165,9 @@ register("ttb_cohort_summary")(
     lambda m: lifecycle.ttb_summary(time_to_benchmark(m), "cohort_month", m.params))
 register("ttb_region_summary_weekly")(
     lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly(m), "region", m.params))
+register("ttb_cohort_summary_weekly")(
+    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly(m), "cohort_month", m.params))
+register("ttb_flagged_weekly")(ttb_flagged_weekly)
 
 
 # ---- F: league and risk ------------------------------------------------------

@@ -46,7 +46,7 @@ def kpi_report(m: RetailModel) -> dict[str, DataFrame]:
         "income_aov_fit": summaries.income_aov_fit(
             catalog.income_vs_aov(m), kpi.income_aov_regression(catalog.income_vs_aov(m))),
         "aov_distribution": summaries.aov_distribution(b, m.params),
-        "kpi_bundle": bundles.kpi_bundle(m),
+        "kpi_bundle": bundles.bundle(m, "kpi_bundle"),
     }
 
 
@@ -59,7 +59,7 @@ def regional_report(m: RetailModel) -> dict[str, DataFrame]:
         "income_quintile_summary": regional.income_quintile_summary(catalog.region_income_bins(m)),
         "population_tercile_summary": regional.population_tercile_summary(
             catalog.population_bins(m)),
-        "driver_bundle": bundles.driver_bundle(m),
+        "driver_bundle": bundles.bundle(m, "driver_bundle"),
     }
 
 
@@ -76,7 +76,7 @@ def lifecycle_report(m: RetailModel) -> dict[str, DataFrame]:
         "new_store_30_60_90": catalog.new_store_horizons(m),
         "new_store_benchmarks": summaries.new_store_benchmarks(catalog.new_store_horizons(m),
                                                                m.params),
-        "lifecycle_bundle": bundles.lifecycle_bundle(m),
+        "lifecycle_bundle": bundles.bundle(m, "lifecycle_bundle"),
     }
 
 
@@ -88,7 +88,7 @@ def risk_report(m: RetailModel) -> dict[str, DataFrame]:
         "region_leaders_top10": risk.region_leaders(result, m.params.board_size),
         "region_watchlist_top10": risk.region_watch_board(result, m.params.board_size),
         "below_peer_heatmap": summaries.below_peer_heatmap(catalog.store_z(m)),
-        "risk_bundle": bundles.risk_bundle(m),
+        "risk_bundle": bundles.bundle(m, "risk_bundle"),
     }
 
 

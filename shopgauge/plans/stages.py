@@ -38,22 +38,20 @@ class RetailModel:
 
     @classmethod
     def from_csv(cls, spark: SparkSession, regions_path: str, stores_path: str,
-                 sales_path: str, params: Params = Params()):
+                 sales_path: str, params: Params | None = None):
         regions, stores, sales = files.read_raw(spark, regions_path, stores_path, sales_path)
-        return cls(regions, stores, sales, params)
+        return cls(regions, stores, sales, params or Params())
 
     # ---- staged tables ------------------------------------------------
     @cached_property
     def dim_rows(self) -> dict:
-        """Row counts of the dimensions, each capped at broadcast_max_rows + 1.
+        """Row counts of the dimensions.
 
         They decide the dimension broadcasts, and the region count also
         bounds every region-grain aggregate of the facts (the inner join
         admits no other region), so those joins need no count of their own.
         """
-        cap = self.params.broadcast_max_rows + 1
-        return {"stores": self.stores.limit(cap).count(),
-                "regions": self.regions.limit(cap).count()}
+        return {"stores": self.stores.count(), "regions": self.regions.count()}
 
     @cached_property
     def flagged(self) -> DataFrame:

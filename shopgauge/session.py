@@ -87,14 +87,11 @@ def tune_for_scale(spark: SparkSession, fact_bytes: int, target_partition_mb: in
     """Set the runtime SQL options for a fact table of ``fact_bytes`` (compressed).
 
     Shuffle partitions are sized so one partition holds ~``target_partition_mb``
-    of input, never fewer than the cluster's cores and at most
-    max(4 x cores, 50,000); AQE coalesces what turns out smaller and splits
-    skewed partitions of joins.  Returns the settings it applied.
+    of input, never fewer than the cluster's cores; AQE coalesces what turns
+    out smaller and splits skewed partitions of joins.  Returns the settings it applied.
     """
     cores = spark.sparkContext.defaultParallelism
-    # capped: hundreds of thousands of reducers would swamp shuffle bookkeeping
-    cap = max(4 * cores, 50_000)
-    parts = min(cap, max(cores, int(fact_bytes // (target_partition_mb * 2**20)) + 1))
+    parts = max(cores, int(fact_bytes // (target_partition_mb * 2**20)) + 1)
     settings = {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",

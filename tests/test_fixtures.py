@@ -1,7 +1,6 @@
 """Hand-written fixtures with expected results (FIXTURES.md #1-#46)."""
 
 import decimal
-import json
 from datetime import date
 
 import pytest
@@ -313,12 +312,30 @@ def test_watch_board_ignores_flag(spark):
 
 
 # ---- bundles --------------------------------------------------------------------
-def test_json_array_empty_is_null_and_keeps_null_fields(spark):
+def test_json_lines_keep_null_fields_and_empty_sections(spark):
     empty = spark.createDataFrame([], "a long, b string")
-    assert bundles.json_array(empty, [F.col("a")], ["a", "b"], "x").first()["x"] is None
-    one = spark.createDataFrame([(1, None), (0, "z")], "a long, b string")
-    got = json.loads(bundles.json_array(one, [F.col("a")], ["a", "b"], "x").first()["x"])
-    assert got == [{"a": 0, "b": "z"}, {"a": 1, "b": None}]
+    assert bundles.json_lines(empty, "x").count() == 0
+    some = spark.createDataFrame([(1, None, 0.5), (0, "z", None)], "a long, b string, c double")
+    got = {r["json"] for r in bundles.json_lines(some, "x").collect()}
+    assert got == {'{"a":1,"b":null,"c":0.500000}', '{"a":0,"b":"z","c":null}'}
+
+
+def test_percentile_rows_do_not_depend_on_the_hot_switch(spark):
+    from shopgauge.operators.percentiles import group_percentiles
+    rows = [(i, float(i) if i % 10 == 0 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    none = spark.createDataFrame([(1, None), (2, None)], "k long, v double")
+    for small in (1, 3, 5, 10, 50, 99, 100, 1000):
+        assert [r["m"] for r in group_percentiles(df, [], "v", {"m": 0.5}, small_group=small).collect()] == [45.0]
+        assert [r["m"] for r in group_percentiles(none, [], "v", {"m": 0.5}, small_group=small).collect()] == [None]
+
+
+def test_means_are_plain_averages(spark):
+    from shopgauge.functions.measures import mean
+    df = spark.createDataFrame([(1 / 3,), (2 / 3,), (None,)], "x double")
+    assert df.agg(mean("x").alias("m")).first()["m"] == 0.5
+    big = spark.createDataFrame([(2e10,), (4e10,)], "x double")
+    assert big.agg(mean("x").alias("m")).first()["m"] == 3e10
 
 
 # ---- opt-in fixes of the reference traps ------------------------------------------
