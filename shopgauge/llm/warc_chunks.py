@@ -168,7 +168,7 @@ class _Reader:
         return got
 
 
-def chunks(stream):
+def chunks(stream, most: int = CHUNK):
     """Rows of a WARC file, in order: the columns of the chunk table after ``file``.
 
     Sizes and digests are of the payload up to and with the chunk;
@@ -195,8 +195,8 @@ def chunks(stream):
         about = (fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), name(fields.get("warc-refers-to")))
         digest, size, number, data, got = hashlib.sha1(), 0, 0, b"", 0
         while True:
-            while left and got < CHUNK:
-                piece = reader.take(min(left, CHUNK - got))
+            while left and got < most:
+                piece = reader.take(min(left, most - got))
                 left, got = left - len(piece), got + len(piece)
                 data = data + piece if data else piece
             digest.update(data)
@@ -207,8 +207,8 @@ def chunks(stream):
                 break
 
 
-def read_chunks(files: DataFrame, folder: str) -> DataFrame:
-    """The chunk table of WARC files: a row for each chunk of each record (see the module)."""
+def read_chunks(files: DataFrame, folder: str, most: int = CHUNK) -> DataFrame:
+    """The chunk table of WARC files: a row for each chunk, of at most ``most`` bytes, of each record (see the module)."""
     columns = [c.split()[0] for c in _CHUNKS.split(", ")]
 
     def run(batches):
@@ -217,10 +217,10 @@ def read_chunks(files: DataFrame, folder: str) -> DataFrame:
             for file in b.column("file").to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(f"{root}/{file}", compression=None) as stream:
-                    for row in chunks(stream):
+                    for row in chunks(stream, most):
                         rows.append((file, *row))
                         held += len(row[3])
-                        if held >= 4 * CHUNK or len(rows) >= 5000:
+                        if held >= 4 * most or len(rows) >= 5000:
                             yield _batch(rows, columns)
                             rows, held = [], 0
                 if rows:
