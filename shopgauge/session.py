@@ -80,7 +80,7 @@ def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # a table without rows may have no file to infer from
 
 
 def tune_for_scale(spark: SparkSession, fact_bytes: int, target_partition_mb: int = 256) -> dict:
