@@ -58,7 +58,7 @@ def test_licences(spark, docs, none):
     text = ("Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the "
             "License. You may obtain a copy of the License at http://x\nReleased under the MIT License.\nAll rights reserved.")
     r = license_rules.recognise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.sentence_ids[:3] == ["ApacheLine", "ApacheUse", "MITLine"] or r.sentence_ids[0] == "ApacheLine"
+    assert r.sentence_ids == ["ApacheLine", "ApacheUse", "MITLine", "Reserved"]
     assert r.licences == ["Apache-2.0", "MIT"] and r.unmatched == ["Reserved"]
 
 
@@ -243,7 +243,7 @@ def test_warc(spark):
     got = sorted((str(r.record_id), r.payload_bytes, r.type, r.refers_to) for r in warc_chunks.records(chunks).collect())
     n = len(html.encode())
     assert got == sorted([("1", n, "response", None), ("2", n, "revisit", "1"), ("3", 0, "response", None),
-                          ("4", 0, "revisit", "3"), ("5", 14, "response", None), ("5", 14, "response", None),
+                          ("4", 0, "revisit", "3"), ("5", 13, "response", None), ("5", 13, "response", None),
                           ("None", 5, "response", None)])
     assert warc_chunks.write(pages.limit(0), folder).count() == 0
 
