@@ -16,6 +16,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +24,9 @@ from pyspark.sql import types as T
 from . import words
 
 #: Pre-tokens and space-separated chunks remembered by a Python worker.
-REMEMBER = 120_000
+REMEMBER = 200_000
+#: Ids decoded at once, unless one text has more.
+DECODE_IDS = 500_000
 # white space other than single spaces between other characters: spaces then do not part pre-tokens
 _ODD_SPACE = regex.compile(r"^ | $|[^\S ] | \s")
 
@@ -203,7 +206,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encoder = encoder_of(path, pattern)
-        for b in words.slices(batches, "text"):
+        for b in words.slices(batches, "text", 1 << 20):
             got = [encoder.encode(t or "") for t in b.column("text").to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(got), "<i4"))
@@ -219,19 +222,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         symbols = symbols_of(path)
-        size = np.array([len(s) for s in symbols])
-        for b in batches:
-            ids = b.column("ids")
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            raw = b"".join(map(symbols.__getitem__, flat.tolist()))
-            lens = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], np.int64)
-            at = np.concatenate([[0], np.cumsum(size[flat])])
-            offsets = at[np.concatenate([[0], np.cumsum(lens)])].astype(np.int64)
-            out = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
-            if ids.null_count:
-                out = pa.compute.if_else(ids.is_valid(), out, pa.scalar(None, pa.large_binary()))
-            yield pa.record_batch([*(b.column(c) for c in keep), out.cast(pa.binary())], names=[*keep, "decoded"])
+        joined = np.frombuffer(b"".join(symbols), np.uint8)
+        size = np.array([len(s) for s in symbols], np.int64)
+        begin = np.cumsum(size) - size
+        for batch in batches:
+            lens = pa.compute.fill_null(batch.column("ids").value_lengths(), 0).to_numpy(zero_copy_only=False)
+            ends, i = np.cumsum(lens, dtype=np.int64), 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] - lens[i] + DECODE_IDS, "right")))
+                b, i = batch.slice(i, j - i), j
+                ids = b.column("ids")
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                each = size[flat]
+                at = np.concatenate([[0], np.cumsum(each)])
+                raw = joined[np.repeat(begin[flat] - at[:-1], each) + np.arange(at[-1])]
+                rows = pa.compute.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                offsets = at[np.concatenate([[0], np.cumsum(rows)])].astype(np.int32)
+                out = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                if ids.null_count:
+                    out = pa.compute.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary()))
+                yield pa.record_batch([*(b.column(c) for c in keep), out], names=[*keep, "decoded"])
 
     schema = T.StructType([encoded.schema[c] for c in keep]).add("decoded", T.BinaryType())
     return encoded.select(*keep).mapInArrow(run, schema)
