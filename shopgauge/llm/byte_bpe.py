@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import words
 
 #: Pre-tokens and space-separated chunks remembered by a Python worker.
-REMEMBER = 200_000
+REMEMBER = 240_000
 #: Ids decoded at once, unless one text has more.
 DECODE_IDS = 500_000
 # white space other than single spaces between other characters: spaces then do not part pre-tokens
