@@ -69,8 +69,8 @@ RULES = [
     ("CC-BY-4.0", ["CCBY4"]),
     ("CC0-1.0", ["CC0"]),
 ]
-#: Where a sentence ends: a line, or a mark before white space or the end of the text.
-BREAK = r"[.!?;]+[ \t\r]+|[.!?;]*\n|[.!?;]+$"
+#: Where a sentence ends: a line, or marks before white space or the end of the text (a run of marks is tried once).
+BREAK = r"(?<![.!?;])[.!?;]++(?:[ \t\r]+|\n|$)|\n"
 
 
 def normal(sentence: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from . import (byte_bpe, covering_simhash, decontamination, deleted_interpolation, hyper_langid, license_rules,
-               secret_ledger, spotsigs, toxicity_fm, warc_chunks)
+               oracle, secret_ledger, spotsigs, toxicity_fm, warc_chunks)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,4 +95,4 @@ QUERIES = {f.__name__: f for f in (
     op7_toxicity, op8_simhash, op9_language_id, op10_warc, pipeline)}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracle.ORACLES

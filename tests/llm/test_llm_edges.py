@@ -62,6 +62,32 @@ def test_licences(spark, docs, none):
     assert r.licences == ["Apache-2.0", "MIT"] and r.unmatched == ["Reserved"]
 
 
+def test_licence_sentences_end_alike_in_sql(spark):
+    """The break pattern against plain alternatives, by the query's SQL, on runs of marks, white space and nulls."""
+    import re
+
+    import duckdb
+
+    rng = random.Random(8)
+    known = [s for many in license_rules.SENTENCES.values() for s in many]
+    texts = [None, "", "." * 30_000 + "x", *("".join(rng.choice([*known, ". ", "...", "!\n", ";\t", "\r\n", "\n", " ", "x"])
+                                                    for _ in range(rng.randint(1, 30))) for _ in range(300))]
+    plain = [[s for s in re.split(r"[.!?;]+[ \t\r]+|[.!?;]*\n|[.!?;]+\Z", (t or "")) if license_rules.normal(s)]
+             for t in texts if not t or len(t) < 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_rules.recognise(df).collect()}
+    small = [i for i, t in enumerate(texts) if not t or len(t) < 30_000]
+    assert [got[i].n_sentences for i in small] == [len(x) for x in plain]
+    import pyarrow as pa
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    from shopgauge.llm.oracle import ORACLES
+    rows = con.execute(ORACLES["op2_license_scans"]).fetchall()
+    assert {r[0]: r[1:] for r in rows} == {i: (r.n_sentences, *(",".join(x) for x in (r.sentence_ids, r.licences, r.unmatched)))
+                                           for i, r in got.items()}
+    assert any(r.licences for r in got.values()) and any(r.unmatched for r in got.values())
+
+
 def test_lm(docs, none):
     assert deleted_interpolation.score(none).count() == 0
     rows = deleted_interpolation.score(docs).collect()
