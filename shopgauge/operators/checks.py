@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import mean, money_avg, safe_div
+from ..functions.measures import mean, money_avg, money_sum, safe_div
+from ..sources.files import CORRUPT
 
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +50,14 @@ def orphan_sales(sales: DataFrame, stores: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orphan_rows"))
 
 
+def unreadable_rows(loaded: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and unreadable rows of a load with kept raw lines, by key (NULL keys are one)."""
+    return loaded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("loaded_rows"), F.count(CORRUPT).alias("unreadable_rows"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        money_sum("revenue").alias("revenue"), F.sum("transactions").alias("transactions"))
+
+
 def qa_excluded_share(enriched: DataFrame) -> DataFrame:
     """Share of rows outside the core; NULL on empty input."""
     return enriched.agg(safe_div(F.count_if(F.col("keep_core") == 0), F.count(F.lit(1)))

@@ -242,3 +242,14 @@ def register_views(m: RetailModel) -> None:
         "v_regional_ramp": lifecycle.regional_ramp(store_weeks(m)),
         "v_time_to_benchmark": time_to_benchmark(m),
     })
+
+
+@register("sql_cohorts")
+def sql_cohorts(m: RetailModel) -> DataFrame:
+    """SQL over the lifecycle views."""
+    register_views(m)
+    return m.sales.sparkSession.sql("""
+        SELECT cohort_month, COUNT(*) AS weeks, MAX(stores_active) AS most_active, stores
+        FROM v_cohort_ramp JOIN (SELECT cohort_month, COUNT(*) AS stores FROM v_time_to_benchmark
+                                 GROUP BY cohort_month) USING (cohort_month)
+        GROUP BY cohort_month, stores""")

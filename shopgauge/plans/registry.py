@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import checks
+from ..sources import files, schemas
 from .stages import RetailModel
 
 QUERIES: dict[str, Callable[[RetailModel], DataFrame]] = {}
@@ -58,6 +59,22 @@ register("check_missing_region")(lambda m: checks.check_missing_region(m.stores,
 register("check_duplicate_store_date")(lambda m: checks.check_duplicate_store_date(m.sales))
 register("check_date_span")(lambda m: checks.check_date_span(m.sales))
 register("orphan_sales")(lambda m: checks.orphan_sales(m.sales, m.stores))
+# the same checks where they find something: store-days as key, regions of above-average income, stores of over a year
+register("check_unique_store_day")(lambda m: checks.check_unique(m.sales, ["store_id", "date"]))
+register("check_missing_region_income")(lambda m: checks.check_missing_region(m.stores, m.regions.join(
+    F.broadcast(m.regions.agg(F.avg("avg_income").alias("mean_income"))), F.col("avg_income") >= F.col("mean_income"))))
+register("orphan_sales_year")(lambda m: checks.orphan_sales(
+    m.sales, m.stores.where(F.col("opening_date") <= F.date_sub(F.lit(m.params.as_of), 365))))
+
+
+@register("load_sales_csv")
+def load_sales_csv(m: RetailModel) -> DataFrame:
+    """A1 on CSV lines of the sales table; a NULL date is written as a word, which does not parse."""
+    fields = [F.coalesce(c.cast("string"), F.lit("")) for c in (
+        F.col("store_id"), F.coalesce(F.col("date").cast("string"), F.lit("unknown")),
+        F.col("revenue").cast(schemas.MONEY), F.col("transactions"))]
+    lines = m.sales.select(F.concat_ws(",", *fields).alias("value"))
+    return checks.unreadable_rows(files.parse_csv(lines, schemas.SALES), ["store_id"])
 
 # ---- B: cleaning and views -----------------------------------------------
 register("sales_flagged")(lambda m: m.flagged)
@@ -71,3 +88,13 @@ register("v_sales_anomalies")(lambda m: m.anomalies)
 register("qa_excluded_share")(lambda m: checks.qa_excluded_share(m.enriched_view))
 register("qa_region_sanity")(lambda m: checks.qa_region_sanity(m.last90))
 register("qa_age_mix")(lambda m: checks.qa_age_mix(m.last90))
+
+
+@register("sql_region_months")
+def sql_region_months(m: RetailModel) -> DataFrame:
+    """SQL over the registered views."""
+    m.register()
+    return m.sales.sparkSession.sql("""
+        SELECT region, CAST(TRUNC(date, 'MM') AS DATE) AS month, r.population, COUNT(*) AS store_days,
+               COUNT(DISTINCT store_id) AS stores, SUM(transactions) AS transactions
+        FROM v_sales_clean_alltime JOIN v_regions r USING (region) GROUP BY ALL""")

@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 
 CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+OPTIONS = {"mode": "PERMISSIVE", "dateFormat": "yyyy-MM-dd", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def read_csv(spark: SparkSession, path: str, schema, keep_unreadable: bool = False) -> DataFrame:
     """CSV with header and an explicit schema; bad fields become NULL (A1).
 
-    A malformed date therefore reaches rule D as a NULL date.  The raw
-    text of a malformed line is kept in ``_corrupt_record`` only when the
-    caller asks for it through the schema.
+    A malformed date therefore reaches rule D as a NULL date.  With
+    ``keep_unreadable`` a column ``_corrupt_record`` has the raw text of each
+    line with a field that does not parse, and NULL for the others;
+    ``checks.unreadable_rows`` counts them.
     """
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("dateFormat", "yyyy-MM-dd")
-            .csv(path))
+    return (spark.read.schema(_with_corrupt(schema) if keep_unreadable else schema)
+            .options(header=True, **OPTIONS).csv(path))
+
+
+def parse_csv(lines: DataFrame, schema, column: str = "value") -> DataFrame:
+    """``read_csv`` with ``keep_unreadable`` for a column of CSV lines without header (A1)."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _with_corrupt(schema))
+    return lines.select(F.from_csv(F.col(column), ddl, OPTIONS).alias("_row")).select("_row.*")
 
 
 def read_raw(spark: SparkSession, regions_path: str, stores_path: str, sales_path: str):

@@ -37,6 +37,21 @@ def test_csv_model_end_to_end(spark):
     assert sorted((x["store_id"], x["transactions"]) for x in last) == [(1001, 10), (1002, 3)]
 
 
+def test_unreadable_lines_are_kept_and_counted(spark):
+    from shopgauge.operators import checks
+    from shopgauge.sources import schemas
+    d = tempfile.mkdtemp(dir="/tmp")
+    lines = ["1,2024-03-01,1.50,2", "1,soon,2.00,3", "x,2024-03-02,1,1", "2,,5,1", "2,2024-03-04,1,many"]
+    p = _write(d, "sales.csv", "\n".join(["store_id,date,revenue,transactions", *lines]) + "\n")
+    loaded = files.read_csv(spark, p, schemas.SALES, keep_unreadable=True)
+    flight = files.parse_csv(spark.createDataFrame([(x,) for x in lines], "value string"), schemas.SALES)
+    for df in (loaded, flight):
+        got = {r["store_id"]: r for r in checks.unreadable_rows(df, ["store_id"]).collect()}
+        assert {k: (r["loaded_rows"], r["unreadable_rows"]) for k, r in got.items()} == {1: (2, 1), None: (1, 1), 2: (2, 1)}
+        assert got[1]["transactions"] == 5 and got[1]["last_date"] == date(2024, 3, 1)
+        assert {r[files.CORRUPT] for r in df.collect()} == {None, lines[1], lines[2], lines[4]}
+
+
 def test_stage_write_and_export(spark):
     d = tempfile.mkdtemp(dir="/tmp")
     df = spark.range(5).withColumn("m", F.lit("2024-01"))
