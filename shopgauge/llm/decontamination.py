@@ -1,10 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-For each benchmark item the rarest n-gram (by its count in the whole corpus)
-of every few neighbouring ones is a seed, so each stretch of an item has one
-and none depends on a frequency limit.  Where a document holds a seed, the
-words around it are aligned with the item; the alignment's score as a share
-of a perfect one says whether the passage is a copy, edited or not.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
+
+An item's starts are its words but the last; a start's pairs are its word with
+the next and with the one after.  A text holds such a pair if the two words
+are neighbours or one word apart.  An alignment that scores ``least`` of a
+perfect one may lack at most (1 - least) of the item's starts, however its
+words are changed: a gap between two equal words that no pair bridges costs
+two, as much as an equal word gives.  So of any floor((1 - least) m) + n starts
+of an item of m words it holds n or more, all near one diagonal.  The rarest
+starts (by their pairs' count in the whole corpus) are the seeds; where a
+document holds n of them, the words around are aligned with the item, and the
+alignment's score as a share of a perfect one says whether the passage is a
+copy, edited or not.
 
 The benchmark is processed in blocks of bounded size; each block is sent to
 all executors and the corpus is read against it, so documents are never
@@ -24,22 +30,32 @@ from pyspark.sql import types as T
 from . import words
 from .words import U
 
-#: Words of a seed, and how many neighbouring n-grams give one.
-SEED, WINDOW = 3, 3
+#: Words that a pair reaches ahead, and the seeds that an alignment must hold (fewer in short items).
+REACH, HOLD = 2, 3
+#: Seed hits of several texts looked at together.
+HITS = 1 << 20
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4 << 20
 #: Alignment: an equal word, another word, a skipped word.
 MATCH, OTHER, SKIP = 2, -1, -1
 
 
-def _grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams and the index of their first word; none crosses a row's end."""
-    if len(h) < n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    at = np.arange(len(h) - n + 1)
+def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of near words and the index of their first word; none crosses a row's end."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = at[row[at] == row[at + n - 1]]
-    return words.join_hashes(*(h[at + k] for k in range(n))), at
+    hashes, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for d in range(1, REACH + 1):
+        at = np.flatnonzero(row[d:] == row[:-d])
+        hashes.append(words.join_hashes(h[at], h[at + d]))
+        places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _singles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words.join_hashes(h), np.arange(len(h))
+
+
+_KINDS = {"pair": _pairs, "word": _singles}
 
 
 class _Known:
@@ -60,35 +76,55 @@ class _Known:
 
 
 class Items:
-    """A block of benchmark items: their words, n-grams and (once counts are known) seeds."""
+    """A block of benchmark items: their words, pairs and (once counts are known) seeds."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], least: float = 0.5):
         h, first = words.hashed(pa.array(texts, pa.string()), words.ALNUM)
-        self.ids = ids
+        self.ids, self.least = ids, least
         self.words = [h[first[i]:first[i + 1]] for i in range(len(ids))]
-        #: shorter items are seeds as a whole
-        self.lengths = sorted({min(SEED, len(w)) for w in self.words if len(w)})
-        self.grams = {n: [] for n in self.lengths}  # (hash, item, place)
-        for i, w in enumerate(self.words):
-            if len(w):
-                n = min(SEED, len(w))
-                g, _ = _grams(w, np.array([0, len(w)]), n)
-                self.grams[n] += [(int(x), i, p) for p, x in enumerate(g)]
-        self.known = {n: _Known(np.array([g[0] for g in self.grams[n]], U)) for n in self.lengths}
-        self.seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
-
-    def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """The rarest n-gram of each window of an item becomes a seed (of equals the first)."""
-        for n in self.lengths:
-            rows: dict[int, list] = {}
-            for x, i, p in self.grams[n]:
-                rows.setdefault(i, []).append((counts.get((n, x), 0), p, x))
-            seeds: dict[int, list] = {}
-            for i, many in rows.items():
-                for s in {min(many[k:k + WINDOW]) for k in range(max(1, len(many) - WINDOW + 1))}:
-                    seeds.setdefault(s[2], []).append((i, s[1]))
-            self.seeds[n] = seeds
-            self.known[n] = _Known(np.array(list(seeds), U))
+        self.size = np.diff(first)
+        #: starts that an alignment may lack; a hair more, so that rounding loses none
+        self.lack = np.floor((1 - least) * self.size + 1e-9).astype(np.int64)
+        #: words by which an alignment's diagonals may differ
+        self.slack = np.maximum(4, np.ceil(2 * (1 - least) * self.size).astype(np.int64))
+        # without a pair that must be there (one word, or a low ``least``) every word is a seed
+        single = (self.size == 1) | ((self.size > 2) & (self.lack > self.size - 2))
+        self.need = np.where(single | (self.size == 2), 1, np.minimum(HOLD, self.size - 1 - self.lack))
+        self.grams = {}  # kind: hash, item and start of each
+        for kind, of in _KINDS.items():
+            x, at = of(h, first)
+            item = np.searchsorted(first, at, "right") - 1
+            mine = single[item] == (kind == "word")
+            self.grams[kind] = x[mine], item[mine], (at - first[item])[mine]
+        self.known = {kind: _Known(x) for kind, (x, _, _) in self.grams.items()}
+        self.seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def choose(self, counts: dict[str, np.ndarray]) -> None:
+        """Seeds are an item's rarest starts, as many as it may lack and ``need`` more.
+
+        ``counts`` has a count for each known hash.  Starts that occur nowhere
+        are among them but need no look-up.
+        """
+        for kind, (x, item, start) in self.grams.items():
+            times = counts[kind][np.searchsorted(self.known[kind].sorted, x)] if len(x) else np.zeros(0, np.int64)
+            if kind == "pair":
+                place = np.concatenate([[0], np.cumsum(self.size)])[item] + start
+                total = np.bincount(place, times, minlength=int(self.size.sum()) + 1)[place]
+                # the rank of each start among those of its item, of equals the first
+                starts, slot = np.unique(place, return_inverse=True)
+                of, rarity = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+                of[slot], rarity[slot] = item, total
+                order = np.lexsort((starts, rarity, of))
+                rank = np.empty(len(starts), np.int64)
+                rank[order] = np.arange(len(starts)) - np.searchsorted(of[order], of[order], "left")
+                chosen = (rank[slot] < self.lack[item] + self.need[item]) & (times > 0)
+            else:
+                chosen = times > 0
+            x, item, start = x[chosen], item[chosen], start[chosen]
+            order = np.argsort(x, kind="stable")
+            self.known[kind] = _Known(x)
+            bounds = np.append(np.searchsorted(x[order], self.known[kind].sorted), len(x))
+            self.seeds[kind] = bounds, item[order], start[order]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -109,34 +145,76 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, place
 
 
+def _spots(items: Items, h: np.ndarray, first: np.ndarray):
+    """(row, item, diagonals) where ``need`` seeds of an item or more lie within its slack, by row and item."""
+    found = []  # row, item, diagonal
+    for kind, (bounds, item, start) in items.seeds.items():
+        if not len(item):
+            continue
+        x, at = _KINDS[kind](h, first)
+        hit, which = items.known[kind].where(x)
+        found.append((at[hit], kind, which))
+    if not found:
+        return
+    place = np.concatenate([f[0] for f in found])
+    many = np.concatenate([np.diff(items.seeds[kind][0])[which] for _, kind, which in found])
+    begin = np.concatenate([items.seeds[kind][0][which] for _, kind, which in found])
+    kinds = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+    order = np.argsort(place, kind="stable")
+    place, many, begin, kinds = place[order], many[order], begin[order], kinds[order]
+    row = np.searchsorted(first, place, "right") - 1
+    # whole rows, of about HITS hits together
+    total = np.concatenate([[0], np.cumsum(many)])
+    ends = np.flatnonzero(np.append(row[1:] != row[:-1], True)) + 1 if len(row) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(place):
+        k = max(np.searchsorted(total[ends], total[lo] + HITS, "right") - 1, np.searchsorted(ends, lo, "right"))
+        hi = int(ends[k])
+        n = many[lo:hi]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin[lo:hi], n) + inside
+        of = np.repeat(kinds[lo:hi], n)
+        item, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for k, (_, kind, _) in enumerate(found):
+            item[of == k] = items.seeds[kind][1][at[of == k]]
+            start[of == k] = items.seeds[kind][2][at[of == k]]
+        r = np.repeat(row[lo:hi], n)
+        base = int(row[lo])
+        pair = (r - base) * len(items.ids) + item
+        low = int(items.size.max())
+        span = int(np.diff(first[base:int(r[-1]) + 2]).max()) + low + int(items.slack.max()) + 1
+        key = np.sort(pair * span + np.repeat(place[lo:hi], n) - first[r] - start + low)
+        pair = key // span
+        item = pair % len(items.ids)
+        near = np.searchsorted(key, key + items.slack[item], "right") - np.arange(len(key))
+        full = np.flatnonzero(near >= items.need[item])
+        cuts = np.flatnonzero(np.diff(pair[full], prepend=-1)) if len(full) else full
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(full)]):
+            p = int(pair[full[a]])
+            yield base + p // len(items.ids), p % len(items.ids), (key[full[a:b]] - p * span - low).tolist()
+        lo = hi
+
+
 def _found(items: Items, h: np.ndarray, first: np.ndarray, least: float):
     """(row, item index, score, word start, word end) of each row and item with an alignment."""
-    spots: dict[tuple[int, int], list[int]] = {}
-    for n in items.lengths:
-        g, at = _grams(h, first, n)
-        hit, which = items.known[n].where(g)
-        rows = np.searchsorted(first, at[hit], "right") - 1
-        for r, a, w in zip(rows.tolist(), at[hit].tolist(), items.known[n].sorted[which].tolist()):
-            for i, p in items.seeds[n][w]:
-                spots.setdefault((r, i), []).append(a - p)
-    for (r, i), starts in spots.items():
+    for r, i, starts in _spots(items, h, first):
         item = items.words[i]
-        m = len(item)
-        slack = max(4, math.ceil(m * (1 / least - 1)) if least else m)
+        m, slack = len(item), int(items.slack[i])
+        whole = h[first[r]:first[r + 1]]
         lo = hi = None
         best = (0.0, 0, 0)
         # windows that overlap are aligned as one
-        for s in [*sorted(starts), None]:
+        for s in [*starts, None]:
             if s is not None and hi is not None and s - slack <= hi:
                 hi = max(hi, s + m + slack)
                 continue
             if hi is not None:
-                a, b = max(lo, first[r]), min(hi, first[r + 1])
-                text = h[a:b]
+                a = max(lo, 0)
+                text = whole[a:hi]
                 # no alignment can match more words than the two share
                 if np.isin(text, item).sum() >= least * m:
                     score, end = align(item, text)
-                    best = max(best, (score / (MATCH * m), int(a - first[r]), int(a - first[r]) + end))
+                    best = max(best, (score / (MATCH * m), a, a + end))
             if s is not None:
                 lo, hi = s - slack, s + m + slack
         if best[0] >= least:
@@ -157,11 +235,12 @@ def _blocks(benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, start, end): documents that hold a copy of an item.
 
-    ``score`` is the alignment's score as a share of a perfect one; rows with
-    ``least`` or more are given, the best place of each document row and item,
-    with its word bounds.  Items and texts without words give none; repeated
-    rows of docs are each reported, repeated items each under their id; empty
-    tables give none.  Other columns are ignored.
+    ``score`` is the alignment's score as a share of a perfect one; every row
+    and item with ``least`` or more is given, the best place of each, with its
+    word bounds (one word alone is no copy of an item of two).  Items and texts
+    without words give none; repeated rows of docs are each reported, repeated
+    items each under their id; empty tables give none.  Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -173,24 +252,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     source = docs.select("doc_id", "text")
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(benchmark):
-        items = Items(ids, texts)
+        items = Items(ids, texts, least)
         sent = spark.sparkContext.broadcast(items)
 
         def count(batches, sent=sent):
             known = sent.value.known
-            totals = {n: np.zeros(len(k.sorted), np.int64) for n, k in known.items()}
+            totals = {kind: np.zeros(len(k.sorted), np.int64) for kind, k in known.items() if len(k.sorted)}
             for b in words.slices(batches, "text"):
                 h, first = words.hashed(b.column("text"), words.ALNUM)
-                for n, k in known.items():
-                    totals[n] += np.bincount(k.where(_grams(h, first, n)[0])[1], minlength=len(k.sorted))
-            for n, k in known.items():
-                at = np.flatnonzero(totals[n])
-                yield pa.record_batch([pa.array(np.full(len(at), n, np.int32)), pa.array(k.sorted[at].view(np.int64)),
-                                       pa.array(totals[n][at])], names=["n", "gram", "times"])
-
-        counted = source.select("text").mapInArrow(count, "n int, gram long, times long")
-        counts = {(r[0], r[1] & (2**64 - 1)): r[2] for r in
-                  counted.groupBy("n", "gram").agg(F.sum("times")).collect()}  # of the block's own n-grams
+                for kind in totals:
+                    k = known[kind]
+                    totals[kind] += np.bincount(k.where(_KINDS[kind](h, first)[0])[1], minlength=len(k.sorted))
+            for kind, total in totals.items():
+                at = np.flatnonzero(total)
+                yield pa.record_batch([pa.array([kind] * len(at), pa.string()),
+                                       pa.array(known[kind].sorted[at].view(np.int64)), pa.array(total[at])],
+                                      names=["kind", "gram", "times"])
+
+        counted = source.select("text").mapInArrow(count, "kind string, gram long, times long")
+        rows = counted.groupBy("kind", "gram").agg(F.sum("times").alias("times")).toArrow()  # of the block's own pairs
+        kinds, gram = np.array(rows["kind"].to_pylist(), object), rows["gram"].to_numpy().view(U)
+        counts = {}
+        for kind, k in items.known.items():
+            counts[kind] = np.zeros(len(k.sorted), np.int64)
+            counts[kind][np.searchsorted(k.sorted, gram[kinds == kind])] = rows["times"].to_numpy()[kinds == kind]
         items.choose(counts)
         seeded = spark.sparkContext.broadcast(items)
 

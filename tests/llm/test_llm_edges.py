@@ -281,3 +281,41 @@ def test_hashes_are_of_words(spark):
     assert np.diff(first).tolist() == [3, 0, 0, 0, 2, 2, 2]
     assert h[0] == h[2] == words.hash_of("a") and h[1] == words.hash_of("b") == h[6]
     assert h[0] != h[3] and h[5] == words.hash_of("a" * 700_000)
+
+
+def _decontaminated(spark, items, docs, **more):
+    got = decontamination.contaminated(
+        spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string"), **more).collect()
+    return {(r.doc_id, r.item_id): r.score for r in got}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_decontamination_finds_evenly_edited_copies(spark, exact):
+    item = [f"i{k}" for k in range(40)]
+    around = [f"r{k}" for k in range(100)]
+    docs = {n: [*around, *(f"e{k}" if k % n == n - 1 else w for k, w in enumerate(item)), *around] for n in (3, 4, 5)}
+    docs[9] = [*around, *(x for k, w in enumerate(item) for x in (w, f"e{k}"))]  # a word put in after each
+    if exact:
+        docs[1] = [*around, *item]
+    got = _decontaminated(spark, {0: item}, docs)
+    assert got.keys() == {(d, 0) for d in docs} and 0.69 < got[5, 0] < 0.72 and got[4, 0] > 0.62
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8])
+def test_decontamination_finds_what_aligning_everything_finds(spark, least):
+    import pyarrow as pa
+    rng = random.Random(4)
+    vocabulary = [f"w{min(int(rng.expovariate(0.05)), 400)}" for _ in range(2000)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randint(1, 30))] for i in range(25)}
+    items = {i: t for i, t in items.items() if len(t) != 2}
+    docs = {}
+    for d in range(80):
+        copy = []
+        for w in items[rng.choice(list(items))]:
+            copy += rng.choices([[w], [rng.choice(vocabulary)], [], [w, rng.choice(vocabulary)]], [4, 1, 1, 1])[0]
+        docs[d] = [rng.choice(vocabulary) for _ in range(60)] + copy + [rng.choice(vocabulary) for _ in range(30)]
+    hashed = lambda t: words.hashed(pa.array([" ".join(t)]), words.ALNUM)[0]
+    wanted = {(d, i): decontamination.align(hashed(t), hashed(text))[0] / (2 * len(t))
+              for d, text in docs.items() for i, t in items.items()}
+    assert _decontaminated(spark, items, docs, least=least) == {k: s for k, s in wanted.items() if s >= least}
