@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..session import write_and_reload
 from . import words
 from .components import components
+from .rows import row_key
 from .xxh import xxh64
 
 #: Fingerprints compared at once in one task.
@@ -70,17 +71,15 @@ def fingerprints(column: pa.Array, shingle: int = 4) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row of docs; fp is the fingerprint's 64 bits as a bigint."""
-    id_type = docs.schema["doc_id"].dataType
-
+def fingerprint_table(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp, the fingerprint's 64 bits as a bigint, for every row of docs."""
     def run(batches):
         for b in words.slices(batches, "text", 1 << 20):
             fp = fingerprints(b.column("text"), shingle).view(np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("fp", T.LongType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema[c] for c in keep]).add("fp", T.LongType())
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def masks(radius: int, seed: int = 8) -> list[int]:
@@ -153,6 +152,14 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.groupBy("t", "key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _labelled(prints: DataFrame, radius: int, least) -> DataFrame:
+    """(fp, component, least): each distinct fingerprint, its group's, and the smallest ``least`` of its rows."""
+    distinct = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    found = components(links(distinct.select("fp"), radius))
+    return distinct.join(found, distinct.fp == found.node, "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -163,21 +170,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     none.  Other columns of docs are not read.
     """
     prints = write_and_reload(fingerprint_table(docs, shingle), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fp"), radius))
-    labelled = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = _labelled(prints, radius, F.col("doc_id"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(smallest, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each near-duplicate group: the row whose doc_id names the group.
+    """One row of each near-duplicate group: that of the smallest doc_id (null is the largest).
 
-    Of equal doc_ids one row stays.  Columns are those of docs.
+    Of several texts under that doc_id in one group the one with the smallest
+    hash stays, and one row of those equal in both.  Groups of different texts
+    each keep a row, also where they share a doc_id or have none.  Columns are
+    those of docs.
     """
-    first = (near_duplicates(docs, shingle, radius)
-             .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_row", row_key())
+    prints = write_and_reload(fingerprint_table(keyed, shingle, ("doc_id", "_row")), "simhash")
+    labelled = _labelled(prints, radius, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = labelled.groupBy("component").agg(F.min("least")["_row"].alias("_keep")).select("_keep")
+    # null-safe, so that the copies of a row are dealt out anew after the join, whose skew handling may split them
+    kept = keyed.join(first, F.col("_row").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)

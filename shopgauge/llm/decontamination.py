@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .rows import row_key
 from .words import U
 
 #: Words that a pair reaches ahead, and the seeds that an alignment must hold (fewer in short items).
@@ -242,14 +243,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
     items each under their id; empty tables give none.  Other columns are
     ignored.
     """
+    return _scan(docs, benchmark, least, "doc_id")
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, least: float, key: str) -> DataFrame:
+    """What ``contaminated`` gives, with column ``key`` of docs for doc_id."""
     spark = docs.sparkSession
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType),
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType),
                            T.StructField("item_id", benchmark.schema["item_id"].dataType),
                            T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()),
                            T.StructField("end", T.LongType())])
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[
         benchmark.schema["item_id"].dataType.simpleString()]
-    source = docs.select("doc_id", "text")
+    source = docs.select(key, "text")
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(benchmark):
         items = Items(ids, texts, least)
@@ -286,7 +292,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
                 rows = [(r, items.ids[i], *best) for r, i, best in _found(items, h, first, least)]
                 if rows:
                     r, item, score, start, end = zip(*rows)
-                    yield pa.record_batch([b.column("doc_id").take(pa.array(r)), pa.array(item, item_type),
+                    yield pa.record_batch([b.column(key).take(pa.array(r)), pa.array(item, item_type),
                                            pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                                           names=schema.names)
 
@@ -295,6 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the documents that hold a copy of an item (all rows of such a doc_id go)."""
-    bad = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows whose text holds a copy of an item; other texts under the same doc_id stay."""
+    keyed = docs.withColumn("_row", row_key())
+    bad = _scan(keyed, benchmark, least, "_row").select(F.col("_row").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_row") == F.col("_bad"), "left_anti").select(*docs.columns)

@@ -319,3 +319,20 @@ def test_decontamination_finds_what_aligning_everything_finds(spark, least):
     wanted = {(d, i): decontamination.align(hashed(t), hashed(text))[0] / (2 * len(t))
               for d, text in docs.items() for i, t in items.items()}
     assert _decontaminated(spark, items, docs, least=least) == {k: s for k, s in wanted.items() if s >= least}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """A third of the rows has no id, others share one: every group of texts keeps one row, every clean row stays."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"u{rng.randrange(10_000)}" for _ in range(60))
+    item, named, twice = text(), text(), text()
+    nameless = [text() for _ in range(6)]
+    rows = [(None, t) for t in nameless] + [(None, nameless[0]), (None, named), (1, named), (2, twice), (2, twice),
+            (2, text()), (2, item), (None, item), (3, None), (None, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = [(r.doc_id, r.text) for r in covering_simhash.keep_one(docs).collect()]
+    groups = {t: i for i, t in sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0)))}
+    assert sorted(kept, key=str) == sorted(((i, t) for t, i in groups.items()), key=str)
+    clean = decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.n for r in clean.collect()) == [k for k, (_, t) in enumerate(rows) if t != item]
+    assert covering_simhash.keep_one(docs.limit(0)).count() == 0 and clean.columns == docs.columns
