@@ -16,15 +16,13 @@ from shopgauge.session import checkpoint_dir, write_and_reload
 
 #: Columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text with no language nearer than this (cosine) is rejected; short clean texts are far from all.
-LEAST_COSINE = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those near to no learned language."""
-    learned = hyper_langid.prototypes(hyper_langid.training_rows(docs))
-    found = hyper_langid.predict(docs, learned, [*COLUMNS])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_COSINE)).select(*COLUMNS)
+    rows = hyper_langid.training_rows(docs)
+    found = hyper_langid.predict(docs, hyper_langid.prototypes(rows), [*COLUMNS], hyper_langid.profiles(rows))
+    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

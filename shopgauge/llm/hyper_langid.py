@@ -9,6 +9,13 @@ prototype is nearest by cosine.
 Learning sends one vector for each language from each task, summed by
 dimension, so what meets in one place is languages x dimensions, whatever the
 corpus.
+
+Cosines of 512 dimensions have a noise of 1/sqrt(512) about the true ones, so
+a low one does not say whether a text is in a learned language at all.  For
+that, n-grams also have one signed place each in a vector of 2^16 (noise
+1/256): a text whose cosine is below ``SURE`` is unknown unless the one with
+some language's profile in that space exceeds a level that rises with the
+text's length.
 """
 
 from __future__ import annotations
@@ -26,6 +33,10 @@ from .words import U
 DIMENSIONS, N = 512, 3
 #: N-gram vectors a worker remembers.
 REMEMBER = 60_000
+#: Places of a profile (a power of two), and the cosine of the prototypes from which a text needs no look at them.
+PLACES_BITS, SURE = 16, 0.25
+#: Cosines with profiles that unlearned texts reach: of no length, and of MANY n-grams or more.
+NOISE, FOREIGN, MANY = 0.02, 0.1, 400
 _GAP = np.uint32(0)
 
 
@@ -138,6 +149,56 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return table @ space().vectors(kinds).astype(np.float32), has
 
 
+def _placed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, unit values, row bounds, number of n-grams): the texts' n-grams in the space of profiles."""
+    grams, bounds, counts, _ = space().grams(texts)
+    h = words.mix(grams.astype(U) + U(0x51ED))
+    value = np.where(h & U(1), 1.0, -1.0) * counts
+    size = np.sqrt(words.group_sums(value ** 2, bounds))
+    value /= np.repeat(np.maximum(size, 1e-9), np.diff(bounds))
+    return (h >> U(64 - PLACES_BITS)).astype(np.int64), value, bounds, words.group_sums(counts, bounds)
+
+
+def profiles(docs: DataFrame) -> np.ndarray:
+    """A row for each language of docs (``text`` and ``lang``, nulls left out): its texts' n-grams, at unit length.
+
+    Each task sends at most 2^16 numbers for a language, summed by place.
+    """
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in words.slices(batches, "text", 1 << 19):
+            at, value, bounds, _ = _placed(b.column("text").to_pylist())
+            lang = np.array(b.column("lang").to_pylist(), object)
+            row = np.repeat(np.arange(len(lang)), np.diff(bounds))
+            whole = np.rint(value * 2 ** 20).astype(np.int64)
+            for name in set(lang):
+                if name not in sums:
+                    sums[name] = np.zeros(1 << PLACES_BITS, np.int64)
+                mine = (lang == name)[row]
+                np.add.at(sums[name], at[mine], whole[mine])
+        for name, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)),
+                                   pa.array(total[at])], names=["lang", "place", "value"])
+
+    rows = (docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+            .mapInArrow(run, "lang string, place int, value long")
+            .groupBy("lang", "place").agg(F.sum("value").alias("value")).toArrow())
+    names, which = np.unique(np.array(rows["lang"].to_pylist(), str), return_inverse=True)
+    out = np.zeros((len(names), 1 << PLACES_BITS))
+    out[which, rows["place"].to_numpy()] = rows["value"].to_numpy()
+    return (out / np.maximum(np.sqrt((out ** 2).sum(axis=1)), 1e-9)[:, None]).astype(np.float32)
+
+
+def familiar(texts: list[str], known: np.ndarray) -> np.ndarray:
+    """Whether each text is nearer to one of the profiles than unlearned texts of its length are."""
+    at, value, bounds, many = _placed(texts)
+    best = np.zeros(len(texts))
+    for profile in known:
+        best = np.maximum(best, words.group_sums(profile[at] * value, bounds))
+    return best > NOISE + (FOREIGN - NOISE) * np.minimum(1, many / MANY)
+
+
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     """The prototype of each language: the sum of the unit vectors of its texts, at unit length.
 
@@ -175,29 +236,36 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | None = None,
+            known: np.ndarray | None = None) -> DataFrame:
     """The columns ``keep`` of docs with ``lang_pred`` and ``score``, for each row.
 
     ``lang_pred`` is the language of the nearest prototype (of equals the
     first by name), ``score`` its cosine, not less than 0.  A null text and one
     without a letter is ``und`` with score 0, as is every text where nothing was
-    learned.  Repeated rows are alike; an empty table gives an empty one.
+    learned.  With profiles (``known``), so is a text that is not ``familiar``.
+    Repeated rows are alike; an empty table gives an empty one.
     """
     keep = [c for c in (keep or ["doc_id"]) if c not in ("lang_pred", "score")]
     source = docs.select(*keep, F.col("text").alias("_text"))
     names = np.array([*learned, "und"], object)
     sent = docs.sparkSession.sparkContext.broadcast(
-        np.array(list(learned.values()), np.float32).reshape(-1, DIMENSIONS))
+        (np.array(list(learned.values()), np.float32).reshape(-1, DIMENSIONS), known))
 
     def run(batches):
-        protos = sent.value
+        protos, known = sent.value
         for b in words.slices(batches, "_text", 1 << 19):
-            v, has = bundles([t or "" for t in b.column("_text").to_pylist()])
+            texts = [t or "" for t in b.column("_text").to_pylist()]
+            v, has = bundles(texts)
             best, score = np.full(len(v), len(protos)), np.zeros(len(v))
             if len(protos):
                 cosine = (v @ protos.T) / np.maximum(np.sqrt((v ** 2).sum(axis=1)), 1e-9)[:, None]
                 best = np.where(has, cosine.argmax(axis=1), len(protos))
                 score = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0.0)
+                doubt = np.flatnonzero(has & (score < SURE)) if known is not None else []
+                if len(doubt):
+                    gone = doubt[~familiar([texts[i] for i in doubt], known)]
+                    best[gone], score[gone] = len(protos), 0.0
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(names[best], pa.string()),
                                    pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
 

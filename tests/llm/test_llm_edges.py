@@ -336,3 +336,25 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     clean = decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.n for r in clean.collect()) == [k for k, (_, t) in enumerate(rows) if t != item]
     assert covering_simhash.keep_one(docs.limit(0)).count() == 0 and clean.columns == docs.columns
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    """Scripts that were never learned and long gibberish go, clean texts stay, also short ones."""
+    import corpus_pipeline
+    rows = [(r.doc_id, r.text, r.lang) for r in
+            spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rng = random.Random(6)
+    alphabets = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыьэюя", "".join(map(chr, range(0x4E00, 0x5000))),
+                 "abcdefghijklmnopqrstuvwxyz"]
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = [text(a, n) for a in alphabets[:3] for n in (20, 100, 400) for _ in range(10)]
+    foreign += [text(alphabets[3], 200) for _ in range(30)]
+    short = ["The cat is on the mat.", "The end of the day.", "La casa de la madre.", "Die Frau und der Mann.", "the", "and"]
+    # held out, so that none of them is learned
+    ids = (i for i in range(10_000_000, 11_000_000) if __import__("zlib").crc32(str(i).encode()) % 3 == 1)
+    added = {next(ids): t for t in [*foreign, *short]}
+    docs = spark.createDataFrame([*rows, *((i, t, "en") for i, t in added.items())], "doc_id long, text string, lang string")
+    docs = docs.withColumns({"source": F.lit("x"), "n_chars": F.length("text").cast("long")})
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert {i for i, t, _ in rows if any(c.isalpha() for c in t or "")} <= kept
+    assert {added[i] for i in kept if i in added} == set(short)
