@@ -23,29 +23,56 @@ SENTENCES = {
     "ApacheCopy": ["You may obtain a copy of the License at"],
     "MITLine": ["Released under the MIT License", "Licensed under the MIT License",
                 "This work is licensed under the MIT License"],
-    "MITGrant": ["Permission is hereby granted, free of charge, to any person obtaining a copy"],
+    "MITGrant": ["Permission is hereby granted, free of charge, to any person obtaining a copy",
+                 "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                 "associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+                 "including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+                 "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+                 "furnished to do so, subject to the following conditions:"],
     "MITNotice": ["The above copyright notice and this permission notice shall be included in all copies "
                   "or substantial portions of the Software"],
-    "AsIs": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
+    "AsIs": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
+             "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+             "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
     "GPL3Line": ["This work is licensed under the GNU General Public License, version 3",
                  "Licensed under the GNU General Public License, version 3",
                  "Released under the GNU General Public License, version 3"],
     "GPL2Line": ["This work is licensed under the GNU General Public License, version 2",
-                 "Licensed under the GNU General Public License, version 2"],
+                 "Licensed under the GNU General Public License, version 2",
+                 "Released under the GNU General Public License, version 2"],
     "GPLFree": ["This program is free software: you can redistribute it and/or modify it under the terms "
                 "of the GNU General Public License as published by the Free Software Foundation"],
+    "GPL3Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version"],
+    # a semicolon ends a sentence: the notice of version 2 is three of them
+    "GPLProgram": ["This program is free software"],
+    "GPLTerms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                 "published by the Free Software Foundation"],
+    "GPL2Later": ["either version 2 of the License, or (at your option) any later version"],
     "GPLWarranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
-    "LGPLLine": ["Licensed under the GNU Lesser General Public License, version 3"],
-    "BSDSource": ["Redistributions of source code must retain the above copyright notice"],
-    "BSDBinary": ["Redistributions in binary form must reproduce the above copyright notice"],
+    "LGPLLine": ["Licensed under the GNU Lesser General Public License, version 3",
+                 "Released under the GNU Lesser General Public License, version 3",
+                 "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "BSDSource": ["Redistributions of source code must retain the above copyright notice",
+                  "Redistributions of source code must retain the above copyright notice, this list of conditions "
+                  "and the following disclaimer"],
+    "BSDBinary": ["Redistributions in binary form must reproduce the above copyright notice",
+                  "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+                  "and the following disclaimer in the documentation and/or other materials provided with the "
+                  "distribution"],
     "BSDName": ["Neither the name of the copyright holder nor the names of its contributors may be used "
-                "to endorse or promote products derived from this software"],
+                "to endorse or promote products derived from this software",
+                "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                "or promote products derived from this software without specific prior written permission"],
     "MPLLine": ["This Source Code Form is subject to the terms of the Mozilla Public License, v",
                 "Licensed under the Mozilla Public License, version 2.0"],
     "CCBYNC4": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0"],
     "CCBYSA4": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"],
     "CCBY4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0"],
-    "CC0": ["To the extent possible under law, the author has waived all copyright"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright",
+            "To the extent possible under law, the author has waived all copyright and related or neighboring "
+            "rights to this work"],
     "Reserved": ["All rights reserved"],
 }
 # fixed values: rules in order; the first whose sentences stand side by side takes them
@@ -58,6 +85,10 @@ RULES = [
     ("MIT", ["MITLine"]),
     ("GPL-3.0", ["GPL3Line"]),
     ("GPL-2.0", ["GPL2Line"]),
+    ("GPL-3.0", ["GPL3Free", "GPLWarranty"]),
+    ("GPL-3.0", ["GPL3Free"]),
+    ("GPL-2.0", ["GPLProgram", "GPLTerms", "GPL2Later", "GPLWarranty"]),
+    ("GPL-2.0", ["GPLProgram", "GPLTerms", "GPL2Later"]),
     ("GPL", ["GPLFree", "GPLWarranty"]),
     ("GPL", ["GPLFree"]),
     ("LGPL-3.0", ["LGPLLine"]),

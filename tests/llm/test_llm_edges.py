@@ -358,3 +358,32 @@ def test_pipeline_rejects_unlearned_languages(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert {i for i, t, _ in rows if any(c.isalpha() for c in t or "")} <= kept
     assert {added[i] for i in kept if i in added} == set(short)
+
+
+def test_licence_notices_as_they_are_written(spark):
+    """Whole sentences of the MIT, BSD, GPL and Apache notices, a paragraph to a line."""
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+           "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+           "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+           "conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+           "substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+           "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+           "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.")
+    bsd = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+           "following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list "
+           "of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+           "distribution.\n")
+    name = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+            "promote products derived from this software without specific prior written permission.\n")
+    gpl = ("This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General "
+           "Public License as published by the Free Software Foundation{} either version {} of the License, or (at your "
+           "option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT "
+           "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.")
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+              "compliance with the License. You may obtain a copy of the License at\n\n http://www.apache.org/licenses/")
+    wanted = {mit: "MIT", bsd: "BSD-2-Clause", bsd + name: "BSD-3-Clause", gpl.format(":", ",", 3): "GPL-3.0",
+              gpl.format(";", ";", 2): "GPL-2.0", apache: "Apache-2.0"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.unmatched) for r in license_rules.recognise(df).collect()}
+    assert [got[i] for i in range(len(wanted))] == [([x], []) for x in wanted.values()]
