@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from . import (byte_bpe, covering_simhash, decontamination, deleted_interpolation, hyper_langid, license_rules,
-               oracle, secret_ledger, spotsigs, toxicity_fm, warc_chunks)
+from . import (byte_bpe, chat_grammar, covering_simhash, decontamination, deleted_interpolation, hyper_langid,
+               license_rules, merkle_climb, oracle, prefix_trie, secret_ledger, spotsigs, toxicity_fm, warc_chunks)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("type").alias("record_type"), F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the tampering: every document whose id has an even CRC loses its line ends
+    cut = (F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+           .otherwise(F.col("text")))
+    found = merkle_climb.climb(merkle_climb.build(merkle_climb.leaves(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", {"text": cut})))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = prefix_trie.trie(*prefix_trie.branched(table(spark, sf_dir, "conversations"), family=5, most=9))
+    return tree.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    return chat_grammar.read_back(chat_grammar.format_turns(rows.unionByName(both)), dealt=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +115,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_license_scans, op3_lm_scoring, op4_document_fingerprints, op5_decontamination, op6_byte_bpe,
-    op7_toxicity, op8_simhash, op9_language_id, op10_warc, pipeline)}
+    op7_toxicity, op8_simhash, op9_language_id, op10_warc,
+    op11_merkle_manifest, op12_prefix_trie, op13_chat_formatting, pipeline)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = oracle.ORACLES
