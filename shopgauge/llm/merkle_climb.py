@@ -2,7 +2,8 @@
 
 Building: each row is a leaf, each tree (a source) takes runs of ``FANOUT``
 nodes up to one node, and the trees' tops form one more tree.  ``RUNG`` levels
-are built at a time: a block of FANOUT^RUNG neighbours is one bounded group.
+are built at a time: a block of FANOUT^RUNG (729)
+neighbours is one bounded group.
 A block's nodes are stored as rows with the hashes of their siblings in each
 of the block's levels and a link to the node over the block.
 
@@ -35,7 +36,7 @@ from ..session import write_and_reload
 from .ranks import group_numbers, numbered
 
 FANOUT = 3
-RUNG = 4
+RUNG = 6
 BLOCK = FANOUT ** RUNG
 #: Node rows (some 350 bytes each) that are broadcast.
 BROADCAST_NODES = 100_000
@@ -184,8 +185,8 @@ def _joined(path: str) -> str:
     return f"aggregate({path}, X'', (all, s) -> all || s.left || s.right)"
 
 
-def _ascend(climbers: DataFrame, nodes: DataFrame, here: str, broadcast: bool) -> DataFrame:
-    """Climbs while the next node is among ``here`` (a condition on tree and rung); written."""
+def _ascend(climbers: DataFrame, nodes: DataFrame, here: str, broadcast: bool, result: str = "*") -> DataFrame:
+    """Climbs while the next node is among ``here`` (a condition on tree and rung); ``result`` of it is written."""
     spark = climbers.sparkSession
     hint = "/*+ BROADCAST(n) */" if broadcast else ""
     limit = "spark.sql.cteRecursionRowLimit"
@@ -200,7 +201,7 @@ def _ascend(climbers: DataFrame, nodes: DataFrame, here: str, broadcast: bool) -
                        c.proof || {_joined('n.path')},
                        CASE WHEN n.tree = {TOP} AND n.rung = 0 THEN n.hash ELSE c.subroot END
                 FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.rung = n.rung AND c.pos = n.pos)
-            SELECT * FROM climb WHERE tree IS NULL OR NOT ({here})""", climbers=climbers, nodes=nodes.where(here))
+            SELECT {result} FROM climb WHERE tree IS NULL OR NOT ({here})""", climbers=climbers, nodes=nodes.where(here))
         return write_and_reload(found, "merkle-climb")
     finally:
         if before is None:
@@ -209,10 +210,11 @@ def _ascend(climbers: DataFrame, nodes: DataFrame, here: str, broadcast: bool) -
             spark.conf.set(limit, before)
 
 
-def climb(m: Manifest) -> DataFrame:
+def climb(m: Manifest, whole_proof: bool = True) -> DataFrame:
     """(id, leaf, subroot, root, proof, folded_root, verified) for each leaf; hashes and proof in hex.
 
-    ``proof`` has the siblings from the lowest level to the root;
+    ``proof`` has the siblings from the lowest level to the root (its SHA-256
+    as ``proof_sha256`` if not ``whole_proof``, which writes far less);
     ``folded_root`` is what they give together with the row's ``start``.
     """
     climbers = m.leaf_rows.select(
@@ -225,8 +227,8 @@ def climb(m: Manifest) -> DataFrame:
     if m.top_low:
         climbers = _ascend(climbers, m.nodes, f"tree >= 0 AND rung > {m.source_low}", broadcast=True)
         climbers = _ascend(climbers, m.nodes, t, broadcast=False)
-    climbers = _ascend(climbers, m.nodes, f"NOT ({s}) AND NOT ({t})", broadcast=True)
+    proof = "lower(hex(proof)) AS proof" if whole_proof else "sha2(lower(hex(proof)), 256) AS proof_sha256"
+    found = _ascend(climbers, m.nodes, f"NOT ({s}) AND NOT ({t})", broadcast=True, result=f"id, leaf, subroot, {proof}, folded")
     root = F.lit(m.root)
-    return climbers.select("id", hex_of("leaf").alias("leaf"), hex_of("subroot").alias("subroot"), root.alias("root"),
-                           hex_of("proof").alias("proof"), hex_of("folded").alias("folded_root"),
-                           (hex_of("folded") == root).alias("verified"))
+    return found.select("id", hex_of("leaf").alias("leaf"), hex_of("subroot").alias("subroot"), root.alias("root"),
+                        proof.split()[-1], hex_of("folded").alias("folded_root"), (hex_of("folded") == root).alias("verified"))

@@ -105,7 +105,7 @@ def cut_text(r):
 @pytest.mark.parametrize("bound", [0, 10, 10**6])
 def test_merkle_against_brute_force(spark, apart, bound):
     rng = random.Random(2)
-    sources = ["hot"] * 700 + [f"s{k}" for k in range(90)] * 2 + [None] * 4 + ["é", "zz"]
+    sources = ["hot"] * 2300 + [f"s{k}" for k in range(90)] * 2 + [None] * 4 + ["é", "zz"]
     rows = [(i, f"line\n{i}" if rng.random() < 0.9 else None, rng.choice(["en", None, ""]), s, rng.choice([None, i]))
             for i, s in enumerate(sources)]
     rows += [rows[5]] * 30 + [(None, "no\nid", "en", "hot", 1), (None, None, None, None, None), (7, "tie\n", "x", "hot", 1),
