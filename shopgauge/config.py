@@ -52,9 +52,6 @@ class Params:
     horizons: tuple[int, ...] = (30, 60, 90)
     # Dimensions up to this many rows are broadcast; larger ones shuffle.
     broadcast_max_rows: int = 2_000_000
-    # Groups above this many rows take the distributed hot-group plans
-    # (bracketed percentiles, sort-based NTILE) instead of one task per group.
-    hot_group_rows: int = 200_000
     # Carry the uncapped revenue as revenue_raw through to the views
     keep_raw_revenue: bool = False
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.measures import mean, money_avg, money_sum, safe_div
+from ..functions.measures import money_sum, safe_div
 from ..sources.files import CORRUPT
+from . import rollup
 
 
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,13 +67,9 @@ def qa_excluded_share(enriched: DataFrame) -> DataFrame:
 
 def qa_region_sanity(last90: DataFrame) -> DataFrame:
     """Mean of daily (row-level) aov, tx and revenue per region."""
-    return (last90.groupBy("region")
-            .agg(mean("aov").alias("avg_aov"), F.avg("transactions").alias("avg_tx"),
-                 money_avg("revenue").alias("avg_rev"))
-            .orderBy(F.col("avg_aov").desc_nulls_first(), "region"))
+    return rollup.qa_region_sanity(rollup.by_store(last90))
 
 
 def qa_age_mix(last90: DataFrame) -> DataFrame:
     """Rows per store-age bucket, most rows first."""
-    return (last90.groupBy("store_age_bucket").agg(F.count(F.lit(1)).alias("rows"))
-            .orderBy(F.col("rows").desc(), "store_age_bucket"))
+    return rollup.qa_age_mix(rollup.by_day(last90))

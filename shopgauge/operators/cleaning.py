@@ -9,27 +9,34 @@ from ..config import AGE_BUCKET_ELSE, AGE_BUCKETS, Params
 from ..functions.dates import days_between
 from ..functions.measures import EXACT, flag, row_aov
 from ..sources.schemas import CLEANED_COLUMNS, ENRICHED_COLUMNS, FLAG_COLUMNS
-from .dedupe import desc_nulls_first, keep_best
-from .joins import attach, broadcast_if_small
+from .dedupe import keep_best
+from .joins import attach, side
 from .percentiles import group_percentiles
 
 
+#: What a store's own row and its region's say.
+STORE_FACTS = ["region", "opening_date", "population", "avg_income"]
+
+
+def store_facts(stores: DataFrame, regions: DataFrame, params: Params = Params(), dim_rows: dict | None = None) -> DataFrame:
+    """Stores of known regions with their region's facts; ``dim_rows`` has row bounds of the dimensions, where known."""
+    rg = side(regions.select("region", "population", "avg_income"), params.broadcast_max_rows, (dim_rows or {}).get("regions"))
+    return stores.select("store_id", "region", "opening_date").join(rg, "region").select("store_id", *STORE_FACTS)
+
+
+def _with_facts(df: DataFrame, facts: DataFrame, params: Params, dim_rows: dict | None) -> DataFrame:
+    return df.join(side(facts, params.broadcast_max_rows, (dim_rows or {}).get("stores")), "store_id")
+
+
 def enrich(sales: DataFrame, stores: DataFrame, regions: DataFrame,
            params: Params = Params(), dim_rows: dict | None = None) -> DataFrame:
     """B1: sales × stores × regions, inner joins (unknown stores and regions drop out).
 
-    ``dim_rows`` holds row counts of the dimensions already proven by the caller.
+    ``dim_rows`` holds row bounds of the dimensions already proven by the caller.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        n = (dim_rows or {}).get(name)
-        if n is None:
-            return broadcast_if_small(df, params.broadcast_max_rows)
-        return F.broadcast(df) if n <= params.broadcast_max_rows else df
-    st = side(stores.select("store_id", "region", "opening_date"), "stores")
-    rg = side(regions.select("region", "population", "avg_income"), "regions")
-    return (sales.join(st, "store_id").join(rg, "region")
+    return (_with_facts(sales, store_facts(stores, regions, params, dim_rows), params, dim_rows)
             .select("store_id", "date", F.col("revenue").cast("double").alias("revenue"),
-                    "transactions", "region", "opening_date", "population", "avg_income"))
+                    "transactions", *STORE_FACTS))
 
 
 def flag_anomalies(df: DataFrame) -> DataFrame:
@@ -58,8 +65,7 @@ def core_rule() -> F.Column:
             .otherwise(1))
 
 
-def rev_thresholds(flagged: DataFrame, params: Params = Params(),
-                   stats: dict | None = None) -> DataFrame:
+def rev_thresholds(flagged: DataFrame, params: Params = Params()) -> DataFrame:
     """Exact interpolated p01 / p99 of revenue per (region, date), on all rows.
 
     With ``thresholds_on_core_only`` (T3 fix) only core rows feed them.
@@ -68,9 +74,7 @@ def rev_thresholds(flagged: DataFrame, params: Params = Params(),
     if params.thresholds_on_core_only:
         src = flagged.where(core_rule() == 1)
     pct = group_percentiles(src, ["region", "date"], "revenue",
-                            {"p01_rev": params.winsor_lo, "p99_rev": params.winsor_hi},
-                            max_bcast_rows=params.broadcast_max_rows, stats=stats,
-                            small_group=params.hot_group_rows)
+                            {"p01_rev": params.winsor_lo, "p99_rev": params.winsor_hi})
     return pct.select("region", "date", "p01_rev", "p99_rev")
 
 
@@ -85,8 +89,8 @@ def sales_cleaned(flagged: DataFrame, thresholds: DataFrame, params: Params = Pa
                   keep_raw: bool = False, threshold_rows: int | None = None) -> DataFrame:
     """B4 + B5 + B6 (``stg.sales_cleaned``).
 
-    The thresholds table has one row per region-day, so it is broadcast
-    when its size is proven small and the fact rows are not moved.  A
+    The thresholds table has one row per region-day; where ``threshold_rows``
+    proves it small it is broadcast and the fact rows are not moved.  A
     NULL date never matches (SQL ``=``), so those rows stay uncapped.
     """
     j = attach(flagged, thresholds, ["region", "date"], "left", max_rows=params.broadcast_max_rows,
@@ -98,20 +102,37 @@ def sales_cleaned(flagged: DataFrame, thresholds: DataFrame, params: Params = Pa
                     core_rule().alias("keep_core"), *raw)
 
 
-def sales_dedup(cleaned: DataFrame, params: Params = Params()) -> DataFrame:
+#: The flags as bits of one number, in the order of FLAG_COLUMNS.
+def _packed_flags() -> F.Column:
+    bits = F.lit(0)
+    for k, c in enumerate(FLAG_COLUMNS):
+        bits = bits + F.col(c) * (1 << k)
+    return bits.cast("int")
+
+
+def sales_dedup(cleaned: DataFrame, params: Params = Params(), facts: DataFrame | None = None,
+                dim_rows: dict | None = None) -> DataFrame:
     """One row per (store_id, date): highest revenue_capped, then transactions,
     both DESC NULLS FIRST as in PostgreSQL.  NULL dates of a store form one key.
 
     Remaining ties fall to keep_core (high first) and the flags (low
     first) so the survivor is deterministic.  ``prefer_core`` (T5 fix)
     ranks a core row above any anomaly of the same store-day.
+
+    With ``facts`` (``store_facts``, one row per store) rows travel without
+    what follows from their store, which is joined to the survivors.
     """
-    fields = []
-    if params.prefer_core:
-        fields.append(F.col("keep_core"))
-    fields += desc_nulls_first("revenue_capped") + desc_nulls_first("transactions")
-    fields += [F.col("keep_core")] + [-F.col(c) for c in FLAG_COLUMNS]
-    return keep_best(cleaned, ["store_id", "date"], fields, rn_name="rn")
+    kept = [c for c in cleaned.columns if c not in FLAG_COLUMNS and not (facts is not None and c in STORE_FACTS)]
+    slim = cleaned.select(*kept, _packed_flags().alias("_flags"))
+    order = [F.col("keep_core").desc()] if params.prefer_core else []
+    order += [F.col("revenue_capped").desc_nulls_first(), F.col("transactions").desc_nulls_first(), F.col("keep_core").desc()]
+    order += [F.col("_flags").bitwiseAND(F.lit(1 << k)).asc() for k in range(len(FLAG_COLUMNS))]
+    best = keep_best(slim, ["store_id", "date"], order)
+    for k, c in enumerate(FLAG_COLUMNS):
+        best = best.withColumn(c, F.when(F.col("_flags").bitwiseAND(F.lit(1 << k)) > 0, 1).otherwise(0))
+    if facts is not None:
+        best = _with_facts(best, facts, params, dim_rows)
+    return best.select(*cleaned.columns, "rn")
 
 
 def age_bucket(days: F.Column) -> F.Column:

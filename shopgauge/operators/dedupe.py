@@ -1,9 +1,8 @@
-"""Keep the best row per key as an aggregation (skew-proof arg-max).
+"""Keep the best row per key without gathering the copies of a key.
 
-``ROW_NUMBER() OVER (PARTITION BY key ORDER BY ...) = 1`` would pull
-every copy of a key into one task.  ``max(struct(order..., payload...))``
-gives the same survivor, but Spark aggregates it partially on the map
-side, so a key with millions of copies leaves each task as one row.
+``ROW_NUMBER() = 1`` is planned as a WindowGroupLimit: each task keeps its own
+best row of a key before the shuffle, so a key with millions of copies leaves
+a task as one row.
 """
 
 from __future__ import annotations
@@ -11,34 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import top_k_per_group
 
-def desc_nulls_first(c: str) -> list[Column]:
-    """Sort-key fields for ``c DESC NULLS FIRST`` inside a max(struct)."""
-    return [F.col(c).isNull(), F.col(c)]
 
+def keep_best(df: DataFrame, keys: list[str], order: list[Column], rn_name: str = "rn") -> DataFrame:
+    """One row per ``keys`` (NULL keys are equal): the first by ``order``, numbered 1 in ``rn_name``.
 
-def desc_nulls_last(c: str) -> list[Column]:
-    return [F.col(c).isNotNull(), F.col(c)]
-
-
-def asc_nulls_last(c: str) -> list[Column]:
-    return [F.col(c).isNotNull(), -F.col(c)]
-
-
-def keep_best(df: DataFrame, keys: list[str], rank_fields: list[Column],
-              rn_name: str | None = None) -> DataFrame:
-    """One row per ``keys``: the row whose ``rank_fields`` tuple is largest.
-
-    ``rank_fields`` are compared left to right; build them with the
-    helpers above.  Remaining columns act as a final deterministic
-    tie-break, so the survivor never depends on task order.
+    Remaining columns act as a final deterministic tie-break, so the survivor
+    never depends on task order.
     """
-    payload = [c for c in df.columns if c not in keys]
-    ranked = [f.alias(f"_o{i}") for i, f in enumerate(rank_fields)]
-    best = F.max(F.struct(*ranked, *[F.col(f"`{c}`") for c in payload])).alias("_best")
-    out = df.groupBy(*keys).agg(best)
-    cols = [F.col(f"`{k}`") for k in keys] + [F.col(f"_best.`{c}`").alias(c) for c in payload]
-    out = out.select(*cols).select(*df.columns)
-    if rn_name:
-        out = out.withColumn(rn_name, F.lit(1))
-    return out
+    rest = [F.col(f"`{c}`").desc_nulls_last() for c in df.columns if c not in keys]
+    return top_k_per_group(df, keys, [*order, *rest], 1, rn_name)

@@ -2,52 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a plain count: one number from each task)."""
-    return df.count() <= max_rows
+def row_count(df: DataFrame) -> int:
+    """Rows of ``df``, counted as they pass: one number from each task, no exchange of its own."""
+    seen = Observation()
+    df.select(F.lit(1).alias("one")).observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["rows"]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only behind a proven row bound; else leave the join to Spark.
+def side(df: DataFrame, max_rows: int, known_rows: int | None) -> DataFrame:
+    """Broadcast hint only behind a known row bound; else Spark chooses by the sizes that it sees.
 
-    Above the bound the join falls back to a shuffle (sort-merge) join,
-    with AQE's skew-join handling for hot keys.
+    Without a hint Spark broadcasts what its own size threshold allows and
+    shuffles the rest, with AQE's skew-join handling for hot keys.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    return F.broadcast(df) if known_rows is not None and known_rows <= max_rows else df
 
 
 def attach(detail: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
            null_safe: bool = False, max_rows: int = 2_000_000,
            known_rows: int | None = None) -> DataFrame:
-    """Join a per-group table (or a one-row relation when ``on`` is empty) onto
-    detail rows; the per-group side is broadcast when its size is proven small,
-    so the detail side is not shuffled.
+    """Join a per-group table onto detail rows.
 
     ``null_safe`` matches NULL keys to each other (group keys such as a NULL
     date form a group of their own); the plain form follows SQL ``=``.
-    ``known_rows`` is a row count already proven by the caller.
+    ``known_rows`` is a bound on the rows of ``small`` already proven by the
+    caller: up to ``max_rows`` it is broadcast, so the detail is not shuffled.
     """
-    if known_rows is not None:
-        side = F.broadcast(small) if known_rows <= max_rows else small
-    else:
-        side = broadcast_if_small(small, max_rows)
-    if not on:
-        if how in ("left_semi", "left_anti"):
-            raise ValueError("semi/anti join needs keys")
-        return detail.crossJoin(side)
+    small = side(small, max_rows, known_rows)
     if not null_safe:
-        return detail.join(side, on=on, how=how)
-    renamed = side.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in on else F.col(f"`{c}`")
-                            for c in side.columns])
-    cond = None
+        return detail.join(small, on=on, how=how)
+    renamed = small.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in on else F.col(f"`{c}`")
+                             for c in small.columns])
+    cond: Column = F.lit(True)
     for k in on:
-        e = detail[k].eqNullSafe(renamed[f"_r_{k}"])
-        cond = e if cond is None else cond & e
+        cond = cond & detail[k].eqNullSafe(renamed[f"_r_{k}"])
     out = detail.join(renamed, cond, how)
-    if how in ("left_semi", "left_anti"):
-        return out
-    return out.drop(*[f"_r_{k}" for k in on])
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in on])

@@ -1,7 +1,7 @@
 """KPI core (C1–C16): network, region, store, calendar and lifecycle KPIs.
 
-Input is the last-90 view unless stated.  Every table is one
-aggregation (partial + final, one shuffle on its keys); peer statistics
+Input is the last-90 view unless stated.  Tables over the facts are merged
+from the states of ``rollup`` (partial + final aggregation); peer statistics
 are joined back from their small per-region aggregate instead of a
 window over a whole region, so a region holding most stores is still
 spread over all tasks.
@@ -13,28 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params
-from ..functions.dates import iso_weekday, week_start
-from ..functions.measures import kpi_aggs, mean, money_avg, row_aov
+from ..functions.measures import kpi_aggs, mean, money_avg
 from ..functions.stats import safe_corr, safe_intercept, safe_slope, z_score
+from . import rollup
 from .joins import attach
-from .ranking import add_ntiles
+from .ranking import add_ntiles, desc_first
 
 
 def exec_kpi(base: DataFrame) -> DataFrame:
     """Network revenue, transactions and aov*."""
-    return base.agg(*kpi_aggs(names=("total_revenue", "total_transactions", "network_aov")))
+    return rollup.exec_kpi(rollup.by_store(base))
 
 
 def regional_kpis(base: DataFrame) -> DataFrame:
     """Region KPIs plus the mean of daily per-capita revenue."""
-    per_capita = F.when(F.col("population") > 0,
-                        F.col("revenue") / F.col("population").cast("double"))
-    return base.groupBy("region").agg(*kpi_aggs(), mean(per_capita).alias("avg_rev_per_capita"))
+    return rollup.regional_kpis(rollup.by_store(base))
 
 
 def store_kpis(base: DataFrame) -> DataFrame:
     """Store KPIs over the window."""
-    return base.groupBy("store_id", "region").agg(*kpi_aggs())
+    return rollup.store_kpis(rollup.by_store(base))
 
 
 def region_bench(stores: DataFrame) -> DataFrame:
@@ -68,17 +66,17 @@ def stores_vs_region(stores: DataFrame, bench: DataFrame, params: Params = Param
 
 def weekday_seasonality(base: DataFrame) -> DataFrame:
     """KPIs by ISO weekday (1 = Monday)."""
-    return base.groupBy(iso_weekday("date").alias("weekday")).agg(*kpi_aggs())
+    return rollup.weekday_seasonality(rollup.by_day(base))
 
 
 def daily_trend(base: DataFrame) -> DataFrame:
     """C7."""
-    return base.groupBy("date").agg(*kpi_aggs())
+    return rollup.daily_trend(rollup.by_day(base))
 
 
 def weekly_trend(base: DataFrame) -> DataFrame:
     """Weeks start on Monday; edge weeks are partial, as in the reference."""
-    return base.groupBy(week_start("date").alias("week")).agg(*kpi_aggs())
+    return rollup.weekly_trend(rollup.by_day(base))
 
 
 def quarter_kpis(quarter: DataFrame) -> DataFrame:
@@ -92,22 +90,17 @@ def quarter_league(qk: DataFrame, params: Params = Params()) -> DataFrame:
 
     DESC sorts NULLs first as PostgreSQL does; store_id breaks ties.
     """
-    def by(c):
-        return [F.col(c).desc_nulls_first(), F.col("store_id")]
-    return add_ntiles(qk, ["region"], {"quartile_by_rev": (4, by("q_rev")),
-                                       "quartile_by_aov": (4, by("q_aov")),
-                                       "quartile_by_tx": (4, by("q_tx"))},
-                       small_group=params.hot_group_rows)
+    return add_ntiles(qk, ["region"], {f"quartile_by_{c}": (4, desc_first(f"q_{c}", "store_id")) for c in ("rev", "aov", "tx")})
 
 
 def lifecycle_kpis(base: DataFrame) -> DataFrame:
     """C11: KPIs by store-age bucket (pre-open included)."""
-    return base.groupBy("store_age_bucket").agg(*kpi_aggs())
+    return rollup.lifecycle_kpis(rollup.by_day(base))
 
 
 def aov_by_region(base: DataFrame) -> DataFrame:
     """Mean of row-level AOV per region (not aov*; trap T8)."""
-    return base.groupBy("region").agg(mean(row_aov()).alias("avg_aov"))
+    return rollup.aov_by_region(rollup.by_store(base))
 
 
 def income_vs_aov(aov_region: DataFrame, regions: DataFrame, params: Params = Params(),

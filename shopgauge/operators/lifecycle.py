@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions.dates import days_between, month_start, week_start
 from ..functions.measures import kpi_aggs, mean, money_avg
+from . import rollup
 from .percentiles import group_percentiles
 
 
@@ -35,15 +36,13 @@ def store_weeks(clean: DataFrame, params: Params = Params()) -> DataFrame:
 
 def store_totals(base: DataFrame, names=("rev90", "tx90", "aov90")) -> DataFrame:
     """Store totals over the last-90 view."""
-    return base.groupBy("store_id", "region").agg(*kpi_aggs(names=names))
+    return rollup.store_kpis(rollup.by_store(base), names)
 
 
 def network_medians(totals: DataFrame, params: Params = Params()) -> DataFrame:
     """Medians over stores of aov90 and tx90 (NULLs ignored; one row)."""
     return group_percentiles(totals, [], specs=[("aov90", {"median_aov90_store": 0.5}),
-                                                ("tx90", {"median_tx90_store": 0.5})],
-                             max_bcast_rows=params.broadcast_max_rows,
-                             small_group=params.hot_group_rows)
+                                                ("tx90", {"median_tx90_store": 0.5})])
 
 
 def ttb_flagged(weeks: DataFrame, medians: DataFrame, params: Params = Params()) -> DataFrame:
@@ -94,7 +93,6 @@ def ttb_summary(ttb: DataFrame, key: str, params: Params = Params()) -> DataFram
         ttb, [key], "weeks_to_benchmark", {"p50_weeks_to_bench": 0.5, "p90_weeks_to_bench": 0.9},
         extra_aggs=[F.count("weeks_to_benchmark").alias("stores_hit_bench"),
                     F.count(F.lit(1)).alias("stores_total"),
-                    F.avg("weeks_to_benchmark").alias("avg_weeks_to_bench")],
-        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
+                    F.avg("weeks_to_benchmark").alias("avg_weeks_to_bench")]).select(
         key, "stores_hit_bench", "stores_total", "avg_weeks_to_bench",
         "p50_weeks_to_bench", "p90_weeks_to_bench")

@@ -1,21 +1,16 @@
-"""Exact PERCENTILE_CONT per group that stays distributed when a group is hot.
-
-Groups of at most ``small_group`` rows (the usual case: stores of a
-region, rows of a region-day) use Spark's exact ``percentile``
-aggregate.  Larger groups would pin all their values on one task, so
-they are resolved by bracketing:
-
-1. A mergeable quantile sketch (``percentile_approx`` over a fixed grid
-   of probabilities) is built per hot group with map-side partial
-   aggregation, so the group is spread over every task that holds it.
-2. The sketch yields two values that bracket the wanted order statistic
-   with a wide safety margin; rows below the bracket are counted, rows
-   inside are kept.  Each round shrinks the candidates ~150-fold.
-3. Once a bracket holds at most ``small_group`` rows (or one value), the
-   exact order statistic is read from the bracket's value counts.
-
-The sketch only narrows the search; the answer is always an actual
-order statistic, so the result is exact.
+"""Exact PERCENTILE_CONT per group, in one plan that holds for groups of any size.
+
+1. Values are counted by (group, bucket, value); equal values combine on the
+   map side, so neither a hot group nor a hot value gathers.
+2. Counts by (group, bucket) are far fewer (see ``buckets``).  A window over
+   them tells in which bucket each wanted order statistic lies, and how many
+   values of the group lie before that bucket.
+3. The value counts of just those buckets are numbered in a window by
+   (group, bucket), a thousandth of a doubling of the value, and the order
+   statistics are read off.
+
+Nothing is decided by a size and no job runs while the plan is built.  The
+exchange of the value counts serves both uses, so the detail is read once.
 """
 
 from __future__ import annotations
@@ -23,164 +18,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .joins import attach, broadcast_if_small
+from .buckets import LAST, bucket
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of the keys; ``b`` has them with a leading _r_."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[f"_r_{k}"])
+    return cond
+
 
-GRID = 1000          # sketch probabilities 0, 1/GRID, ..., 1
-SKETCH_ROW_FACTOR = 200  # a sketch row (1001 doubles) weighs ~200 narrow rows
-ACCURACY = 10_000    # sketch rank error <= n / ACCURACY, well inside one grid step
-MARGIN = 3           # grid steps kept on each side of the target
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`") for c in df.columns])
 
 
 def group_percentiles(df: DataFrame, keys: list[str], value: str | Column | None = None,
                       probs: dict[str, float] | None = None, *,
                       specs: list[tuple[str | Column, dict[str, float]]] | None = None,
-                      extra_aggs: list[Column] = (), small_group: int = 200_000,
-                      max_rounds: int = 8, max_bcast_rows: int = 2_000_000,
-                      stats: dict | None = None) -> DataFrame:
+                      weight: str | None = None, extra_aggs: list[Column] = ()) -> DataFrame:
     """One row per group of ``df`` (groups whose values are all NULL included)
     with ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` per ``name -> p``.
 
-    ``specs`` lists several (value, probs) pairs; ``extra_aggs`` are further
-    aggregates of the same grouping (counts, means), computed in the same
-    pass when every group is small.  ``stats``, when given, receives
-    ``groups`` (result rows) and ``largest`` (rows of the biggest group), so
-    callers can broadcast the result without counting it again.
+    ``specs`` lists several (value, probs) pairs; a row stands for ``weight``
+    equal rows.  ``extra_aggs`` are further aggregates of the same grouping
+    (counts, means); they read ``df`` once more, so it should be a small or a
+    written table then.  Without keys the result is one row, also for an empty ``df``.
     """
     specs = list(specs or []) + ([(value, probs)] if value is not None else [])
-    vcols = []
-    data = df
-    for i, (val, _) in enumerate(specs):
-        c = (F.col(val) if isinstance(val, str) else val).cast("double")
-        data = data.withColumn(f"_v{i}", c)
-        vcols.append(f"_v{i}")
-
-    # rows per group bound every value column's count, and counting rows lets
-    # the scan skip the columns the values are computed from
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    row = sizes.agg(F.coalesce(F.max("_rows"), F.lit(0)), F.count(F.lit(1))).first()
-    largest, groups = row[0], row[1]
-    if stats is not None:
-        stats.update(groups=groups, largest=largest)
-    if largest <= small_group:
-        aggs = [F.percentile(F.col(c), F.lit(float(p))).alias(n)
-                for c, (_, pr) in zip(vcols, specs) for n, p in pr.items()]
-        return data.groupBy(*keys).agg(*aggs, *extra_aggs)
-    out = data.groupBy(*keys).agg(*extra_aggs) if extra_aggs else None
-    for c, (_, pr) in zip(vcols, specs):
-        part = _one_value(data.select(*keys, F.col(c).alias("_v")), keys, pr, small_group,
-                          max_rounds, max_bcast_rows)
-        out = part if out is None else attach(out, part, keys, null_safe=True,
-                                              max_rows=max_bcast_rows)
-    return out
-
-
-def _one_value(data: DataFrame, keys: list[str], probs: dict[str, float], small_group: int,
-               max_rounds: int, max_bcast_rows: int) -> DataFrame:
-    def exact(part: DataFrame) -> DataFrame:
-        aggs = [F.percentile(F.col("_v"), F.lit(float(p))).alias(n) for n, p in probs.items()]
-        return part.groupBy(*keys).agg(*aggs)
-
-    sizes = data.groupBy(*keys).agg(F.count("_v").alias("_n"))
-    # the one group of a keyless call may have many rows but few values (or none)
-    if not keys and sizes.first()["_n"] <= small_group:
-        return exact(data)
-    hot = broadcast_if_small(sizes.where(F.col("_n") > small_group), max_bcast_rows)
-    if not keys:
-        return _bracketed(data.where(F.col("_v").isNotNull()), hot, keys, probs,
-                          small_group, max_rounds, max_bcast_rows)
-    cold = exact(attach(data, hot.select(*keys), keys, "left_anti", null_safe=True))
-    hot_rows = attach(data.where(F.col("_v").isNotNull()), hot.select(*keys), keys,
-                      "left_semi", null_safe=True)
-    return cold.unionByName(_bracketed(hot_rows, hot, keys, probs, small_group,
-                                       max_rounds, max_bcast_rows))
-
-
-def _inside(lo: str = "_lo", hi: str = "_hi") -> Column:
-    return ((F.col(lo).isNull() | (F.col("_v") >= F.col(lo)))
-            & (F.col(hi).isNull() | (F.col("_v") <= F.col(hi))))
-
-
-def _bounds(sketch: Column) -> tuple[Column, Column]:
-    q = (F.col("_k") - F.col("_below")).cast("double") / F.col("_m").cast("double")
-    i_lo = F.greatest(F.floor(q * GRID) - MARGIN, F.lit(0))
-    i_hi = F.least(F.ceil(q * GRID) + MARGIN, F.lit(GRID))
-    return (F.element_at(sketch, (i_lo + 1).cast("int")),
-            F.element_at(sketch, (i_hi + 1).cast("int")))
-
-
-def _bracketed(rows: DataFrame, hot: DataFrame, keys: list[str], probs: dict[str, float],
-               small_group: int, max_rounds: int, max_bcast_rows: int) -> DataFrame:
-    spark = rows.sparkSession
-    names = list(probs)
-    tdf = spark.createDataFrame(
-        [(2 * i + s, float(probs[n]), s) for i, n in enumerate(names) for s in (0, 1)],
-        "_t int, _p double, _up int")
-    pos = (F.col("_n") - 1).cast("double") * F.col("_p")
-    targets = (hot.crossJoin(F.broadcast(tdf))
-               .select(*keys, "_n", "_t",
-                       F.when(F.col("_up") == 0, F.floor(pos)).otherwise(F.ceil(pos))
-                       .cast("bigint").alias("_k"),
-                       F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_m")))
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-
-    # round 1: one sketch per group serves every target of the group
-    sk = rows.groupBy(*keys).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_g"))
-    lo, hi = _bounds(F.col("_g"))
-    wide = max(1, max_bcast_rows // SKETCH_ROW_FACTOR)  # broadcast bound for sketch rows
-    bounds = attach(targets, sk, keys, null_safe=True, max_rows=wide).select(
-        *keys, "_n", "_t", "_k", "_below", lo.alias("_lo"), hi.alias("_hi"))
-    tagged = attach(rows, bounds, keys, null_safe=True, max_rows=max_bcast_rows)
-    counts = tagged.groupBy(*keys, "_t").agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_add"), F.count_if(_inside()).alias("_m"))
-    state = cut_lineage(
-        attach(bounds, counts, [*keys, "_t"], null_safe=True, max_rows=max_bcast_rows)
-        .select(*keys, "_n", "_t", "_k", (F.col("_below") + F.col("_add")).alias("_below"),
-                "_m", "_lo", "_hi"))
-    cand = cut_lineage(tagged.where(_inside()).select(*keys, "_t", "_v"))
-
-    for _ in range(max_rounds - 1):
-        open_ = state.where((F.col("_m") > small_group) & (F.col("_lo") < F.col("_hi")))
-        if open_.limit(1).count() == 0:
-            break
-        ok = [*keys, "_t"]
-        sk = (attach(cand, open_.select(*ok), ok, "left_semi", null_safe=True,
-                     max_rows=max_bcast_rows)
-              .groupBy(*ok).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_g")))
-        lo, hi = _bounds(F.col("_g"))
-        nb = attach(open_, sk, ok, null_safe=True, max_rows=wide).select(
-            *keys, "_n", "_t", "_k", "_below", lo.alias("_nlo"), hi.alias("_nhi"))
-        tagged = attach(cand, nb, ok, null_safe=True, max_rows=max_bcast_rows)
-        counts = tagged.groupBy(*ok).agg(
-            F.count_if(F.col("_v") < F.col("_nlo")).alias("_add"),
-            F.count_if(_inside("_nlo", "_nhi")).alias("_m"))
-        narrowed = attach(nb, counts, ok, null_safe=True, max_rows=max_bcast_rows).select(
-            *keys, "_n", "_t", "_k", (F.col("_below") + F.col("_add")).alias("_below"), "_m",
-            F.col("_nlo").alias("_lo"), F.col("_nhi").alias("_hi"))
-        kept = attach(state, nb.select(*ok), ok, "left_anti", null_safe=True,
-                      max_rows=max_bcast_rows)
-        state = cut_lineage(kept.unionByName(narrowed))
-        cand = cut_lineage(
-            attach(cand, state.select(*ok, "_lo", "_hi"), ok, null_safe=True,
-                   max_rows=max_bcast_rows).where(_inside()).select(*ok, "_v"))
-
-    # exact order statistic inside each bracket from its value counts
-    ok = [*keys, "_t"]
-    vc = (attach(cand, state.select(*ok, "_n", "_k", "_below"), ok, null_safe=True,
-                 max_rows=max_bcast_rows)
-          .groupBy(*ok, "_n", "_k", "_below", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*ok).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    j = F.col("_k") - F.col("_below")
-    picked = (vc.withColumn("_cum", F.sum("_c").over(w))
-              .where((F.col("_cum") - F.col("_c") <= j) & (j < F.col("_cum"))))
-    values = picked.groupBy(*keys, "_n").pivot("_t", list(range(2 * len(names)))).agg(
-        F.first("_v"))
+    values = [F.col(v) if isinstance(v, str) else v for v, _ in specs]
+    count = F.col(weight) if weight else F.lit(1)
+
+    # a row for each value column: _s tells which; NULL values are in a last bucket that no rank reaches
+    pairs = F.array(*[F.struct(F.lit(i).alias("_s"), v.cast("double").alias("_v")) for i, v in enumerate(values)])
+    long = df.select(*keys, count.alias("_c"), F.explode(pairs).alias("_p")).select(*keys, "_c", "_p._s", "_p._v")
+    counted = (long.withColumn("_b", F.coalesce(bucket(F.col("_v")), F.lit(LAST).cast("bigint")))
+               .groupBy(*keys, "_s", "_b", "_v").agg(F.sum("_c").alias("_c")))
+
+    # the wanted order statistics: positions floor and ceil of (n - 1) * p
+    known = F.when(F.col("_b") < LAST, F.col("_in")).otherwise(0)
+    per_bucket = counted.groupBy(*keys, "_s", "_b").agg(F.sum("_c").alias("_in"))
+    group = Window.partitionBy(*keys, "_s")
+    upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    per_bucket = per_bucket.select("*", (F.sum("_in").over(upto) - F.col("_in")).alias("_before"), F.sum(known).over(group).alias("_n"))
+    spots = F.when(F.lit(False), F.array().cast("array<struct<name:string,up:boolean,at:bigint>>"))
+    for i, (_, pr) in enumerate(specs):
+        place = {n: (F.col("_n") - 1).cast("double") * F.lit(float(p)) for n, p in pr.items()}
+        wanted = [F.struct(F.lit(n).alias("name"), F.lit(up).alias("up"), f(x).cast("bigint").alias("at"))
+                  for n, x in place.items() for up, f in ((False, F.floor), (True, F.ceil))]
+        spots = spots.when(F.col("_s") == i, F.array(*wanted))
+    here = F.filter(spots, lambda t: (F.col("_b") < LAST) & (t["at"] >= F.col("_before")) & (t["at"] < F.col("_before") + F.col("_in")))
+    targets = (per_bucket.withColumn("_t", here).where((F.size("_t") > 0) | (F.col("_n") == 0))
+               .select(*keys, "_s", "_b", "_before", "_n", "_t"))
+
+    on = [*keys, "_s", "_b"]
+    t = _renamed(targets, on)
+    found = counted.join(t, _same(counted, t, on)).drop(*[f"_r_{k}" for k in on])
+    upto = Window.partitionBy(*on).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.filter("_t", lambda t: (t["at"] >= F.col("_upto") - F.col("_c")) & (t["at"] < F.col("_upto")))
+    found = (found.withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
+             .withColumn("_w", inside).where((F.size("_w") > 0) | (F.col("_n") == 0))
+             .select(*keys, "_n", "_v", F.explode_outer("_w").alias("_w")))
     out = []
-    for i, name in enumerate(names):
-        p = F.lit(float(probs[name]))
-        pos = (F.col("_n") - 1).cast("double") * p
-        flo, fhi = F.floor(pos), F.ceil(pos)
-        lo_v, hi_v = F.col(f"`{2 * i}`"), F.col(f"`{2 * i + 1}`")
-        out.append(F.when(flo == fhi, lo_v)
-                   .otherwise((fhi - pos) * lo_v + (pos - flo) * hi_v).alias(name))
-    return values.select(*keys, *out)
+    for _, pr in specs:
+        for n, p in pr.items():
+            low, high = (F.max(F.when((F.col("_w.name") == n) & (F.col("_w.up") == up), F.col("_v"))) for up in (False, True))
+            at = (F.max(F.when(F.col("_w.name") == n, F.col("_n"))) - 1).cast("double") * F.lit(float(p))
+            lo, hi = F.floor(at), F.ceil(at)
+            out.append(F.when(lo == hi, low).otherwise((hi - at) * low + (at - lo) * high).alias(n))
+    found = found.groupBy(*keys).agg(*out)
+    if not extra_aggs:
+        return found
+    more = df.groupBy(*keys).agg(*extra_aggs)
+    if not keys:
+        return more.join(F.broadcast(found), how="left")  # one row
+    f = _renamed(found, keys)
+    return more.join(f, _same(more, f, keys)).drop(*[f"_r_{k}" for k in keys])

@@ -11,22 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params
-from ..functions.measures import kpi_aggs, mean, money_avg, safe_div
+from ..functions.measures import mean, money_avg, safe_div
+from . import rollup
 from .kpi import regression
-from .ranking import add_ntiles
+from .ranking import add_ntiles, asc_last
 
 
 def region_agg(base: DataFrame) -> DataFrame:
     """Region totals, aov*, mean population and income over its rows."""
-    return base.groupBy("region").agg(
-        *kpi_aggs(),
-        F.avg(F.col("population").cast("double")).alias("population"),
-        F.avg(F.col("avg_income").cast("double")).alias("avg_income"))
+    return rollup.region_agg(rollup.by_store(base))
 
 
 def network_bench(base: DataFrame) -> DataFrame:
     """Network totals and aov* (always exactly one row)."""
-    return base.agg(*kpi_aggs(names=("net_revenue", "net_transactions", "net_aov")))
+    return rollup.network_bench(rollup.by_store(base))
 
 
 def _per_capita() -> F.Column:
@@ -36,9 +34,7 @@ def _per_capita() -> F.Column:
 def region_income_bins(ra: DataFrame, params: Params = Params()) -> DataFrame:
     """D3: per-capita revenue and income quintile (NTILE(5) by income ASC, NULLs last)."""
     out = ra.withColumn("revenue_per_capita", _per_capita())
-    return add_ntiles(out, [], {"income_quintile": (
-        5, [F.col("avg_income").asc_nulls_last(), F.col("region")])},
-        small_group=params.hot_group_rows).select(
+    return add_ntiles(out, [], {"income_quintile": (5, asc_last("avg_income", "region"))}).select(
         "region", "revenue", "transactions", "aov", "population", "avg_income",
         "revenue_per_capita", "income_quintile")
 
@@ -84,9 +80,7 @@ def income_quintile_summary(bins: DataFrame) -> DataFrame:
 
 def population_bins(ra: DataFrame, params: Params = Params()) -> DataFrame:
     """Population tercile, NTILE(3) by population ASC (NULLs last)."""
-    return add_ntiles(ra, [], {"population_tercile": (
-        3, [F.col("population").asc_nulls_last(), F.col("region")])},
-        small_group=params.hot_group_rows)
+    return add_ntiles(ra, [], {"population_tercile": (3, asc_last("population", "region"))})
 
 
 def population_tercile_summary(pb: DataFrame) -> DataFrame:

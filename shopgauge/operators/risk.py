@@ -10,7 +10,7 @@ from ..functions.measures import mean, money_avg, safe_div
 from ..functions.stats import clamp, z_score
 from .joins import attach
 from .percentiles import group_percentiles
-from .ranking import add_ntiles, top_k_per_group
+from .ranking import add_ntiles, desc_first, top_k_per_group
 
 TOTALS = ("revenue90", "tx90", "aov90")
 
@@ -36,12 +36,9 @@ def store_z(totals: DataFrame, stats: DataFrame, params: Params = Params(),
 
 def store_league(z: DataFrame, params: Params = Params()) -> DataFrame:
     """quartiles and deciles within region (DESC, NULLs first; store_id breaks ties)."""
-    def by(c):
-        return [F.col(c).desc_nulls_first(), F.col("store_id")]
-    return add_ntiles(z, ["region"], {
-        "q_rev_in_region": (4, by("revenue90")), "d_rev_in_region": (10, by("revenue90")),
-        "q_aov_in_region": (4, by("aov90")), "q_tx_in_region": (4, by("tx90"))},
-        small_group=params.hot_group_rows)
+    rev, aov, tx = (desc_first(c, "store_id") for c in ("revenue90", "aov90", "tx90"))
+    return add_ntiles(z, ["region"], {"q_rev_in_region": (4, rev), "d_rev_in_region": (10, rev),
+                                      "q_aov_in_region": (4, aov), "q_tx_in_region": (4, tx)})
 
 
 def store_risk(league: DataFrame, params: Params = Params()) -> DataFrame:
@@ -76,8 +73,7 @@ def region_risk_summary(wl: DataFrame, params: Params = Params()) -> DataFrame:
         wl, ["region"], "revenue90", {"p10_rev": 0.1, "p90_rev": 0.9},
         extra_aggs=[F.count(F.lit(1)).alias("stores"),
                     money_avg("risk_score").alias("avg_risk_score"),
-                    F.sum("is_watchlist").cast("bigint").alias("at_risk_cnt")],
-        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows)
+                    F.sum("is_watchlist").cast("bigint").alias("at_risk_cnt")])
     return j.select("region", "stores", "avg_risk_score", "at_risk_cnt",
                     (F.lit(100.0) * safe_div(F.col("at_risk_cnt"), F.col("stores"))).alias("at_risk_pct"),
                     "p10_rev", "p90_rev",

@@ -7,37 +7,45 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import days_between
-from ..functions.measures import mean, money_sum, ratio_of_sums, row_aov
+from ..functions.measures import money_sum, ratio_of_sums, row_aov
 from .percentiles import group_percentiles
 
 DIST_PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-def aov_distribution(base: DataFrame, params: Params = Params()) -> DataFrame:
-    """G1: row-level AOV per region: n, mean, population sd and five exact percentiles."""
-    rows = base.select("region", row_aov().alias("aov"))
-    return group_percentiles(
-        rows, ["region"], "aov", DIST_PROBS,
-        extra_aggs=[F.count("aov").alias("n"), mean("aov").alias("mean_aov"),
-                    F.stddev_pop("aov").alias("sd_aov")],
-        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
-        "region", "n", "mean_aov", "sd_aov", *DIST_PROBS)
+def aov_counts(base: DataFrame) -> DataFrame:
+    """G1: (region, aov, rows): the row-level AOVs and how often each occurs; what both summaries need of the facts."""
+    return base.groupBy("region", row_aov().alias("aov")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def aov_distribution(counts: DataFrame, params: Params = Params()) -> DataFrame:
+    """G1: row-level AOV per region: n, mean, population sd and five exact percentiles, from ``aov_counts``."""
+    n = F.sum(F.when(F.col("aov").isNotNull(), F.col("rows")).otherwise(0))
+    total = F.sum(F.col("aov") * F.col("rows"))
+    centre = counts.groupBy("region").agg(n.alias("n"), F.try_divide(total, n.cast("double")).alias("mean_aov"))
+    centre = centre.select(F.col("region").alias("_region"), "n", "mean_aov")
+    spread = (counts.join(centre, F.col("region").eqNullSafe(F.col("_region"))).groupBy("region", "n", "mean_aov")
+              .agg(F.sum(F.col("rows") * (F.col("aov") - F.col("mean_aov")) ** 2).alias("_square"))
+              .select(F.col("region").alias("_region"), "n", "mean_aov",
+                      F.sqrt(F.try_divide(F.col("_square"), F.col("n").cast("double"))).alias("sd_aov")))
+    points = group_percentiles(counts, ["region"], "aov", DIST_PROBS, weight="rows")
+    return points.join(spread, F.col("region").eqNullSafe(F.col("_region"))).select("region", "n", "mean_aov", "sd_aov", *DIST_PROBS)
 
 
-def aov_histogram(base: DataFrame, params: Params = Params()) -> DataFrame:
-    """G1: fixed-width AOV histogram per region over the network-wide AOV range.
+def aov_histogram(counts: DataFrame, params: Params = Params()) -> DataFrame:
+    """G1: fixed-width AOV histogram per region over the network-wide AOV range, from ``aov_counts``.
 
     Bin b (1..bins) covers [lo + (b-1)w, lo + b*w); the maximum falls in
     the last bin.  The range is a one-row global aggregate.
     """
     bins = params.histogram_bins
-    rows = base.select("region", row_aov().alias("aov")).where(F.col("aov").isNotNull())
+    rows = counts.where(F.col("aov").isNotNull())
     rng = rows.agg(F.min("aov").alias("_lo"), F.max("aov").alias("_hi"))
     j = rows.crossJoin(F.broadcast(rng))
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width > 0, F.least(F.floor((F.col("aov") - F.col("_lo")) / width * bins) + 1,
                                   F.lit(bins))).otherwise(F.lit(1)).cast("int")
-    return (j.groupBy("region", b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("rows"))
+    return (j.groupBy("region", b.alias("bin"), "_lo", "_hi").agg(F.sum("rows").alias("rows"))
             .select("region", "bin",
                     (F.col("_lo") + (F.col("bin") - 1) * (F.col("_hi") - F.col("_lo")) / bins)
                     .alias("bin_lo"),
@@ -72,33 +80,36 @@ def new_store_horizons(clean: DataFrame, params: Params = Params()) -> DataFrame
     (first sale date .. as-of), i.e. the store is comparable at that horizon.
     """
     days = days_between("date", "opening_date")
-    span = clean.agg(F.min("date").alias("_first"))  # one row
-    j = clean.where(days >= 0).crossJoin(F.broadcast(span))
+    # the facts are read once: sums and the first day by store, and then the first day of all
     aggs = []
     for k in params.horizons:
-        inside = days < k
+        inside = (days >= 0) & (days < k)
         rev = money_sum(F.when(inside, F.col("revenue")))
         tx = F.sum(F.when(inside, F.col("transactions")))
-        complete = ((F.col("opening_date") >= F.first("_first"))
-                    & (F.date_add(F.col("opening_date"), k - 1) <= F.lit(params.as_of)))
         aggs += [rev.alias(f"rev_d{k}"), tx.cast("bigint").alias(f"tx_d{k}"),
-                 ratio_of_sums(rev, tx).alias(f"aov_d{k}"),
-                 F.when(complete, 1).otherwise(0).alias(f"complete_d{k}")]
-    return j.groupBy("store_id", "region", "opening_date").agg(*aggs)
+                 ratio_of_sums(rev, tx).alias(f"aov_d{k}")]
+    return clean.groupBy("store_id", "region", "opening_date").agg(
+        *aggs, F.min("date").alias("_first"), F.count_if(days >= 0).alias("_open_days"))
+
+
+def with_complete(horizons: DataFrame, params: Params = Params()) -> DataFrame:
+    """The stores with sales since opening, and whether each horizon lies in the observed history."""
+    first = horizons.agg(F.min("_first").alias("_start"))  # one row
+    j = horizons.where(F.col("_open_days") > 0).crossJoin(F.broadcast(first))
+    out = []
+    for k in params.horizons:
+        complete = ((F.col("opening_date") >= F.col("_start"))
+                    & (F.date_add(F.col("opening_date"), k - 1) <= F.lit(params.as_of)))
+        out += [f"rev_d{k}", f"tx_d{k}", f"aov_d{k}", F.when(complete, 1).otherwise(0).alias(f"complete_d{k}")]
+    return j.select("store_id", "region", "opening_date", *out)
 
 
 def new_store_benchmarks(horizons: DataFrame, params: Params = Params()) -> DataFrame:
     """Network medians at each horizon over the stores observed for the whole horizon."""
-    parts = []
-    for k in params.horizons:
-        parts.append(horizons.where(F.col(f"complete_d{k}") == 1).select(
-            F.lit(k).alias("horizon_days"), F.col(f"rev_d{k}").alias("rev"),
-            F.col(f"tx_d{k}").cast("double").alias("tx"), F.col(f"aov_d{k}").alias("aov")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    seen = [F.struct(F.lit(k).alias("horizon_days"), F.col(f"rev_d{k}").alias("rev"), F.col(f"tx_d{k}").cast("double").alias("tx"),
+                     F.col(f"aov_d{k}").alias("aov"), (F.col(f"complete_d{k}") == 1).alias("complete")) for k in params.horizons]
+    long = horizons.select(F.explode(F.array(*seen)).alias("h")).select("h.*").where("complete").drop("complete")
     return group_percentiles(
         long, ["horizon_days"], specs=[(c, {f"median_{c}": 0.5}) for c in ("rev", "tx", "aov")],
-        extra_aggs=[F.count(F.lit(1)).alias("stores")],
-        max_bcast_rows=params.broadcast_max_rows, small_group=params.hot_group_rows).select(
+        extra_aggs=[F.count(F.lit(1)).alias("stores")]).select(
         "horizon_days", "stores", "median_rev", "median_tx", "median_aov")

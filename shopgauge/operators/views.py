@@ -35,9 +35,13 @@ def sales_last90(enriched: DataFrame, params: Params = Params()) -> DataFrame:
     return visible(_date_range(enriched, params.window_start, end).where(F.col("keep_core") == 1))
 
 
+def core(enriched: DataFrame) -> DataFrame:
+    return enriched.where(F.col("keep_core") == 1)
+
+
 def sales_clean_alltime(enriched: DataFrame) -> DataFrame:
     """B10 ``v_sales_clean_alltime``."""
-    return visible(enriched.where(F.col("keep_core") == 1))
+    return visible(core(enriched))
 
 
 def sales_anomalies(enriched: DataFrame) -> DataFrame:

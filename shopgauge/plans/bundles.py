@@ -53,8 +53,12 @@ def json_lines(df: DataFrame, section: str) -> DataFrame:
 
 
 def bundle(m: RetailModel, name: str) -> DataFrame:
-    """All sections of one bundle."""
-    return reduce(DataFrame.unionAll, [json_lines(QUERIES[q](m), s) for s, q in BUNDLES[name].items()])
+    """All sections of one bundle, from shared written intermediates: facts are cleaned once and then rolled up.
+
+    Store-weeks need the whole history, so its bundle writes all of ``sales_enriched``.
+    """
+    shared = m.sharing(whole_history=name == "lifecycle_bundle")
+    return reduce(DataFrame.unionAll, [json_lines(QUERIES[q](shared), s) for s, q in BUNDLES[name].items()])
 
 
 for _name in BUNDLES:

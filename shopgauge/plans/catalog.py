@@ -6,53 +6,76 @@ store-weeks …) are built once per model and reused as DataFrames.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..operators import kpi, lifecycle, regional, risk, summaries
+from ..operators import kpi, lifecycle, regional, risk, rollup, summaries
+from ..session import write_and_reload
 from .registry import register
 from .stages import RetailModel
 
 
 def memo(fn):
-    """Build an intermediate once per model.  With ``share_intermediates`` the
-    result is also persisted (MEMORY_AND_DISK; lost blocks are recomputed from
-    the materialised ``sales_enriched``), as the reference's CTEs are reused by
-    several outputs while Spark would otherwise recompute each reference."""
+    """An intermediate, built once per model.
+
+    ``f(m)`` is a plan, or the written table once there is one; ``f.written(m)``
+    writes it first.  Tables that a result needs more than once (to join a
+    group's aggregate to its rows, to number rows, for percentiles) are
+    written, as the reference's temporary tables are, so nothing is computed
+    again.  With ``share_intermediates`` all of them are.
+    """
     name = fn.__name__
 
-    def wrapper(m: RetailModel) -> DataFrame:
+    def build(m: RetailModel, write: bool) -> DataFrame:
         cache = m.__dict__.setdefault("_memo", {})
-        if name not in cache:
-            df = fn(m)
-            if m.share_intermediates:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            cache[name] = df
-        return cache[name]
+        if name not in cache or (write and not cache[name][1]):
+            plan = cache[name][0] if name in cache else fn(m)
+            cache[name] = (m.keep(write_and_reload(plan, name)) if write else plan, write)
+        return cache[name][0]
+
+    def wrapper(m: RetailModel) -> DataFrame:
+        return build(m, m.share_intermediates)
     wrapper.__name__ = name
+    wrapper.written = lambda m: build(m, True)
     return wrapper
 
 
+# ---- the roll-up lattice ------------------------------------------------------
+@memo
+def store_states(m):
+    return rollup.by_store(m.last90)
+
+
+@memo
+def day_states(m):
+    return rollup.by_day(m.last90)
+
+
+register("rollup_by_store")(store_states)
+register("rollup_by_day")(day_states)
+register("qa_region_sanity")(lambda m: rollup.qa_region_sanity(store_states(m)))
+register("qa_age_mix")(lambda m: rollup.qa_age_mix(day_states(m)))
+
+
 # ---- C: KPI core ---------------------------------------------------------
 @memo
 def store_kpis(m):
-    return kpi.store_kpis(m.last90)
+    return rollup.store_kpis(store_states(m))
 
 
 @memo
 def stores_vs_region(m):
-    return kpi.stores_vs_region(store_kpis(m), kpi.region_bench(store_kpis(m)), m.params,
-                                m.dim_rows["regions"])
+    stores = store_kpis.written(m)
+    return kpi.stores_vs_region(stores, kpi.region_bench(stores), m.params, m.dim_rows["regions"])
 
 
 @memo
 def regional_kpis(m):
-    return kpi.regional_kpis(m.last90)
+    return rollup.regional_kpis(store_states(m))
 
 
 @memo
 def income_vs_aov(m):
-    return kpi.income_vs_aov(kpi.aov_by_region(m.last90), m.regions, m.params,
+    return kpi.income_vs_aov(rollup.aov_by_region(store_states(m)), m.regions, m.params,
                              m.dim_rows["regions"])
 
 
@@ -61,18 +84,23 @@ def quarter_kpis(m):
     return kpi.quarter_kpis(m.quarter)
 
 
-register("exec_kpi")(lambda m: kpi.exec_kpi(m.last90))
+register("exec_kpi")(lambda m: rollup.exec_kpi(store_states(m)))
 register("regional_kpis")(regional_kpis)
 register("store_kpis")(store_kpis)
 register("region_bench")(lambda m: kpi.region_bench(store_kpis(m)))
 register("stores_vs_region")(stores_vs_region)
-register("weekday_seasonality")(lambda m: kpi.weekday_seasonality(m.last90))
-register("daily_trend")(lambda m: kpi.daily_trend(m.last90))
-register("weekly_trend")(lambda m: kpi.weekly_trend(m.last90))
+register("weekday_seasonality")(lambda m: rollup.weekday_seasonality(day_states(m)))
+register("daily_trend")(lambda m: rollup.daily_trend(day_states(m)))
+register("weekly_trend")(lambda m: rollup.weekly_trend(day_states(m)))
 register("quarter_kpis")(quarter_kpis)
-register("quarter_league")(lambda m: kpi.quarter_league(quarter_kpis(m), m.params))
-register("lifecycle_kpis")(lambda m: kpi.lifecycle_kpis(m.last90))
-register("aov_by_region")(lambda m: kpi.aov_by_region(m.last90))
+@memo
+def quarter_league(m):
+    return kpi.quarter_league(quarter_kpis.written(m), m.params)
+
+
+register("quarter_league")(quarter_league)
+register("lifecycle_kpis")(lambda m: rollup.lifecycle_kpis(day_states(m)))
+register("aov_by_region")(lambda m: rollup.aov_by_region(store_states(m)))
 register("income_vs_aov")(income_vs_aov)
 register("income_aov_regression")(lambda m: kpi.income_aov_regression(income_vs_aov(m)))
 register("top5_regions")(lambda m: kpi.top_regions(regional_kpis(m), m.params.top_regions))
@@ -84,22 +112,22 @@ register("bottom20_stores")(lambda m: kpi.bottom_stores(stores_vs_region(m), m.p
 # ---- D: regional drivers ---------------------------------------------------
 @memo
 def region_agg(m):
-    return regional.region_agg(m.last90)
+    return rollup.region_agg(store_states(m))
 
 
 @memo
 def network_bench(m):
-    return regional.network_bench(m.last90)
+    return rollup.network_bench(store_states(m))
 
 
 @memo
 def region_income_bins(m):
-    return regional.region_income_bins(region_agg(m), m.params)
+    return regional.region_income_bins(region_agg.written(m), m.params)
 
 
 @memo
 def population_bins(m):
-    return regional.population_bins(region_agg(m), m.params)
+    return regional.population_bins(region_agg.written(m), m.params)
 
 
 register("region_agg")(region_agg)
@@ -107,7 +135,7 @@ register("network_bench")(network_bench)
 register("region_income_bins")(region_income_bins)
 register("income_aov_stats")(lambda m: regional.income_aov_stats(region_agg(m)))
 register("revenue_decomposition")(
-    lambda m: regional.revenue_decomposition(region_agg(m), network_bench(m)))
+    lambda m: regional.revenue_decomposition(region_agg.written(m), network_bench(m)))
 register("income_quintile_summary")(
     lambda m: regional.income_quintile_summary(region_income_bins(m)))
 register("population_bins")(population_bins)
@@ -123,12 +151,12 @@ def store_weeks(m):
 
 @memo
 def store_last90(m):
-    return lifecycle.store_totals(m.last90)
+    return rollup.store_kpis(store_states(m), ("rev90", "tx90", "aov90"))
 
 
 @memo
 def network_medians(m):
-    return lifecycle.network_medians(store_last90(m), m.params)
+    return lifecycle.network_medians(store_last90.written(m), m.params)
 
 
 @memo
@@ -160,31 +188,31 @@ register("time_to_benchmark_weekly")(time_to_benchmark_weekly)
 register("cohort_ramp")(lambda m: lifecycle.cohort_ramp(store_weeks(m)))
 register("regional_ramp")(lambda m: lifecycle.regional_ramp(store_weeks(m)))
 register("ttb_region_summary")(
-    lambda m: lifecycle.ttb_summary(time_to_benchmark(m), "region", m.params))
+    lambda m: lifecycle.ttb_summary(time_to_benchmark.written(m), "region", m.params))
 register("ttb_cohort_summary")(
-    lambda m: lifecycle.ttb_summary(time_to_benchmark(m), "cohort_month", m.params))
+    lambda m: lifecycle.ttb_summary(time_to_benchmark.written(m), "cohort_month", m.params))
 register("ttb_region_summary_weekly")(
-    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly(m), "region", m.params))
+    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly.written(m), "region", m.params))
 register("ttb_cohort_summary_weekly")(
-    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly(m), "cohort_month", m.params))
+    lambda m: lifecycle.ttb_summary(time_to_benchmark_weekly.written(m), "cohort_month", m.params))
 register("ttb_flagged_weekly")(ttb_flagged_weekly)
 
 
 # ---- F: league and risk ------------------------------------------------------
 @memo
 def store_totals90(m):
-    return lifecycle.store_totals(m.last90, risk.TOTALS)
+    return rollup.store_kpis(store_states(m), risk.TOTALS)
 
 
 @memo
 def store_z(m):
-    return risk.store_z(store_totals90(m), risk.region_stats(store_totals90(m)), m.params,
-                        m.dim_rows["regions"])
+    totals = store_totals90.written(m)
+    return risk.store_z(totals, risk.region_stats(totals), m.params, m.dim_rows["regions"])
 
 
 @memo
 def store_league(m):
-    return risk.store_league(store_z(m), m.params)
+    return risk.store_league(store_z.written(m), m.params)
 
 
 @memo
@@ -208,7 +236,7 @@ register("store_league")(store_league)
 register("store_risk")(store_risk)
 register("watchlist")(store_result)
 register("region_risk_summary")(
-    lambda m: risk.region_risk_summary(watchlist_full(m), m.params))
+    lambda m: risk.region_risk_summary(watchlist_full.written(m), m.params))
 register("region_leaders_top10")(
     lambda m: risk.region_leaders(store_result(m), m.params.board_size))
 register("region_watchlist_top10")(
@@ -217,18 +245,28 @@ register("region_watchlist_top10")(
 
 # ---- G: README summaries -----------------------------------------------------
 @memo
-def new_store_horizons(m):
+def new_store_sums(m):
     return summaries.new_store_horizons(m.clean_alltime, m.params)
 
 
-register("aov_distribution")(lambda m: summaries.aov_distribution(m.last90, m.params))
-register("aov_histogram")(lambda m: summaries.aov_histogram(m.last90, m.params))
+@memo
+def new_store_horizons(m):
+    return summaries.with_complete(new_store_sums.written(m), m.params)
+
+
+@memo
+def aov_counts(m):
+    return summaries.aov_counts(m.last90)
+
+
+register("aov_distribution")(lambda m: summaries.aov_distribution(aov_counts.written(m), m.params))
+register("aov_histogram")(lambda m: summaries.aov_histogram(aov_counts.written(m), m.params))
 register("income_aov_fit")(lambda m: summaries.income_aov_fit(
-    income_vs_aov(m), kpi.income_aov_regression(income_vs_aov(m))))
+    income_vs_aov.written(m), kpi.income_aov_regression(income_vs_aov.written(m))))
 register("below_peer_heatmap")(lambda m: summaries.below_peer_heatmap(store_z(m)))
 register("new_store_30_60_90")(new_store_horizons)
 register("new_store_benchmarks")(
-    lambda m: summaries.new_store_benchmarks(new_store_horizons(m), m.params))
+    lambda m: summaries.new_store_benchmarks(new_store_horizons.written(m), m.params))
 
 
 def register_views(m: RetailModel) -> None:

@@ -40,12 +40,12 @@ def kpi_report(m: RetailModel) -> dict[str, DataFrame]:
         "weekday_seasonality": kpi.weekday_seasonality(b),
         "daily_trend": kpi.daily_trend(b),
         "weekly_trend": kpi.weekly_trend(b),
-        "quarter_league": kpi.quarter_league(catalog.quarter_kpis(m), m.params),
+        "quarter_league": catalog.quarter_league(m),
         "lifecycle_kpis": kpi.lifecycle_kpis(b),
         "income_vs_aov": catalog.income_vs_aov(m),
         "income_aov_fit": summaries.income_aov_fit(
-            catalog.income_vs_aov(m), kpi.income_aov_regression(catalog.income_vs_aov(m))),
-        "aov_distribution": summaries.aov_distribution(b, m.params),
+            catalog.income_vs_aov.written(m), kpi.income_aov_regression(catalog.income_vs_aov.written(m))),
+        "aov_distribution": summaries.aov_distribution(catalog.aov_counts.written(m), m.params),
         "kpi_bundle": bundles.bundle(m, "kpi_bundle"),
     }
 
@@ -55,7 +55,7 @@ def regional_report(m: RetailModel) -> dict[str, DataFrame]:
     return {
         "region_income_bins": catalog.region_income_bins(m),
         "income_aov_stats": regional.income_aov_stats(ra),
-        "revenue_decomposition": regional.revenue_decomposition(ra, catalog.network_bench(m)),
+        "revenue_decomposition": regional.revenue_decomposition(catalog.region_agg.written(m), catalog.network_bench(m)),
         "income_quintile_summary": regional.income_quintile_summary(catalog.region_income_bins(m)),
         "population_tercile_summary": regional.population_tercile_summary(
             catalog.population_bins(m)),
@@ -64,7 +64,7 @@ def regional_report(m: RetailModel) -> dict[str, DataFrame]:
 
 
 def lifecycle_report(m: RetailModel) -> dict[str, DataFrame]:
-    ttb = catalog.time_to_benchmark(m)
+    ttb = catalog.time_to_benchmark.written(m)
     return {
         "store_weeks": catalog.store_weeks(m),
         "network_medians": catalog.network_medians(m),
@@ -74,7 +74,7 @@ def lifecycle_report(m: RetailModel) -> dict[str, DataFrame]:
         "ttb_region_summary": lifecycle.ttb_summary(ttb, "region", m.params),
         "ttb_cohort_summary": lifecycle.ttb_summary(ttb, "cohort_month", m.params),
         "new_store_30_60_90": catalog.new_store_horizons(m),
-        "new_store_benchmarks": summaries.new_store_benchmarks(catalog.new_store_horizons(m),
+        "new_store_benchmarks": summaries.new_store_benchmarks(catalog.new_store_horizons.written(m),
                                                                m.params),
         "lifecycle_bundle": bundles.bundle(m, "lifecycle_bundle"),
     }
@@ -84,7 +84,7 @@ def risk_report(m: RetailModel) -> dict[str, DataFrame]:
     result = catalog.store_result(m)
     return {
         "store_league_risk": result,
-        "region_risk_summary": risk.region_risk_summary(catalog.watchlist_full(m), m.params),
+        "region_risk_summary": risk.region_risk_summary(catalog.watchlist_full.written(m), m.params),
         "region_leaders_top10": risk.region_leaders(result, m.params.board_size),
         "region_watchlist_top10": risk.region_watch_board(result, m.params.board_size),
         "below_peer_heatmap": summaries.below_peer_heatmap(catalog.store_z(m)),
@@ -94,10 +94,3 @@ def risk_report(m: RetailModel) -> dict[str, DataFrame]:
 
 REPORTS = {"cleaning": cleaning_report, "kpi": kpi_report, "regional": regional_report,
            "lifecycle": lifecycle_report, "risk": risk_report}
-
-
-def all_reports(m: RetailModel) -> dict[str, DataFrame]:
-    out: dict[str, DataFrame] = {}
-    for name, fn in REPORTS.items():
-        out.update({f"{name}/{k}": v for k, v in fn(m).items()})
-    return out

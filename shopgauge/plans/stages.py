@@ -1,15 +1,18 @@
 """The layered model: raw tables → staged tables → core views.
 
 ``RetailModel`` wires the cleaning operators together lazily.  Each
-stage is a DataFrame built on first use and reused afterwards, so one
-query plan per result is handed to Catalyst.  ``materialize()`` writes
-``sales_enriched`` (the one persist point of the design) as parquet,
-partitioned by month, into the shared checkpoint folder; every later
-view then reads it with partition pruning and pushed-down filters.
+stage is a DataFrame built on first use and reused afterwards.  A view of the
+last days cleans only the sales of those days: thresholds are by (region, day)
+and dedupe by (store, day), so a date range passes through all of cleaning.
+
+``materialize()`` writes ``sales_enriched`` (the one persist point of the
+design) as parquet, partitioned by month, into the shared checkpoint folder;
+every later view then reads it with partition pruning and pushed-down filters.
 """
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +20,29 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..operators import cleaning, views
-from ..session import write_and_reload
+from ..operators.joins import row_count
+from ..session import remove_written, write_and_reload, write_counted
 from ..sources import files, tpch_adapter
 
 
 class RetailModel:
     def __init__(self, regions: DataFrame, stores: DataFrame, sales: DataFrame,
-                 params: Params = Params(), share_intermediates: bool = False):
+                 params: Params = Params(), share_intermediates: bool = False,
+                 bounds: dict[str, DataFrame] | None = None):
+        """``bounds``: tables with at least as many rows as a dimension, cheaper to count than it."""
         self.regions, self.stores, self.sales = regions, stores, sales
         self.params = params
         self.share_intermediates = share_intermediates
+        self.bounds = {"stores": stores, "regions": regions} | (bounds or {})
         self._enriched: DataFrame | None = None
+        self._written: list[DataFrame] = []
 
     # ---- construction -------------------------------------------------
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, params: Params | None = None):
         regions, stores, sales = tpch_adapter.retail_tables(spark, sf_dir)
         p = params or Params(as_of=tpch_adapter.AS_OF)
-        return cls(regions, stores, sales, p)
+        return cls(regions, stores, sales, p, bounds=tpch_adapter.dimension_bounds(spark, sf_dir))
 
     @classmethod
     def from_csv(cls, spark: SparkSession, regions_path: str, stores_path: str,
@@ -45,13 +53,17 @@ class RetailModel:
     # ---- staged tables ------------------------------------------------
     @cached_property
     def dim_rows(self) -> dict:
-        """Row counts of the dimensions.
+        """Row bounds of the dimensions, counted as the rows pass (one job each).
 
         They decide the dimension broadcasts, and the region count also
         bounds every region-grain aggregate of the facts (the inner join
         admits no other region), so those joins need no count of their own.
         """
-        return {"stores": self.stores.count(), "regions": self.regions.count()}
+        return {name: row_count(df) for name, df in self.bounds.items()}
+
+    @cached_property
+    def store_facts(self) -> DataFrame:
+        return cleaning.store_facts(self.stores, self.regions, self.params, self.dim_rows)
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -60,19 +72,25 @@ class RetailModel:
 
     @cached_property
     def thresholds(self) -> DataFrame:
-        self._threshold_stats: dict = {}
-        return cleaning.rev_thresholds(self.flagged, self.params, self._threshold_stats)
+        return cleaning.rev_thresholds(self.flagged, self.params)
+
+    def _clean(self, thresholds: DataFrame, rows: int | None) -> DataFrame:
+        return cleaning.sales_cleaned(self.flagged, thresholds, self.params,
+                                      keep_raw=self.params.keep_raw_revenue, threshold_rows=rows)
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        th = self.thresholds
-        return cleaning.sales_cleaned(self.flagged, th, self.params,
-                                      keep_raw=self.params.keep_raw_revenue,
-                                      threshold_rows=self._threshold_stats.get("groups"))
+        """Over the whole history: thresholds are a written table, counted as it is written."""
+        table, rows = write_counted(self.thresholds, "rev_thresholds")
+        self._written.append(table)
+        return self._clean(table, rows)
+
+    def _dedup(self, cleaned: DataFrame) -> DataFrame:
+        return cleaning.sales_dedup(cleaned, self.params, self.store_facts, self.dim_rows)
 
     @cached_property
     def dedup(self) -> DataFrame:
-        return cleaning.sales_dedup(self.cleaned, self.params)
+        return self._dedup(self.cleaned)
 
     @property
     def enriched(self) -> DataFrame:
@@ -80,6 +98,34 @@ class RetailModel:
             self._enriched = cleaning.derive(self.dedup.drop("rn"))
         return self._enriched
 
+    def since(self, start: date) -> DataFrame:
+        """``sales_enriched`` from a day on, from the written table or by cleaning just those days, in one plan."""
+        if self._enriched is not None:
+            return self._enriched
+        cache = self.__dict__.setdefault("_since", {})
+        if self.share_intermediates:  # one table for all views of the last days
+            start = min(self.params.window_start, self.params.quarter_start, start)
+        if start not in cache:
+            part = RetailModel(self.regions, self.stores, self.sales.where(F.col("date") >= F.lit(start)), self.params)
+            part.__dict__.update(dim_rows=self.dim_rows, store_facts=self.store_facts)
+            recent = cleaning.derive(part._dedup(part._clean(part.thresholds, None)).drop("rn"))
+            cache[start] = self.keep(write_and_reload(recent, "sales_recent")) if self.share_intermediates else recent
+        return cache[start]
+
+    def sharing(self, whole_history: bool = False) -> "RetailModel":
+        """A model of the same tables whose intermediates are written once and shared (this one if it does so)."""
+        if self.share_intermediates:
+            return self
+        found = self.__dict__.get("_sharing")
+        if found is None:
+            found = RetailModel(self.regions, self.stores, self.sales, self.params, True)
+            found._enriched, found._written = self._enriched, self._written
+            found.__dict__.update(dim_rows=self.dim_rows, store_facts=self.store_facts)
+            self.__dict__["_sharing"] = found
+        if whole_history and found._enriched is None:
+            found.materialize()
+        return found
+
     def materialize(self) -> DataFrame:
         """Write ``sales_enriched`` partitioned by month and read it back.
 
@@ -88,17 +134,18 @@ class RetailModel:
         it writes one or two month folders of date-sorted row groups instead
         of a small file per month per task.
         """
-        month = F.trunc(F.col("date"), "month")
-        table = (self.enriched.withColumn(views.PARTITION_COLUMN, month)
-                 .repartitionByRange(F.col("date").asc_nulls_first(), F.col("store_id"))
-                 .sortWithinPartitions(views.PARTITION_COLUMN, "date"))
-        self._enriched = write_and_reload(table, "sales_enriched", [views.PARTITION_COLUMN])
+        self._enriched = self.keep(write_and_reload(by_month(self.enriched), "sales_enriched", [views.PARTITION_COLUMN]))
         return self._enriched
 
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Notes a written table for ``release``."""
+        self._written.append(table)
+        return table
+
     # ---- core views ---------------------------------------------------
     @property
     def last90(self) -> DataFrame:
-        return views.sales_last90(self.enriched, self.params)
+        return views.sales_last90(self.since(self.params.window_start), self.params)
 
     @property
     def clean_alltime(self) -> DataFrame:
@@ -110,17 +157,19 @@ class RetailModel:
 
     @property
     def quarter(self) -> DataFrame:
-        return views.current_quarter(self.clean_alltime, self.params)
+        return views.current_quarter(views.core(self.since(self.params.quarter_start)), self.params)
 
     @property
     def enriched_view(self) -> DataFrame:
         return views.visible(self.enriched)
 
     def release(self) -> None:
-        """Unpersist shared intermediates (see ``share_intermediates``)."""
-        for df in self.__dict__.get("_memo", {}).values():
-            df.unpersist()
-        self.__dict__["_memo"] = {}
+        """Deletes the tables that this model has written; its DataFrames can no longer be read."""
+        for df in self._written:
+            remove_written(df)
+        self._written, self._enriched = [], None
+        for name in ("_memo", "_since", "_sharing", "cleaned", "dedup"):
+            self.__dict__.pop(name, None)
 
     def register(self) -> None:
         """Temp views named as in the reference."""
@@ -129,3 +178,10 @@ class RetailModel:
             "v_sales_last90": self.last90, "v_sales_clean_alltime": self.clean_alltime,
             "v_sales_anomalies": self.anomalies, "sales_enriched": self.enriched_view,
         })
+
+
+def by_month(enriched: DataFrame) -> DataFrame:
+    """The rows with their month, laid out for a table partitioned by it."""
+    return (enriched.withColumn(views.PARTITION_COLUMN, F.trunc(F.col("date"), "month"))
+            .repartitionByRange(F.col("date").asc_nulls_first(), F.col("store_id"))
+            .sortWithinPartitions(views.PARTITION_COLUMN, "date"))

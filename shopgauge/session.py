@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
@@ -83,6 +84,30 @@ def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)  # a table without rows may have no file to infer from
 
 
+def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``write_and_reload``, and the rows written, counted on the way."""
+    seen = Observation()
+    table = write_and_reload(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get["rows"]
+
+
+def remove_written(df: DataFrame) -> None:
+    """Deletes a table made by ``write_and_reload``; its DataFrame can no longer be read.
+
+    Only folders in the session's own checkpoint folder are deleted.
+    """
+    spark = df.sparkSession
+    own = checkpoint_dir(spark).rstrip("/") + "/"
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = folder.find(own.removeprefix("file:").lstrip("/"))
+        if at < 0:
+            continue
+        top = folder[:at] + own.removeprefix("file:").lstrip("/") + folder[at + len(own.removeprefix("file:").lstrip("/")):].split("/")[0]
+        path = jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tune_for_scale(spark: SparkSession, fact_bytes: int, target_partition_mb: int = 256) -> dict:
     """Set the runtime SQL options for a fact table of ``fact_bytes`` (compressed).
 

@@ -28,8 +28,24 @@ NULL_DATE_MOD, ZERO_TX_MOD, NEG_TX_MOD, RETURN_MOD = 211, 97, 89, 5
 AS_OF = date(2001, 11, 4)
 
 
+# The columns read, with the types the tables have (a stated schema needs no job to infer it).
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_nationkey int, c_acctbal double",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, "
+                "l_returnflag string, l_shipdate timestamp_ntz",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*cols)
+
+
+def dimension_bounds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables with at least as many rows as the derived dimensions: stores come from supplier rows, regions from region rows."""
+    return {"stores": _read(spark, sf_dir, "supplier", ["s_suppkey"]), "regions": _read(spark, sf_dir, "region", ["r_regionkey"])}
 
 
 def regions_from(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
-"""The whole model with the scale fallbacks forced on, checked against the oracle.
+"""The model under other plans, checked against the oracle.
 
-* hot-group plans: every group above 2 rows is treated as hot, so the
-  bracketed percentiles and the sort-based NTILE run inside the real queries;
+* lazy: without a written table, each query cleans for itself;
 * no broadcasts: every join of a detail table with an aggregate or a
   dimension becomes a shuffle join.
 """
@@ -19,9 +18,8 @@ from shopgauge.sources import tpch_adapter
 
 SF = "/root/testdata/sf0.001"
 SQL = all_sql()
-HOT = ["rev_thresholds", "sales_enriched", "network_medians", "quarter_league", "store_league",
-       "ttb_region_summary", "ttb_cohort_summary", "region_risk_summary", "aov_distribution",
-       "new_store_benchmarks", "region_income_bins", "population_bins", "watchlist"]
+LAZY = ["rev_thresholds", "sales_dedup", "exec_kpi", "quarter_league", "watchlist", "ttb_region_summary", "aov_distribution",
+        "new_store_benchmarks", "population_bins", "kpi_bundle", "risk_bundle", "driver_bundle", "lifecycle_bundle"]
 NO_BCAST = ["sales_enriched", "stores_vs_region", "store_z", "income_vs_aov", "region_risk_summary",
             "ttb_region_summary", "watchlist", "region_leaders_top10"]
 
@@ -41,16 +39,31 @@ def con():
     return duck(SF)
 
 
-@pytest.fixture(scope="module")
-def hot_model(spark):
-    m = RetailModel.from_testdata(spark, SF, Params(as_of=tpch_adapter.AS_OF, hot_group_rows=2))
-    m.materialize()
-    return m
+@pytest.mark.parametrize("name", LAZY)
+def test_unmaterialized_queries_match_oracle(spark, con, name):
+    _check(RetailModel.from_testdata(spark, SF), con, name)
+
+
+def _jobs(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_query_over_the_window_builds_with_two_jobs(spark):
+    def build():
+        return QUERIES["exec_kpi"](RetailModel.from_testdata(spark, SF))
+    assert _jobs(spark, "build-exec", build)[1] <= 2
 
 
-@pytest.mark.parametrize("name", HOT)
-def test_hot_group_plans_match_oracle(hot_model, con, name):
-    _check(hot_model, con, name)
+@pytest.mark.parametrize("name", [*bundles.BUNDLES])
+def test_bundles_read_few_tables(spark, name):
+    df = QUERIES[name](RetailModel.from_testdata(spark, SF))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Relation [") <= 14
 
 
 @pytest.mark.parametrize("name", NO_BCAST)

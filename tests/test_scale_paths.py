@@ -1,12 +1,17 @@
-"""The hot-group plans must give exactly what the simple plans give."""
+"""The distributed operators must give exactly what Spark's one-task-per-group forms give."""
 
+import math
 import random
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shopgauge.operators.dedupe import desc_nulls_first, keep_best
+from shopgauge.operators.buckets import bucket
+from shopgauge.operators.dedupe import keep_best
+from shopgauge.operators.joins import attach, row_count
 from shopgauge.operators.percentiles import group_percentiles
-from shopgauge.operators.ranking import add_ntiles, add_row_number
+from shopgauge.operators.ranking import Order, add_ntiles, add_row_number, asc_last, desc_first
 
 
 def _rows(n=4000, seed=7):
@@ -14,51 +19,93 @@ def _rows(n=4000, seed=7):
     out = []
     for i in range(n):
         g = "hot" if i % 3 else rnd.choice(["a", "b", None])
-        v = None if rnd.random() < 0.05 else float(rnd.choice([rnd.randint(0, 50), rnd.random() * 1000]))
+        v = None if rnd.random() < 0.05 else float(rnd.choice([rnd.randint(-5, 50), rnd.random() * 1000, -rnd.random() * 1e-6, 2.5e13, 0.0]))
         out.append((g, v, i))
-    return out
+    return out + [("nulls", None, n + k) for k in range(3)] + [("one", 7.25, n + 9)]
 
 
-def test_bracketed_percentiles_match_exact(spark):
+def same(a, b):
+    return (a is None and b is None) or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12))
+
+
+def test_buckets_are_monotone(spark):
+    rnd = random.Random(1)
+    values = sorted([rnd.choice([-1, 1]) * 10 ** rnd.uniform(-12, 300) for _ in range(3000)] + [0.0, -0.0, 1e-320, float("inf"), -float("inf")])
+    rows = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "v double").select("v", bucket(F.col("v")).alias("b")).collect()
+    by = sorted(rows, key=lambda r: (math.isnan(r.v), r.v))
+    assert [r.b for r in by] == sorted(r.b for r in rows)
+
+
+def test_percentiles_match_exact(spark):
     df = spark.createDataFrame(_rows(), "g string, v double, id long")
-    probs = {"p01": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
-    exact = {r["g"]: r for r in group_percentiles(df, ["g"], "v", probs).collect()}
-    hot = {r["g"]: r for r in group_percentiles(df, ["g"], "v", probs, small_group=40).collect()}
-    assert set(exact) == set(hot)
+    probs = {"p01": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p0": 0.0, "p100": 1.0}
+    exact = {r["g"]: r for r in df.groupBy("g").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()]).collect()}
+    got = {r["g"]: r for r in group_percentiles(df, ["g"], "v", probs).collect()}
+    assert set(exact) == set(got) and got["nulls"]["p50"] is None
     for g in exact:
         for p in probs:
-            a, b = exact[g][p], hot[g][p]
-            assert (a is None and b is None) or abs(a - b) <= 1e-9 * max(1.0, abs(a)), (g, p, a, b)
+            assert same(exact[g][p], got[g][p]), (g, p, exact[g][p], got[g][p])
+    weighted = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("rows"))
+    again = {r["g"]: r for r in group_percentiles(weighted, ["g"], "v", probs, weight="rows").collect()}
+    assert again == got
 
 
-def test_bracketed_global_percentile(spark):
+def test_percentiles_of_all_rows(spark):
     df = spark.createDataFrame(_rows(3000, 11), "g string, v double, id long")
-    a = group_percentiles(df, [], "v", {"m": 0.5, "q": 0.9}).first()
-    b = group_percentiles(df, [], "v", {"m": 0.5, "q": 0.9}, small_group=25).first()
-    assert abs(a["m"] - b["m"]) < 1e-9 and abs(a["q"] - b["q"]) < 1e-9
+    probs = {"m": 0.5, "q": 0.9}
+    a = df.agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in probs.items()]).first()
+    b = group_percentiles(df, [], "v", probs).first()
+    assert same(a["m"], b["m"]) and same(a["q"], b["q"])
+    none = group_percentiles(df.limit(0), [], "v", probs).collect()
+    assert len(none) == 1 and none[0]["m"] is None
 
 
-def test_sorted_ntile_matches_window(spark):
-    df = spark.createDataFrame(_rows(2000, 3), "g string, v double, id long")
-    tiles = {"q": (4, [F.col("v").desc_nulls_first(), F.col("id")]),
-             "d": (10, [F.col("v").asc_nulls_last(), F.col("id")])}
-    a = {r["id"]: (r["q"], r["d"]) for r in add_ntiles(df, ["g"], tiles).collect()}
-    b = {r["id"]: (r["q"], r["d"]) for r in add_ntiles(df, ["g"], tiles, small_group=10).collect()}
-    assert a == b
+def test_percentiles_of_several_columns(spark):
+    df = spark.createDataFrame(_rows(3000, 13), "g string, v double, id long").withColumn("w", F.col("id") % 17)
+    specs = [("v", {"pv50": 0.5, "pv90": 0.9}), ("w", {"pw10": 0.1})]
+    extra = [F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")]
+    a = {r["g"]: r.asDict() for r in df.groupBy("g").agg(
+        *[F.percentile(c, F.lit(p)).alias(n) for c, pr in specs for n, p in pr.items()], *extra).collect()}
+    b = {r["g"]: r.asDict() for r in group_percentiles(df, ["g"], specs=specs, extra_aggs=extra).collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        assert all(same(x, b[g][k]) if k != "g" else x == b[g][k] for k, x in a[g].items()), (g, a[g], b[g])
 
 
-def test_sorted_row_number_matches_window(spark):
+ORDERS = [desc_first("v", "id"), asc_last("v", "id"), Order("v", "id", descending=True), Order("v", "id", nulls_first=True)]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+def test_row_numbers_match_window(spark, order):
     df = spark.createDataFrame(_rows(1500, 5), "g string, v double, id long")
-    order = [F.col("v").desc_nulls_first(), F.col("id")]
-    a = {r["id"]: r["rn"] for r in add_row_number(df, ["g"], order, "rn").collect()}
-    b = {r["id"]: r["rn"] for r in add_row_number(df, ["g"], order, "rn", small_group=5).collect()}
-    assert a == b
+    got = add_row_number(df, ["g"], order, "rn").withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(*order.columns())))
+    assert got.count() == df.count() and got.where("rn <> want").count() == 0
+
 
+def test_ntiles_match_window(spark):
+    df = spark.createDataFrame(_rows(2000, 3), "g string, v double, id long")
+    tiles = {"q": (4, desc_first("v", "id")), "d": (10, asc_last("v", "id")), "t": (3, desc_first("v", "id"))}
+    for keys in (["g"], []):
+        got = add_ntiles(df, keys, tiles)
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        for name, (n, order) in tiles.items():
+            got = got.withColumn(f"want_{name}", F.ntile(n).over(w.orderBy(*order.columns())))
+        assert got.count() == df.count()
+        assert got.where(" OR ".join(f"{n} <> want_{n}" for n in tiles)).count() == 0
+
+
+def test_many_ties_are_cut_into_blocks(spark):
+    df = spark.range(5000).select(F.lit("g").alias("g"), F.lit(None).cast("double").alias("v"), (F.col("id") * 4096).alias("id"))
+    got = add_row_number(df, ["g"], desc_first("v", "id"), "rn")
+    assert got.where(F.col("rn") != F.col("id") / 4096 + 1).count() == 0
 
-def test_keep_best_matches_row_number(spark):
-    rows = [(k % 7, None if k % 11 == 0 else float(k % 5), k % 3, k) for k in range(300)]
+
+def test_keep_best_matches_the_largest(spark):
+    rows = [(k % 7 or None, None if k % 11 == 0 else float(k % 5), k % 3, k) for k in range(300)]
     df = spark.createDataFrame(rows, "k long, r double, t long, id long")
-    best = keep_best(df, ["k"], desc_nulls_first("r") + desc_nulls_first("t") + [F.col("id")])
+    best = keep_best(df, ["k"], [F.col("r").desc_nulls_first(), F.col("t").desc_nulls_first()])
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
     got = {r["k"]: r["id"] for r in best.collect()}
     exp = {}
     for k, r, t, i in rows:
@@ -68,33 +115,27 @@ def test_keep_best_matches_row_number(spark):
     assert got == {k: v[1] for k, v in exp.items()}
 
 
-def test_fused_percentiles_with_extras_hot_path(spark):
-    df = spark.createDataFrame(_rows(3000, 13), "g string, v double, id long") \
-        .withColumn("w", F.col("id") % 17)
-    specs = [("v", {"pv50": 0.5, "pv90": 0.9}), ("w", {"pw10": 0.1})]
-    extra = [F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")]
-    a = {r["g"]: r.asDict() for r in group_percentiles(df, ["g"], specs=specs, extra_aggs=extra).collect()}
-    b = {r["g"]: r.asDict() for r in group_percentiles(df, ["g"], specs=specs, extra_aggs=extra,
-                                                       small_group=30).collect()}
-    assert a.keys() == b.keys()
-    for g in a:
-        for k, x in a[g].items():
-            y = b[g][k]
-            assert (x is None and y is None) or x == y or abs(x - y) < 1e-9, (g, k, x, y)
-
-
-def test_pipeline_hot_path_matches_plain(spark):
-    """The thresholds of the real cleaning stage through the bracketing path."""
-    from shopgauge.plans.stages import RetailModel
-    m = RetailModel.from_testdata(spark, "/root/testdata/sf0.001")
-    fl = m.flagged
-    probs = {"p01_rev": 0.01, "p99_rev": 0.99}
-    a = {(r["region"], None): (r["p01_rev"], r["p99_rev"])
-         for r in group_percentiles(fl, ["region"], "revenue", probs).collect()}
-    b = {(r["region"], r["date"]): (r["p01_rev"], r["p99_rev"])
-         for r in group_percentiles(fl.withColumn("date", F.lit(None).cast("date")), ["region", "date"],
-                                    "revenue", probs, small_group=50).collect()}
-    assert set(k[0] for k in a) == set(k[0] for k in b)
-    for (reg, _), (lo, hi) in a.items():
-        blo, bhi = b[(reg, None)]
-        assert abs(lo - blo) < 1e-6 and abs(hi - bhi) < 1e-6
+def test_row_count_and_bounded_broadcast(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert row_count(df) == 1000 and row_count(df.limit(0)) == 0
+    small = spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("x"))
+    assert attach(df, small, ["k"], known_rows=10).count() == 10
+    hinted = attach(df, small, ["k"], known_rows=10)._jdf.queryExecution().analyzed().toString()
+    free = attach(df, small, ["k"], known_rows=10, max_rows=9)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in free.lower()
+
+
+def test_large_totals_are_not_altered(spark):
+    from shopgauge.plans.registry import comparable
+
+    values = [2.5e13, 9.3e12, 1e300, -2.5e13, 0.1234565, -0.1234565, 1.0000005, float("inf"), None, 12345.6789]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.v for r in comparable(df).orderBy("i").collect()]
+    assert got == [2.5e13, 9.3e12, 1e300, -2.5e13, 0.123457, -0.123457, 1.000001, float("inf"), None, 12345.6789]
+    import duckdb
+
+    from shopgauge.plans.oracle import _normalise
+    con = duckdb.connect()
+    sql = ", ".join(f"({i}, {'NULL' if v is None else f'{v!r}::DOUBLE' if math.isfinite(v) else chr(39) + 'inf' + chr(39) + '::DOUBLE'})"
+                    for i, v in enumerate(values))
+    assert [r[1] for r in con.execute(f"SELECT {_normalise('i:i v:d')} FROM (VALUES {sql}) q(i, v) ORDER BY i").fetchall()] == got
