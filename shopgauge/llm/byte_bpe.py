@@ -23,12 +23,10 @@ from pyspark.sql import types as T
 
 from . import words
 
-#: Pre-tokens and space-separated chunks remembered by a Python worker.
-REMEMBER = 240_000
+#: Space-separated chunks, and pre-tokens within them, that a Python worker remembers (twice that for a while).
+REMEMBER = 400_000
 #: Ids decoded at once, unless one text has more.
 DECODE_IDS = 500_000
-# white space other than single spaces between other characters: spaces then do not part pre-tokens
-_ODD_SPACE = regex.compile(r"^ | $|[^\S ] | \s")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,19 +153,67 @@ class Encoder:
         self.queue = RankQueue(ranks)
         self.find = regex.compile(pattern).findall
         self.pieces = _Memory(lambda t: array("i", self.queue.encode(t.encode())).tobytes())
-        self.chunks = _Memory(self._chunk)
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = self.find(" " + chunk)
-        return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[x] for x in found])
+        self.chunks: dict[str, bytes | None] = {}  # None: white space at an end, so spaces do not part pre-tokens there
+        self.older = self.chunks
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Puts all wanted chunks into ``chunks``; the pattern runs once over all that are new."""
+        if len(self.chunks) + len(wanted) > REMEMBER:
+            self.older, self.chunks = self.chunks, {}
+        have, older, new = self.chunks, self.older, []
+        for c in wanted - have.keys():
+            if c in older:
+                have[c] = older[c]
+            elif not c or c[0].isspace() or c[-1].isspace():
+                have[c] = None
+            else:
+                new.append(c)
+        if not new:
+            return
+        found = self.find(" " + " ".join(new))
+        starts = [i for i, t in enumerate(found) if t[0] == " "]
+        starts.append(len(found))
+        encode, piece, split = self.queue.encode, self.pieces, []
+        for c, i, j in zip(new, starts, starts[1:]):
+            if j == i + 1:
+                have[c] = array("i", encode(found[i].encode())).tobytes()
+            else:
+                split.append((c, i, j))
+        for c, i, j in split:  # the first pre-token often is a chunk of its own elsewhere
+            head = found[i]
+            first = have.get(head[1:]) or older.get(head[1:]) or piece[head]
+            have[c] = first + b"".join([piece[t] for t in found[i + 1:j]])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.  Where every space is alone it opens the pre-token after it, so the
+        chunks between spaces are encoded apart, and each kind of them once."""
+        parts = [t.split(" ") for t in texts]
+        wanted: set[str] = set()
+        for p in parts:
+            wanted.update(p)
+        self._learn(wanted | {"."})
+        get, out = self.chunks.__getitem__, []
+        for text, p in zip(texts, parts):
+            first, last = p[0], p[-1]
+            if len(p) == 1 or first == "" or first[-1].isspace():
+                out.append(self._whole(text))
+                continue
+            p[0] = p[-1] = "."
+            ids = [*map(get, p)]
+            ids[0] = self._whole(first)
+            # white space before the end of a text parts nothing
+            ids[-1] = None if last == "" or last[0].isspace() else self._whole(" " + last) if last[-1].isspace() else get(last)
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a None among them
+                out.append(self._whole(text))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.find(text)))
-        # every space is alone and so opens the pre-token after it
-        first, _, rest = text.partition(" ")
-        head = b"".join(map(self.pieces.__getitem__, self.find(first)))
-        return head + b"".join(map(self.chunks.__getitem__, rest.split(" "))) if rest else head
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -207,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encoder = encoder_of(path, pattern)
         for b in words.slices(batches, "text", 1 << 20):
-            got = [encoder.encode(t or "") for t in b.column("text").to_pylist()]
+            got = encoder.encode_all([t or "" for t in b.column("text").to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(got), "<i4"))
             yield pa.record_batch([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
