@@ -187,7 +187,13 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     keyed = docs.withColumn("_row", row_key())
     prints = write_and_reload(fingerprint_table(keyed, shingle, ("doc_id", "_row")), "simhash")
     labelled = _labelled(prints, radius, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    first = labelled.groupBy("component").agg(F.min("least")["_row"].alias("_keep")).select("_keep")
-    # null-safe, so that the copies of a row are dealt out anew after the join, whose skew handling may split them
-    kept = keyed.join(first, F.col("_row").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    first = labelled.groupBy("component").agg(F.min("least")["_row"].alias("_keep"))
+    copies = prints.groupBy(F.col("_row").alias("_keep")).agg(F.count(F.lit(1)).alias("_copies"))
+    first = write_and_reload(first.join(copies, "_keep").select("_keep", "_copies"), "simhash-keep")
+    # the ids are hashed, so texts pass the join once and are not sorted; only rows that repeat are grouped
+    kept = keyed.join(first.hint("shuffle_hash"), F.col("_row") == F.col("_keep"))
+    if first.where("_copies > 1").isEmpty():
+        return kept.select(*docs.columns)
+    kept = write_and_reload(kept.drop("_keep"), "simhash-kept")
+    once = kept.where("_copies = 1")
+    return once.unionByName(kept.where("_copies > 1").dropDuplicates(["_row"])).select(*docs.columns)

@@ -247,15 +247,16 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], keep: list[str] | N
     Repeated rows are alike; an empty table gives an empty one.
     """
     keep = [c for c in (keep or ["doc_id"]) if c not in ("lang_pred", "score")]
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    text = "text" if "text" in keep else "_text"  # sent once, also where it is kept
+    source = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias("_text"))
     names = np.array([*learned, "und"], object)
     sent = docs.sparkSession.sparkContext.broadcast(
         (np.array(list(learned.values()), np.float32).reshape(-1, DIMENSIONS), known))
 
     def run(batches):
         protos, known = sent.value
-        for b in words.slices(batches, "_text", 1 << 19):
-            texts = [t or "" for t in b.column("_text").to_pylist()]
+        for b in words.slices(batches, text, 1 << 19):
+            texts = [t or "" for t in b.column(text).to_pylist()]
             v, has = bundles(texts)
             best, score = np.full(len(v), len(protos)), np.zeros(len(v))
             if len(protos):
