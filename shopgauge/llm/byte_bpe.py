@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import words
 
 #: Space-separated chunks, and pre-tokens within them, that a Python worker remembers (twice that for a while).
-REMEMBER = 400_000
+REMEMBER = 300_000
 #: Ids decoded at once, unless one text has more.
 DECODE_IDS = 500_000
 
@@ -221,6 +221,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The worker's encoder for a vocabulary; what it remembers lasts from task to task."""
+    words.take_turn("bpe", forget)
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
     return _ENCODERS[path, pattern]
@@ -229,8 +230,14 @@ def encoder_of(path: str, pattern: str) -> Encoder:
 _SYMBOLS: dict[str, list[bytes]] = {}
 
 
+def forget() -> None:
+    _ENCODERS.clear()
+    _SYMBOLS.clear()
+
+
 def symbols_of(path: str) -> list[bytes]:
     """The bytes of each id of a vocabulary, read once by a worker."""
+    words.take_turn("bpe", forget)
     if path not in _SYMBOLS:
         ranks = read_ranks(path)
         out = [b""] * (max(ranks.values(), default=0) + 1)

@@ -74,6 +74,7 @@ def fingerprints(column: pa.Array, shingle: int = 4) -> np.ndarray:
 def fingerprint_table(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and fp, the fingerprint's 64 bits as a bigint, for every row of docs."""
     def run(batches):
+        words.take_turn("simhash")
         for b in words.slices(batches, "text", 1 << 20):
             fp = fingerprints(b.column("text"), shingle).view(np.int64)
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(fp)], names=[*keep, "fp"])

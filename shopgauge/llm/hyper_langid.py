@@ -129,6 +129,7 @@ _SPACE: list[Space] = []
 
 
 def space() -> Space:
+    words.take_turn("langid", _SPACE.clear)
     if not _SPACE:
         _SPACE.append(Space())
     return _SPACE[0]

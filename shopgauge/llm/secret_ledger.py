@@ -111,6 +111,7 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
     by_key = {r.key: (i, r) for i, r in enumerate(rules)}
 
     def run(batches):
+        words.take_turn("secrets")
         for b in words.slices(batches, "text"):
             found = []
             for text, missing in zip(b.column("text").to_pylist(), b.column("missing").to_pylist()):

@@ -8,7 +8,8 @@ only.  Nulls count as empty texts and have no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,24 @@ def _table(separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keep, values
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Said where a task of an operator begins: what other operators remember in this worker is dropped.
+
+    Workers outlive their tasks; without this a worker of a pipeline would
+    hold the memories of all stages that it has run.
+    """
+    others = [_HELD.pop(name) for name in [*_HELD] if name != owner]
+    for forget in others:
+        forget()
+    if others:
+        gc.collect()
+    if drop:
+        _HELD[owner] = drop
+
+
 #: Words between ASCII white space, punctuation kept.
 SPACED = _table(b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Runs of ASCII letters, digits and any non-ASCII bytes.
