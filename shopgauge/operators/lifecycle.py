@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.dates import days_between, month_start, week_start
-from ..functions.measures import kpi_aggs, mean, money_avg
+from ..functions.measures import EXACT, kpi_aggs
 from . import rollup
 from .percentiles import group_percentiles
 
@@ -69,22 +69,41 @@ def time_to_benchmark(flagged: DataFrame) -> DataFrame:
         first.alias("weeks_to_benchmark"))
 
 
-def _ramp(weeks: DataFrame, key: str) -> DataFrame:
-    return weeks.groupBy(key, "weeks_since_open").agg(
-        money_avg("week_revenue").alias("avg_week_revenue"),
-        F.avg("week_tx").alias("avg_week_tx"),
-        mean("week_aov").alias("avg_week_aov"),
-        F.count_distinct("store_id").alias("stores_active"))
+def ramp_states(weeks: DataFrame) -> DataFrame:
+    """Mergeable states by cohort, region and week since opening: sums, counts, and the stores as exact bitmaps.
+
+    A bitmap has the 32,768 store ids of one bucket, so a state is bounded and
+    distinct stores are counted by OR, whatever is merged.
+    """
+    def both(c: str, name: str) -> list[F.Column]:
+        return [F.sum(c).alias(f"s_{name}"), F.count(c).alias(f"n_{name}")]
+    revenue = F.col("week_revenue").cast(EXACT)
+    return weeks.withColumn("_revenue", revenue).groupBy(
+        "cohort_month", "region", "weeks_since_open", F.bitmap_bucket_number("store_id").alias("bucket")).agg(
+        *both("_revenue", "revenue"), *both("week_tx", "tx"), *both("week_aov", "aov"),
+        F.bitmap_construct_agg(F.bitmap_bit_position("store_id")).alias("stores"))
+
+
+def ramp(states: DataFrame, *keys: str) -> DataFrame:
+    """Ramp curves by any of cohort_month and region: unweighted means of store-week rows, distinct active stores."""
+    sums = [F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in ("revenue", "tx", "aov") for k in "sn"]
+    by_bucket = states.groupBy(*keys, "weeks_since_open", "bucket").agg(
+        *sums, F.bitmap_count(F.bitmap_or_agg("stores")).alias("active"))
+
+    def merged(c: str) -> F.Column:
+        return F.try_divide(F.sum(f"s_{c}").cast("double"), F.sum(f"n_{c}").cast("double")).alias(f"avg_week_{c}")
+    return by_bucket.groupBy(*keys, "weeks_since_open").agg(
+        merged("revenue"), merged("tx"), merged("aov"), F.sum("active").alias("stores_active"))
 
 
 def cohort_ramp(weeks: DataFrame) -> DataFrame:
     """Unweighted means of store-week rows per opening-month cohort."""
-    return _ramp(weeks, "cohort_month")
+    return ramp(ramp_states(weeks), "cohort_month")
 
 
 def regional_ramp(weeks: DataFrame) -> DataFrame:
     """The same per region."""
-    return _ramp(weeks, "region")
+    return ramp(ramp_states(weeks), "region")
 
 
 def ttb_summary(ttb: DataFrame, key: str, params: Params = Params()) -> DataFrame:

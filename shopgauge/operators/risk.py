@@ -100,6 +100,26 @@ def region_leaders(result: DataFrame, k: int = 10) -> DataFrame:
     return top_k_per_group(result, ["region"], order, k).select("region", "rank", *LEADER_COLS)
 
 
+def _board_json(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(region, name): a region's ranked rows, at most the board's size, as one JSON array in order of rank."""
+    fields = [F.round(F.col(c).cast("decimal(38,10)"), 6).cast("decimal(38,6)").alias(c) if t == "double" else F.col(c)
+              for c, t in rows.dtypes if c in ("rank", *columns)]
+    array = F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("row"))))
+    return rows.groupBy("region").agg(F.to_json(F.transform(array, lambda r: r["row"]), {"ignoreNullFields": "false"}).alias(name))
+
+
+def region_boards(result: DataFrame, k: int = 10) -> DataFrame:
+    """F9 and F10 nested in a row for each region, as in the reference's report.
+
+    Boards are cut to k rows in each task and again in the window, so the
+    arrays that are gathered have at most k rows.
+    """
+    leaders = _board_json(region_leaders(result, k), LEADER_COLS, "leaders")
+    watch = _board_json(region_watch_board(result, k), WATCH_COLS, "watchlist")
+    watch = watch.withColumnRenamed("region", "_region")
+    return leaders.join(watch, F.col("region").eqNullSafe(F.col("_region"))).select("region", "leaders", "watchlist")
+
+
 def region_watch_board(result: DataFrame, k: int = 10) -> DataFrame:
     """top k stores per region by risk_score; does not filter is_watchlist.
     Ties of the rounded score go to the lower revenue, then store_id."""

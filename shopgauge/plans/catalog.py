@@ -7,8 +7,9 @@ store-weeks …) are built once per model and reused as DataFrames.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import kpi, lifecycle, regional, risk, rollup, summaries
+from ..operators import kpi, lifecycle, regional, risk, rollup, sketches, summaries
 from ..session import write_and_reload
 from .registry import register
 from .stages import RetailModel
@@ -109,6 +110,20 @@ register("top20_stores")(lambda m: kpi.top_stores(stores_vs_region(m), m.params.
 register("bottom20_stores")(lambda m: kpi.bottom_stores(stores_vs_region(m), m.params.top_stores))
 
 
+@memo
+def day_sketches(m):
+    return sketches.day_sketches(m.flagged)
+
+
+@register("sketch_rank_errors")
+def sketch_rank_errors(m: RetailModel) -> DataFrame:
+    """B3's opt-in sketches: by region and quantile, rows and whether the merged days' estimate keeps its rank error."""
+    probs = {"p01_rev": m.params.winsor_lo, "p50_rev": 0.5, "p99_rev": m.params.winsor_hi}
+    near = sketches.thresholds(day_sketches.written(m), ["region"], probs)
+    errors = sketches.rank_errors(m.flagged, near, ["region"], probs)
+    return errors.select("region", "name", (F.col("error") <= sketches.RANK_ERROR).alias("within"))
+
+
 # ---- D: regional drivers ---------------------------------------------------
 @memo
 def region_agg(m):
@@ -185,8 +200,15 @@ register("network_medians")(network_medians)
 register("ttb_flagged")(ttb_flagged)
 register("time_to_benchmark")(time_to_benchmark)
 register("time_to_benchmark_weekly")(time_to_benchmark_weekly)
-register("cohort_ramp")(lambda m: lifecycle.cohort_ramp(store_weeks(m)))
-register("regional_ramp")(lambda m: lifecycle.regional_ramp(store_weeks(m)))
+@memo
+def ramp_states(m):
+    return lifecycle.ramp_states(store_weeks(m))
+
+
+register("cohort_ramp")(lambda m: lifecycle.ramp(ramp_states(m), "cohort_month"))
+register("regional_ramp")(lambda m: lifecycle.ramp(ramp_states(m), "region"))
+register("cohort_region_ramp")(lambda m: lifecycle.ramp(ramp_states(m), "cohort_month", "region"))
+register("network_ramp")(lambda m: lifecycle.ramp(ramp_states(m)))
 register("ttb_region_summary")(
     lambda m: lifecycle.ttb_summary(time_to_benchmark.written(m), "region", m.params))
 register("ttb_cohort_summary")(
@@ -243,6 +265,12 @@ register("region_watchlist_top10")(
     lambda m: risk.region_watch_board(store_result(m), m.params.board_size))
 
 
+@register("region_boards")
+def region_boards(m: RetailModel) -> DataFrame:
+    """F11's nested boards: a row for each region with both boards as JSON arrays."""
+    return risk.region_boards(watchlist_full.written(m), m.params.board_size)
+
+
 # ---- G: README summaries -----------------------------------------------------
 @memo
 def new_store_sums(m):

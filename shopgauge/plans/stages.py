@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..operators import cleaning, views
 from ..operators.joins import row_count
-from ..session import remove_written, write_and_reload, write_counted
+from ..session import new_path, remove_written, write_and_reload, write_at, write_counted
 from ..sources import files, tpch_adapter
 
 
@@ -35,6 +35,7 @@ class RetailModel:
         self.share_intermediates = share_intermediates
         self.bounds = {"stores": stores, "regions": regions} | (bounds or {})
         self._enriched: DataFrame | None = None
+        self._enriched_path: str | None = None
         self._written: list[DataFrame] = []
 
     # ---- construction -------------------------------------------------
@@ -134,7 +135,50 @@ class RetailModel:
         it writes one or two month folders of date-sorted row groups instead
         of a small file per month per task.
         """
-        self._enriched = self.keep(write_and_reload(by_month(self.enriched), "sales_enriched", [views.PARTITION_COLUMN]))
+        self._enriched_path = new_path(self.sales.sparkSession, "sales_enriched")
+        self._enriched = self.keep(write_at(by_month(self.enriched), self._enriched_path, [views.PARTITION_COLUMN]))
+        return self._enriched
+
+    def refresh(self, new_sales: DataFrame) -> DataFrame:
+        """Adds sales to a materialised model and cleans again only what they touch.
+
+        A sale changes the thresholds of its region and day, hence all rows of
+        that region-day, and the survivor of its store-day, which lies in it.
+        So the region-days of the new sales are cleaned from the raw sales of
+        their months; other rows of those months are taken as they are, and
+        just those months are replaced.  The result equals a rebuild.
+        """
+        if self._enriched_path is None:
+            raise ValueError("refresh needs a materialised model")
+        month = F.trunc(F.col("date"), "month")
+        new_sales = new_sales.select(*self.sales.columns)
+        touched = write_and_reload(new_sales.join(self.store_facts.select("store_id", "region"), "store_id")
+                                   .select("region", "date").distinct(), "touched-days")
+        months = [r[0] for r in touched.select(month.alias("m")).distinct().collect()]  # calendar months
+        old, self.sales = self._enriched, self.sales.unionByName(new_sales)
+        if months:
+            def within(c: F.Column) -> F.Column:
+                dated = c.isin([m for m in months if m is not None])
+                return dated | c.isNull() if None in months else dated
+            there = F.broadcast(touched) if touched.count() <= self.params.broadcast_max_rows else touched
+            facts = self.store_facts.select("store_id", "region")
+            raw = self.sales.where(within(month)).join(facts, "store_id")
+            raw = raw.join(there.withColumnsRenamed({"region": "_region", "date": "_date"}),
+                           (F.col("region") == F.col("_region")) & F.col("date").eqNullSafe(F.col("_date")), "left_semi")
+            part = RetailModel(self.regions, self.stores, raw.select(*self.sales.columns), self.params)
+            part.__dict__.update(dim_rows=self.dim_rows, store_facts=self.store_facts)
+            again = cleaning.derive(part._dedup(part._clean(part.thresholds, None)).drop("rn"))
+            rest = old.where(within(F.col(views.PARTITION_COLUMN))).join(
+                there.withColumnsRenamed({"region": "_region", "date": "_date"}),
+                (F.col("region") == F.col("_region")) & F.col("date").eqNullSafe(F.col("_date")), "left_anti")
+            # written apart first: the months' old files are read here and replaced below
+            fresh = write_and_reload(by_month(again).unionByName(rest), "sales_refreshed")
+            self._enriched = write_at(by_month(fresh.drop(views.PARTITION_COLUMN)), self._enriched_path,
+                                      [views.PARTITION_COLUMN], only_partitions=True)
+            remove_written(fresh)
+        remove_written(touched)
+        for name in ("_memo", "_since", "_sharing", "flagged", "thresholds", "cleaned", "dedup"):
+            self.__dict__.pop(name, None)
         return self._enriched
 
     def keep(self, table: DataFrame) -> DataFrame:
@@ -167,7 +211,7 @@ class RetailModel:
         """Deletes the tables that this model has written; its DataFrames can no longer be read."""
         for df in self._written:
             remove_written(df)
-        self._written, self._enriched = [], None
+        self._written, self._enriched, self._enriched_path = [], None, None
         for name in ("_memo", "_since", "_sharing", "cleaned", "dedup"):
             self.__dict__.pop(name, None)
 

@@ -74,14 +74,24 @@ def write_and_reload(df: DataFrame, name: str, partition_by: list[str] | None =
     checkpoint the reloaded table is columnar, so later filters and
     projections are pushed into the scan again.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.mode("overwrite")
+    return write_at(df, new_path(df.sparkSession, name), partition_by)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_at(df: DataFrame, path: str, partition_by: list[str] | None = None, only_partitions: bool = False) -> DataFrame:
+    """Writes ``df`` as parquet at ``path`` and reads the whole table there.
+
+    ``only_partitions`` replaces just the partitions that ``df`` has rows of.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)  # a table without rows may have no file to infer from
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a table without rows may have no file to infer from
 
 
 def write_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
