@@ -36,6 +36,7 @@ class RetailModel:
         self.bounds = {"stores": stores, "regions": regions} | (bounds or {})
         self._enriched: DataFrame | None = None
         self._enriched_path: str | None = None
+        self._bucketed: str | None = None
         self._written: list[DataFrame] = []
 
     # ---- construction -------------------------------------------------
@@ -139,6 +140,22 @@ class RetailModel:
         self._enriched = self.keep(write_at(by_month(self.enriched), self._enriched_path, [views.PARTITION_COLUMN]))
         return self._enriched
 
+    def materialize_by_store(self, buckets: int) -> DataFrame:
+        """Write ``sales_enriched`` bucketed by store_id, for work that groups by store.
+
+        Store totals, store-weeks and all that starts from them then need no
+        exchange of the facts.  The layout by month (``materialize``) serves
+        date ranges instead; a chain keeps the one its reports use most.
+        """
+        spark = self.sales.sparkSession
+        path = new_path(spark, "sales_by_store")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        table = self.enriched.repartition(buckets, "store_id").sortWithinPartitions("store_id", "date")
+        table.write.bucketBy(buckets, "store_id").sortBy("store_id", "date").option("path", path).saveAsTable(name)
+        self._enriched_path, self._bucketed = None, name
+        self._enriched = self.keep(spark.table(name))
+        return self._enriched
+
     def refresh(self, new_sales: DataFrame) -> DataFrame:
         """Adds sales to a materialised model and cleans again only what they touch.
 
@@ -211,6 +228,9 @@ class RetailModel:
         """Deletes the tables that this model has written; its DataFrames can no longer be read."""
         for df in self._written:
             remove_written(df)
+        if self._bucketed:
+            self.sales.sparkSession.sql(f"DROP TABLE IF EXISTS {self._bucketed}")
+            self._bucketed = None
         self._written, self._enriched, self._enriched_path = [], None, None
         for name in ("_memo", "_since", "_sharing", "cleaned", "dedup"):
             self.__dict__.pop(name, None)

@@ -118,3 +118,17 @@ def test_boards_have_at_most_k_rows(spark):
     assert got.keys() == {"r", None}
     assert got["r"].leaders.count('"store_id"') == 3 and got["r"].leaders.startswith('[{"rank":1,"store_id":6,"revenue90":6.000000')
     assert got[None].watchlist.count('"z_tx":null') == 1
+
+
+def test_bucketed_table_needs_no_exchange_of_the_facts(spark):
+    m = RetailModel(*tables(spark, 3000), Params(as_of=date(2024, 4, 29)))
+    plain = RetailModel(m.regions, m.stores, m.sales, m.params)
+    m.materialize_by_store(4)
+    for name in ("store_weeks", "store_kpis", "rollup_by_store"):
+        df = QUERIES[name](m)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, (name, plan)
+        assert rows_of(df) == rows_of(QUERIES[name](plain))
+    table = m._bucketed
+    m.release()
+    assert not spark.catalog.tableExists(table)
