@@ -86,7 +86,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
            path_col: str = "path") -> DataFrame:
-    """(blob, missing, text): one row for each blob of versions and the rule versions not yet run over it."""
+    """(blob, missing, text): one row for each blob of versions and the rule versions not yet run over it.
+
+    Null texts are empty ones; rows that repeat a path and a text give one row
+    too.  An empty table gives none, other columns are not read.
+    """
     keyed = versions.select(F.col(path_col).cast("string").alias("_path"), "text", blob_id(F.col("text")).alias("blob"))
     one = keyed.groupBy("blob").agg(F.min(F.coalesce("_path", F.lit(""))).alias("_path"))
     wanted = F.array(*(F.lit(r.key) for r in rules))
@@ -95,7 +99,8 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
             .select("blob", "_path", missing.alias("missing")).where(F.size("missing") > 0))
     # copies share a blob but not a path, so a blob with very many copies does not gather
     return (keyed.withColumn("_path", F.coalesce("_path", F.lit("")))
-            .join(todo, ["blob", "_path"]).select("blob", "missing", "text"))
+            .join(todo, ["blob", "_path"]).groupBy("blob", "_path")  # lies together after the join
+            .agg(F.first("missing").alias("missing"), F.first("text").alias("text")).select("blob", "missing", "text"))
 
 
 def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, path_col: str = "path") -> DataFrame:
@@ -132,16 +137,24 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
 
 
 def by_path(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """versions without ``text``, with ``blob`` and ``found`` (secrets of the blob, in order) for each row."""
-    rows = versions.withColumn("blob", blob_id(F.col("text"))).drop("text")
+    """versions without ``text``, with ``blob`` and ``found`` (secrets of the blob, in order) for each row.
+
+    Columns of versions named blob or found are replaced.  Null texts are
+    empty ones, repeated rows stay; ``found`` is null for a blob that the ledger lacks.
+    """
+    kept = [c for c in versions.columns if c not in ("text", "blob", "found")]
+    rows = versions.select(*kept, blob_id(F.col("text")).alias("blob"))
     return rows.join(ledger.select("blob", "found"), "blob", "left")
 
 
 def redact(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """docs with every character of a found secret replaced by ``*`` (lengths stay)."""
-    hits = ledger.where(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    masked = F.expr("""aggregate(_found, text, (t, s) -> concat(
+    """docs with every character of a found secret replaced by ``*`` (lengths stay).
+
+    Null texts stay null, repeated rows stay, an empty table gives none.
+    """
+    hits = ledger.where(F.size("found") > 0).select(F.col("blob").alias("_secret_blob"), F.col("found").alias("_secret_spans"))
+    masked = F.expr("""aggregate(_secret_spans, text, (t, s) -> concat(
         substring(t, 1, s.start), repeat('*', s.end - s.start), substring(t, s.end + 1)))""")
-    keyed = docs.withColumn("_blob", blob_id(F.col("text")))
-    return (keyed.join(hits, "_blob", "left").withColumn("text", F.when(F.col("_found").isNull(), F.col("text"))
+    keyed = docs.withColumn("_secret_blob", blob_id(F.col("text")))
+    return (keyed.join(hits, "_secret_blob", "left").withColumn("text", F.when(F.col("_secret_spans").isNull(), F.col("text"))
             .otherwise(masked)).select(*docs.columns))

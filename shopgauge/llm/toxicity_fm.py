@@ -17,15 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_and_reload
 from . import words
 from .words import U
 
 #: Labelled rows that the model is fitted on, at most; picked by the hash of their doc_id.
 SAMPLE = 20_000
+#: Bytes of their terms (four for each) at most.
+SAMPLE_BYTES = 1 << 28
 #: Hash buckets are 2^BITS; factors of each bucket.
 BITS, FACTORS = 18, 4
 #: Beginnings of words that are terms too, in bytes.
@@ -124,12 +127,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 6, rate: float
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits the model on labelled documents whose crc32(doc_id as text) mod ``held_out`` is not 0.
 
     Of more than ``sample`` such label rows those with the smallest hash of
     doc_id are taken, so the sample does not depend on order or partitions.
-    Rows with a null label or doc_id are left out.
+    Rows with a null label or doc_id are left out.  Of several texts under a
+    doc_id the one whose terms sort first counts, once.  The sample ends, in
+    the same order, where its terms take ``most_bytes``.
     """
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     kept = kept.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
@@ -143,11 +148,16 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample: int = S
                                   names=["doc_id", "toxic", "terms"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # at most ``sample`` rows of two numbers: bounded, whatever the input
-    rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
-            .mapInArrow(run, f"doc_id {kind}, toxic int, terms binary").toPandas())
+    # ``some`` is at most ``sample`` rows of two numbers; copies of a document combine before they are moved
+    found = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+             .mapInArrow(run, f"doc_id {kind}, toxic int, terms binary")
+             .groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")))
+    found = write_and_reload(found, "toxicity-sample")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").rowsBetween(Window.unboundedPreceding, 0)
+    fits = (found.select("doc_id", "toxic", F.length("terms").alias("size"))  # at most ``sample`` rows
+            .withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes))
+    rows = found.join(F.broadcast(fits.select("doc_id", "toxic")), ["doc_id", "toxic"]).toPandas()
     rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
-    rows = rows.drop_duplicates(["doc_id", "toxic"]) if rows["doc_id"].duplicated().any() else rows
     return fit([np.frombuffer(x, np.int32) for x in rows["terms"]], rows["toxic"].to_numpy(float))
 
 

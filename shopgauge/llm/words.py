@@ -45,6 +45,7 @@ def take_turn(owner: str, drop: Callable[[], None] | None = None) -> None:
         forget()
     if others:
         gc.collect()
+    pa.default_memory_pool().release_unused()
     if drop:
         _HELD[owner] = drop
 

@@ -387,3 +387,30 @@ def test_licence_notices_as_they_are_written(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string")
     got = {r.doc_id: (r.licences, r.unmatched) for r in license_rules.recognise(df).collect()}
     assert [got[i] for i in range(len(wanted))] == [([x], []) for x in wanted.values()]
+
+
+def test_secrets_scan_repeated_rows_once_and_survive_clashes(spark):
+    rows = [(1, "token=abcdef0123456789abc")] * 5 + [(None, "token=abcdef0123456789abc")] * 3
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = tempfile.mkdtemp(dir="/tmp") + "/ledger"
+    secret_ledger.scan(rows, folder, path_col="doc_id")
+    assert spark.read.parquet(folder).count() == 1
+    ledger = secret_ledger.read_ledger(spark, folder)
+    clash = rows.withColumns({c: F.lit("clash") for c in ("found", "blob", "_found", "_blob", "_path", "rules")})
+    found = secret_ledger.by_path(clash, ledger).collect()
+    assert len(found) == 8 and all(r.found[0].kind == "assign" and r._found == "clash" for r in found)
+    red = secret_ledger.redact(clash, ledger).collect()
+    assert {r.text for r in red} == {"*" * 25} and {r.found for r in red} == {"clash"}
+
+
+def test_toxicity_learns_each_labelled_document_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity_fm, "fit", lambda rows, y, **k: seen.update(n=len(rows), size=sum(len(r) for r in rows)))
+    docs = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    more = spark.createDataFrame([(i, "some words here") for i in range(100, 140)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 1), *[(i, 0) for i in range(100, 140)]], "doc_id long, toxic int")
+    toxicity_fm.learn(docs.union(more), labels, held_out=10**9)
+    whole = seen["n"]
+    assert whole == 41
+    toxicity_fm.learn(docs.union(more), labels, held_out=10**9, most_bytes=4 * seen["size"] // 2)
+    assert 15 <= seen["n"] < whole and seen["size"] > 0
