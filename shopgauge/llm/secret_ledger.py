@@ -86,10 +86,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES,
            path_col: str = "path") -> DataFrame:
-    """(blob, missing, text): one row for each blob of versions and the rule versions not yet run over it.
+    """(blob, missing, text): each blob of versions and the rule versions not yet run over it.
 
-    Null texts are empty ones; rows that repeat a path and a text give one row
-    too.  An empty table gives none, other columns are not read.
+    Null texts are empty ones.  A blob is given once, or as often as one path
+    (the least) repeats it: such rows are scanned each and are one row of the
+    ledger.  An empty table gives none, other columns are not read.
     """
     keyed = versions.select(F.col(path_col).cast("string").alias("_path"), "text", blob_id(F.col("text")).alias("blob"))
     one = keyed.groupBy("blob").agg(F.min(F.coalesce("_path", F.lit(""))).alias("_path"))
@@ -99,16 +100,15 @@ def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
             .select("blob", "_path", missing.alias("missing")).where(F.size("missing") > 0))
     # copies share a blob but not a path, so a blob with very many copies does not gather
     return (keyed.withColumn("_path", F.coalesce("_path", F.lit("")))
-            .join(todo, ["blob", "_path"]).groupBy("blob", "_path")  # lies together after the join
-            .agg(F.first("missing").alias("missing"), F.first("text").alias("text")).select("blob", "missing", "text"))
+            .join(todo, ["blob", "_path"]).select("blob", "missing", "text"))
 
 
 def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, path_col: str = "path") -> DataFrame:
     """Scans what the ledger in ``ledger_path`` lacks, adds it there, and returns the ledger.
 
     ``versions`` has a path column and ``text``, one row for each version of a
-    path (null texts are empty, repeated rows and equal texts are scanned
-    once, a null path is an ordinary one, other columns are ignored).  An
+    path (null texts are empty, equal texts of different paths are scanned
+    once, rows that repeat the least path and text each, a null path is an ordinary one, other columns are ignored).  An
     empty table adds nothing.  Stopped half-way, a scan adds nothing either,
     and the next one starts again.
     """
