@@ -1,11 +1,17 @@
 """Licence recognition by sentences and ordered rules, in built-in functions only.
 
-A text is cut into sentences, each is normalised, and those that are known
-licence sentences become identifiers.  The text's sequence of identifiers is
-then matched against rules in order: a rule whose identifiers occur side by
-side names its licence and uses them up, so a long rule is not reported again
-by a shorter one further down.  All of it is one expression of the row, so
-nothing is shuffled and nothing can be skewed.
+A text loses its comment marks and is cut into sentences; the lines of a
+paragraph are joined.  Normalised sentences that are known become identifiers,
+all others a mark between them.  The sequence is then matched against rules in
+order: a rule whose identifiers are true neighbours names its licence and uses
+them up, so a long rule is not reported again by a shorter one further down.
+All of it is one expression of the row, so nothing is shuffled and nothing can
+be skewed.
+
+A sentence ends at its marks before white space, at an empty line and before a
+list mark.  Since statements often stand on a line of their own after one
+without a mark, a known sentence may also begin and end with any line; of those
+that begin at a place the longest counts.
 """
 
 from __future__ import annotations
@@ -54,6 +60,27 @@ SENTENCES = {
     "LGPLLine": ["Licensed under the GNU Lesser General Public License, version 3",
                  "Released under the GNU Lesser General Public License, version 3",
                  "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "LGPLProgram": ["This library is free software"],
+    "LGPLTerms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                  "published by the Free Software Foundation"],
+    "LGPL21Later": ["either version 2.1 of the License, or (at your option) any later version"],
+    "LGPL3Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                  "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                  "License, or (at your option) any later version",
+                  "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                  "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                  "License, or (at your option) any later version"],
+    "LGPLWarranty": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "AGPL3Free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                  "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                  "License, or (at your option) any later version"],
+    "AGPLLine": ["Licensed under the GNU Affero General Public License, version 3",
+                 "Released under the GNU Affero General Public License, version 3",
+                 "This work is licensed under the GNU Affero General Public License, version 3"],
+    "ISCGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+                 "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+                 "copies"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "BSDSource": ["Redistributions of source code must retain the above copyright notice",
                   "Redistributions of source code must retain the above copyright notice, this list of conditions "
                   "and the following disclaimer"],
@@ -75,6 +102,14 @@ SENTENCES = {
             "rights to this work"],
     "Reserved": ["All rights reserved"],
 }
+# fixed values: short licence identifiers of a source file's first lines, and the licence each means
+SHORT = {"Apache-2.0": "Apache-2.0", "MIT": "MIT", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0",
+         "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1",
+         "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0",
+         "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "BSD-2-Clause": "BSD-2-Clause",
+         "BSD-3-Clause": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "Unlicense": "Unlicense",
+         "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY-4.0"}
+SENTENCES |= {f"SPDX-{short}": [f"SPDX-License-Identifier: {short}"] for short in SHORT}
 # fixed values: rules in order; the first whose sentences stand side by side takes them
 RULES = [
     ("Apache-2.0", ["ApacheLine", "ApacheUse", "ApacheCopy"]),
@@ -92,6 +127,17 @@ RULES = [
     ("GPL", ["GPLFree", "GPLWarranty"]),
     ("GPL", ["GPLFree"]),
     ("LGPL-3.0", ["LGPLLine"]),
+    ("LGPL-3.0", ["LGPL3Free", "GPLWarranty"]),
+    ("LGPL-3.0", ["LGPL3Free", "LGPLWarranty"]),
+    ("LGPL-3.0", ["LGPL3Free"]),
+    ("LGPL-2.1", ["LGPLProgram", "LGPLTerms", "LGPL21Later", "LGPLWarranty"]),
+    ("LGPL-2.1", ["LGPLProgram", "LGPLTerms", "LGPL21Later"]),
+    ("AGPL-3.0", ["AGPL3Free", "GPLWarranty"]),
+    ("AGPL-3.0", ["AGPL3Free"]),
+    ("AGPL-3.0", ["AGPLLine"]),
+    ("ISC", ["ISCGrant", "AsIs"]),
+    ("ISC", ["ISCGrant"]),
+    ("Unlicense", ["Unlicense"]),
     ("BSD-3-Clause", ["BSDSource", "BSDBinary", "BSDName"]),
     ("BSD-2-Clause", ["BSDSource", "BSDBinary"]),
     ("MPL-2.0", ["MPLLine"]),
@@ -99,9 +145,12 @@ RULES = [
     ("CC-BY-SA-4.0", ["CCBYSA4"]),
     ("CC-BY-4.0", ["CCBY4"]),
     ("CC0-1.0", ["CC0"]),
+    *((name, [f"SPDX-{short}"]) for short, name in SHORT.items()),
 ]
-#: Where a sentence ends: a line, or marks before white space or the end of the text (a run of marks is tried once).
-BREAK = r"(?<![.!?;])[.!?;]++(?:[ \t\r]+|\n|$)|\n"
+#: Comment marks at the start of a line.
+COMMENT = r"[ \t\r]*(?://+|/\*+|\*+/|\*+|#+|--+|%+|>+)"
+#: The numbers and letters of list items, and white space after them.
+ITEM = r"[ \t\r]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 
 
 def normal(sentence: str) -> str:
@@ -110,24 +159,40 @@ def normal(sentence: str) -> str:
     return " ".join(kept.split())
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order; a null text has none."""
+def joined(text: Column) -> Column:
+    """The normalised text: ``X`` around each sentence, ``N`` between the lines within one; a null text is empty.
+
+    The rest is lower case, so the two capitals cannot be the text's own.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.split(low, BREAK)
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    bare = F.regexp_replace(low, rf"(?dm)^{COMMENT}(?=[ \t\r]|$)", "")
+    begun = F.regexp_replace(bare, rf"(?dm)^(?:[ \t\r]*$|{ITEM})", "X")
+    # a run of marks is tried once
+    ended = F.regexp_replace(begun, r"(?<![.!?;])[.!?;]++(?=[ \t\r\nX]|\z)", "X")
+    lined = F.concat(F.lit("X"), F.replace(ended, F.lit("\n"), F.lit("N")), F.lit("X"))
+    plain = F.regexp_replace(lined, "[^a-z0-9XN]+", " ")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?<![ N])[ N]*+X[ XN]*+", "X"), " ?N[ N]*+", "N")
+
+
+def sentence_pattern(table: dict[str, list[str]], between: str) -> str:
+    """Alternatives for the known sentences, longest first, with ``between`` for the space of two words; then any line."""
+    known = sorted({normal(s) for many in table.values() for s in many}, key=lambda s: (-len(s), s))
+    return "|".join([*(s.replace(" ", between) for s in known), "[^XN]+"])
 
 
-def identifiers(known: Column, table: dict[str, list[str]] | None = None) -> Column:
-    """The identifiers of those normalised sentences that are known, in order."""
-    by_text = {normal(s): key for key, many in (table or SENTENCES).items() for s in many}
+def identifiers(text: Column, table: dict[str, list[str]] | None = None) -> Column:
+    """The identifiers of a joined text's known sentences, in order, and ``?`` for each other line."""
+    table = table or SENTENCES
+    by_text = {normal(s): key for key, many in table.items() for s in many}
     names = F.create_map(*(F.lit(x) for pair in sorted(by_text.items()) for x in pair))
-    hits = F.filter(known, lambda s: s.isin(*sorted(by_text)))
-    return F.transform(hits, lambda s: F.element_at(names, s))
+    found = F.regexp_extract_all(text, F.lit(f"(?<=[XN])(?:{sentence_pattern(table, '[ N]')})(?=[XN])"), F.lit(0))
+    return F.transform(found, lambda s: F.coalesce(F.try_element_at(names, F.replace(s, F.lit("N"), F.lit(" "))), F.lit("?")))
 
 
 def match(ids: Column, rules=None) -> tuple[Column, Column]:
-    """(licences in rule order without repeats, identifiers that no rule used) of an identifier sequence."""
+    """(licences in rule order without repeats, identifiers that no rule used) of an identifier sequence with its ``?``."""
     rest = F.concat(F.lit("|"), F.concat_ws("|", ids), F.lit("|"))
+    rest = F.regexp_replace(rest, r"\?[?|]*+", "?|")
     found = []
     for name, keys in rules or RULES:
         # a doubled bar keeps neighbours apart, so the same rule can match twice in a row
@@ -135,14 +200,14 @@ def match(ids: Column, rules=None) -> tuple[Column, Column]:
         found.append(F.when(F.contains(rest, F.lit(wanted)), F.lit(name)))
         rest = F.replace(F.replace(rest, F.lit(wanted), F.lit("||")), F.lit(wanted), F.lit("||"))
     licences = F.array_distinct(F.array_compact(F.array(*found)))
-    left = F.filter(F.split(rest, r"\|"), lambda s: s != "")
+    left = F.filter(F.split(rest, r"\|"), lambda s: ~s.isin("", "?"))
     return licences, left
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with the licences of each row.
 
-    Adds ``n_sentences`` (non-empty ones), ``sentence_ids`` (identifiers in
+    Adds ``n_sentences`` (non-empty ones, lines joined), ``sentence_ids`` (identifiers in
     order), ``licences`` (in rule order) and ``unmatched`` (identifiers that no
     rule used).  Null and empty texts have none of either; repeated rows are
     handled alike; an empty table gives an empty one.  Columns of docs with
@@ -150,8 +215,9 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     added = ("n_sentences", "sentence_ids", "licences", "unmatched")
     keep = [c for c in docs.columns if c != text and c not in added]
-    cut = docs.select(*keep, sentences(F.col(text)).alias("_cut"))
-    ids = cut.select(*keep, F.size(F.filter("_cut", lambda s: s != "")).cast("long").alias("n_sentences"),
-                     identifiers(F.col("_cut")).alias("sentence_ids"))
-    licences, left = match(F.col("sentence_ids"))
-    return ids.select("*", licences.alias("licences"), left.alias("unmatched"))
+    cut = docs.select(*keep, joined(F.col(text)).alias("_joined"))
+    many = F.greatest(F.length(F.regexp_replace("_joined", "[^X]+", "")) - 1, F.lit(0)).cast("long")
+    ids = cut.select(*keep, many.alias("n_sentences"), identifiers(F.col("_joined")).alias("_ids"))
+    licences, left = match(F.col("_ids"))
+    return ids.select(*keep, "n_sentences", F.filter("_ids", lambda s: s != "?").alias("sentence_ids"),
+                      licences.alias("licences"), left.alias("unmatched"))

@@ -4,6 +4,7 @@ Merkle proofs are climbed level by level over positions, a trie's nodes are
 the texts of their paths and subtrees are joined over all ancestors, and chat
 digests come straight from the source.  Licences go another way than the operator: sentences become rows, known ones
 are found by a join, and a licence is read from whether any of its rules held.
+Lines are handled one by one there.  WARC digests are spelled from SHA-1's hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -17,30 +18,57 @@ def _text(s: str) -> str:
 
 def license_scans() -> str:
     known = ",\n".join(f"({_text(L.normal(s))}, {_text(key)})" for key, many in L.SENTENCES.items() for s in many)
-    steps, tests = [], {}
+    steps, tests, cases = [], {}, []
     for k, (name, keys) in enumerate(L.RULES):
         wanted = _text("|" + "|".join(keys) + "|")
         # twice: neighbouring matches share a bar
         steps.append(f"replace(replace(r{k}, {wanted}, '||'), {wanted}, '||') AS r{k + 1}")
-        tests.setdefault(name, []).append(f"contains(r{k}, {wanted})")
-    licences = ",\n".join(f"CASE WHEN {' OR '.join(some)} THEN {_text(name)} END" for name, some in tests.items())
+        # the first of a licence's rules that held gives its place
+        held, before = f"contains(r{k}, {wanted})", tests.setdefault(name, [])
+        cases.append(f"CASE WHEN {' AND '.join([held, *(f'NOT {x}' for x in before)])} THEN {_text(name)} END")
+        before.append(held)
+    licences = ",\n".join(cases)
     return rf"""
 WITH known(sentence, id) AS (VALUES
 {known}),
-numbered AS (SELECT row_number() OVER () AS row_no, doc_id, lower(coalesce(text, '')) AS low FROM documents),
-parts AS (SELECT row_no, string_split_regex(low, '[.!?;]+[ \t\r]+|[.!?;]*\n|[.!?;]+$') AS cut FROM numbered),
-placed AS (SELECT row_no, unnest(cut) AS part, generate_subscripts(cut, 1) AS place FROM parts),
-plain AS (SELECT row_no, place, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM placed),
-told AS (SELECT row_no, count(*) FILTER (sentence <> '') AS n_sentences,
-                string_agg(id, '|' ORDER BY place) AS ids
-         FROM plain LEFT JOIN known USING (sentence) GROUP BY row_no),
-used AS (SELECT row_no, n_sentences, coalesce(ids, '') AS ids, '|' || coalesce(ids, '') || '|' AS r0,
+numbered AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
+bare AS (SELECT row_no, list_transform(lines, lambda x: regexp_replace(x, '^{L.COMMENT}($|[ \t\r])', '\1')) AS lines FROM numbered),
+ended AS (
+    SELECT row_no, list_transform(lines, lambda x: regexp_replace(
+               CASE WHEN regexp_full_match(x, '[ \t\r]*') THEN 'X' ELSE regexp_replace(x, '^{L.ITEM}', 'X') END,
+               '[.!?;]+([ \t\rX]|$)', 'X', 'g')) AS lines FROM bare),
+plain AS (SELECT row_no, regexp_replace('X' || array_to_string(lines, 'N') || 'X', '[^a-z0-9XN]+', ' ', 'g') AS line FROM ended),
+joined AS (SELECT row_no, regexp_replace(regexp_replace(line, '[ N]*X[ XN]*', 'X', 'g'), ' ?N[ N]*', 'N', 'g') AS line FROM plain),
+parts AS (
+    SELECT row_no, greatest(length(regexp_replace(line, '[^X]', '', 'g')) - 1, 0) AS n_sentences,
+           -- both sides of a line get a mark of their own
+           regexp_extract_all(replace(replace(line, 'N', 'NN'), 'X', 'XX'), '[XN]({L.sentence_pattern(L.SENTENCES, "(?: |NN)")})[XN]', 1) AS cut
+    FROM joined),
+placed AS (SELECT row_no, replace(unnest(cut), 'NN', ' ') AS sentence, generate_subscripts(cut, 1) AS place FROM parts),
+told AS (SELECT row_no, string_agg(coalesce(id, '?'), '|' ORDER BY place) AS ids, string_agg(id, ',' ORDER BY place) AS known_ids
+         FROM placed LEFT JOIN known USING (sentence) GROUP BY row_no),
+used AS (SELECT row_no, known_ids, regexp_replace('|' || coalesce(ids, '') || '|', '\?[?|]*', '?|', 'g') AS r0,
 {", ".join(steps)}
          FROM told)
-SELECT doc_id, n_sentences::BIGINT AS n_sentences, replace(ids, '|', ',') AS sentence_ids,
+SELECT doc_id, n_sentences::BIGINT AS n_sentences, coalesce(known_ids, '') AS sentence_ids,
        concat_ws(',', {licences}) AS licences,
-       regexp_replace(trim(r{len(L.RULES)}, '|'), '\|+', ',', 'g') AS unmatched
-FROM used JOIN numbered USING (row_no)
+       coalesce(trim(regexp_replace(r{len(L.RULES)}, '[?|]+', ',', 'g'), ','), '') AS unmatched
+FROM numbered JOIN parts USING (row_no) LEFT JOIN used USING (row_no)
+"""
+
+
+def warc() -> str:
+    # twenty bits are five hexadecimal digits and four letters of base 32
+    bits = "('0x' || substr(sha1(payload), 5 * g + 1, 5))::BIGINT"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({bits}) >> {k}) & 31)::INT + 1, 1)" for k in (15, 10, 5, 0))
+    return f"""
+WITH kept AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM kept GROUP BY payload)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: {letters}), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM kept JOIN firsts USING (payload)
 """
 
 
@@ -140,5 +168,5 @@ FROM told
 """
 
 
-ORACLES = {"op2_license_scans": license_scans(), "op11_merkle_manifest": merkle(), "op12_prefix_trie": prefix_trie(),
+ORACLES = {"op2_license_scans": license_scans(), "op10_warc": warc(), "op11_merkle_manifest": merkle(), "op12_prefix_trie": prefix_trie(),
            "op13_chat_formatting": chat()}

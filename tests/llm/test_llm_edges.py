@@ -63,21 +63,50 @@ def test_licences(spark, docs, none):
 
 
 def test_licence_sentences_end_alike_in_sql(spark):
-    """The break pattern against plain alternatives, by the query's SQL, on runs of marks, white space and nulls."""
+    """Sentences and identifiers against plain loops and the query's SQL, on runs of marks, lines, comments, items and nulls."""
     import re
 
     import duckdb
 
     rng = random.Random(8)
     known = [s for many in license_rules.SENTENCES.values() for s in many]
-    texts = [None, "", "." * 30_000 + "x", *("".join(rng.choice([*known, ". ", "...", "!\n", ";\t", "\r\n", "\n", " ", "x"])
-                                                    for _ in range(rng.randint(1, 30))) for _ in range(300))]
-    plain = [[s for s in re.split(r"[.!?;]+[ \t\r]+|[.!?;]*\n|[.!?;]+\Z", (t or "")) if license_rules.normal(s)]
-             for t in texts if not t or len(t) < 30_000]
+    bits = [". ", "...", "!\n", ";\t", "\r\n", "\n", "\n\n", "\n \n", " ", "x", "\n// ", "\n # ", "\n * ", "\n2. ", "\n (b) ", "\n/* "]
+    texts = [None, "", "." * 30_000 + "x", "\n" * 30_000 + "x", "\n-" * 30_000, *(
+        "".join(rng.choice([*known, *(s.replace(" ", "\n", 3) for s in rng.sample(known, 9)), *bits * 4])
+                for _ in range(rng.randint(1, 30))) for _ in range(400))]
+
+    def plain(text):
+        """Sentences of a text, each a list of normalised lines."""
+        found, held = [], []
+        for line in text.lower().split("\n"):
+            line = re.sub(r"^[ \t\r]*(//+|/\*+|\*+/|\*+|#+|--+|%+|>+)(?=[ \t\r]|$)", "", line)
+            item = re.match(r"[ \t\r]*(\Z|\(?([0-9]{1,2}|[a-z])[.)][ \t]+)", line)
+            if item:
+                found.append(held)
+                held, line = [], line[item.end():]
+            pieces = re.split(r"[.!?;]+(?=[ \t\r]|$)", line)
+            for k, piece in enumerate(pieces):
+                held.append(license_rules.normal(piece))
+                if k < len(pieces) - 1:
+                    found.append(held)
+                    held = []
+        return [w for w in ([x for x in s if x] for s in [*found, held]) if w]
+
+    def ids(text):
+        by = {license_rules.normal(s): key for key, many in license_rules.SENTENCES.items() for s in many}
+        got = []
+        for lines in plain(text):
+            at = 0
+            while at < len(lines):
+                ends = [e for e in range(len(lines), at, -1) if " ".join(lines[at:e]) in by]
+                got += [by[" ".join(lines[at:ends[0]])]] if ends else []
+                at = ends[0] if ends else at + 1
+        return got
+
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in license_rules.recognise(df).collect()}
-    small = [i for i, t in enumerate(texts) if not t or len(t) < 30_000]
-    assert [got[i].n_sentences for i in small] == [len(x) for x in plain]
+    assert [got[i].n_sentences for i in range(len(texts))] == [len(plain(t or "")) for t in texts]
+    assert [got[i].sentence_ids for i in range(len(texts))] == [ids(t or "") for t in texts]
     import pyarrow as pa
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
@@ -361,7 +390,9 @@ def test_pipeline_rejects_unlearned_languages(spark):
 
 
 def test_licence_notices_as_they_are_written(spark):
-    """Whole sentences of the MIT, BSD, GPL and Apache notices, a paragraph to a line."""
+    """The MIT, BSD, GPL, LGPL, AGPL and Apache notices: a paragraph to a line, wrapped, and in comments."""
+    import textwrap
+
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
@@ -382,11 +413,45 @@ def test_licence_notices_as_they_are_written(spark):
            "ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.")
     apache = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
               "compliance with the License. You may obtain a copy of the License at\n\n http://www.apache.org/licenses/")
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    agpl = gpl.replace("General", "Affero General")
     wanted = {mit: "MIT", bsd: "BSD-2-Clause", bsd + name: "BSD-3-Clause", gpl.format(":", ",", 3): "GPL-3.0",
-              gpl.format(";", ";", 2): "GPL-2.0", apache: "Apache-2.0"}
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "doc_id long, text string")
+              gpl.format(";", ";", 2): "GPL-2.0", apache: "Apache-2.0", lgpl.format(";", ";", 2.1): "LGPL-2.1",
+              lgpl.format(":", ",", 3): "LGPL-3.0", agpl.format(":", ",", 3): "AGPL-3.0"}
+    wrapped = ["\n".join(textwrap.fill(x, 60) for x in t.split("\n")) for t in wanted]
+    texts = [*wanted, *wrapped, *("Some text\n" + t for t in wrapped)]
+    for open_, mark, close in (("", "# ", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("<!--\n", "  ", "\n-->")):
+        texts += [open_ + textwrap.indent(t, mark, lambda line: True) + close + "\nint main() {}" for t in wrapped]
+    texts += ["// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;", "a line without an end\nLicensed under CC BY 4.0"]
+    # a rule needs neighbours: a sentence between breaks it
+    texts.append(mit.replace("\n\nThe above", "\n\nBut not today.\n\nThe above"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.licences, r.unmatched) for r in license_rules.recognise(df).collect()}
-    assert [got[i] for i in range(len(wanted))] == [([x], []) for x in wanted.values()]
+    named = [([x], []) for x in wanted.values()]
+    assert [got[i] for i in range(len(texts))] == [*named * 7, (["LGPL-2.1"], []), (["CC-BY-4.0"], []),
+                                                   ([], ["MITGrant", "MITNotice", "AsIs"])]
+
+
+def test_warc_sql_spells_the_digests(spark):
+    """The query's SQL against Python's digests, with equal payloads, nulls and empty ones."""
+    import base64
+    import hashlib
+
+    import duckdb
+    import pyarrow as pa
+
+    from shopgauge.llm.oracle import ORACLES
+    html = [None, "", "é" * 3000, "a", "a", "", "x" * 100_000, "a"]
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": list(range(8, 0, -1)), "url": [None] * 8, "html": pa.array(html, pa.string())}))
+    got = {r[0]: r[1:] for r in con.execute(ORACLES["op10_warc"]).fetchall()}
+    first = {}
+    for i, t in zip(range(8, 0, -1), html):
+        first[t or ""] = i
+    for i, t in zip(range(8, 0, -1), html):
+        raw, of = (t or "").encode(), first[t or ""]
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert got[i] == (len(raw), digest, *(("response", None) if of == i else ("revisit", of)))
 
 
 def test_repeated_rows_are_one_of_the_ledger_and_columns_may_clash(spark):
