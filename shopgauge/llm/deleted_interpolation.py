@@ -179,7 +179,7 @@ def _answer(parts: int):
         for i, (block, held) in enumerate(zip(pdf["block"], pdf["em"])):
             mine = slot[bounds[i]:bounds[i + 1]]
             got = np.concatenate([total[mine], kept[mine]]) if held else total[mine]
-            rows.append((block, part, len(mine), _pack(got.astype(np.uint32)), 0, 0, 0, 0))
+            rows.append((block, part, len(mine), _pack(got.astype(np.uint64)), 0, 0, 0, 0))
         is_word = (k[at] * U(parts) + U(part)) < _BIGRAM
         rows.append((None, part, 0, None, int(total[is_word].sum()), int((total[is_word] > 0).sum()),
                      int(kept[is_word].sum()), int((kept[is_word] > 0).sum())))
@@ -198,7 +198,7 @@ def _looked_up(docs: pa.RecordBatch, answers: pd.DataFrame, parts: int, held: bo
     for p, n, raw in zip(answers["part"], answers["n"], answers["counts"]):
         if n != at[p + 1] - at[p]:
             raise ValueError("a block and its answers differ")
-        got = _unpack(raw, 4)
+        got = _unpack(raw, 8)
         values[order[at[p]:at[p + 1]]] = got[n:] if held else got[:n]
     starts = words.mix(np.array([_END])) >> U(2)
     # a text's first token follows the start, which occurs as often as the end
