@@ -31,6 +31,8 @@ STOP = ("of and to in it for on as with by at from that he or und den dem des mi
         "des dans qui par pour sur au aux se del al por para").split()
 #: Content words in a chain, and the step between them.
 CHAIN, STEP = 3, 1
+#: A text with fewer than one anchor to so many words takes every word for one.
+SPARSE = 20
 
 
 def _set_of(names) -> np.ndarray:
@@ -54,17 +56,18 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 def signatures(column: pa.Array) -> list[np.ndarray]:
     """The fingerprint of each text: its distinct signatures, rising.
 
-    A text without anchors takes every word for one, so that only texts
-    without words (and nulls) have an empty fingerprint.  A chain cut short by
-    the end of the text counts as it is.
+    A text with few anchors for its length (``SPARSE``), or none, takes every word for one, so
+    that a few borrowed words don't stand for a long text in another language
+    and only texts without words (and nulls) have an empty fingerprint.  A
+    chain cut short by the end of the text counts as it is.
     """
     h, first = words.hashed(column, words.ALNUM)
     n = len(first) - 1
     row = np.repeat(np.arange(n), np.diff(first))
     content = ~_member(h, _STOP)
     anchor = _member(h, _ANCHOR)
-    with_anchor = words.group_sums(anchor, first) > 0
-    anchor |= ~with_anchor[row] if len(row) else False
+    enough = words.group_sums(anchor, first) * SPARSE >= np.maximum(np.diff(first), 1)
+    anchor |= ~enough[row] if len(row) else False
     after = np.concatenate([[0], np.cumsum(content)])
     chain, chain_row = h[content], row[content]
     at = np.flatnonzero(anchor)

@@ -432,6 +432,29 @@ def test_licence_notices_as_they_are_written(spark):
                                                    ([], ["MITGrant", "MITNotice", "AsIs"])]
 
 
+def test_few_anchors_do_not_stand_for_a_long_text():
+    import pyarrow as pa
+    foreign = [f"slovo{k}" for k in range(400)]
+    one = foreign[:200] + ["la"] + foreign[200:]
+    short, long_, plain = spotsigs.signatures(pa.array(["la casa blanca", " ".join(one), " ".join(foreign)]))
+    assert len(short) == 1 and len(long_) == len(one)
+    # another text with the same borrowed word and its followers differs nearly everywhere
+    other = [f"rec{k}" for k in range(200)] + ["la"] + foreign[200:203] + [f"rec{k}" for k in range(200, 397)]
+    assert spotsigs.likeness(long_, spotsigs.signatures(pa.array([" ".join(other)]))[0]) < 0.05
+    assert spotsigs.likeness(long_, plain) > 0.95
+
+
+def test_lm_totals_beyond_32_bits_come_back():
+    import pandas as pd
+    pack = deleted_interpolation._pack
+    big = np.array([4_000_000_000], np.uint32)
+    cells = pd.DataFrame([{"part": 0, "block": f"b{k}", "em": False, "n": 1, "keys": pack(np.array([5], np.uint64)),
+                           "counts": pack(big)} for k in range(3)])
+    got = deleted_interpolation._answer(1)(cells)
+    totals = [int(deleted_interpolation._unpack(x, 8)[0]) for x in got["counts"] if x is not None]
+    assert totals == [12_000_000_000] * 3 and got["n_tokens"].sum() == 12_000_000_000
+
+
 def test_warc_sql_spells_the_digests(spark):
     """The query's SQL against Python's digests, with equal payloads, nulls and empty ones."""
     import base64
