@@ -190,19 +190,27 @@ def identifiers(text: Column, table: dict[str, list[str]] | None = None) -> Colu
     return F.transform(found, lambda s: F.coalesce(F.try_element_at(names, F.replace(s, F.lit("N"), F.lit(" "))), F.lit("?")))
 
 
-def match(ids: Column, rules=None) -> tuple[Column, Column]:
+def match(ids: Column, rules=None) -> Column:
     """(licences in rule order without repeats, identifiers that no rule used) of an identifier sequence with its ``?``."""
-    rest = F.concat(F.lit("|"), F.concat_ws("|", ids), F.lit("|"))
-    rest = F.regexp_replace(rest, r"\?[?|]*+", "?|")
-    found = []
-    for name, keys in rules or RULES:
+    rest = F.regexp_replace(F.concat(F.lit("|"), F.concat_ws("|", ids), F.lit("|")), r"\?[?|]*+", "?|")
+    none = F.array().cast("array<string>")
+    steps = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("|" + "|".join(keys) + "|").alias("wanted"))
+                      for name, keys in rules or RULES))
+
+    def step(state: Column, rule: Column) -> Column:
         # a doubled bar keeps neighbours apart, so the same rule can match twice in a row
-        wanted = "|" + "|".join(keys) + "|"
-        found.append(F.when(F.contains(rest, F.lit(wanted)), F.lit(name)))
-        rest = F.replace(F.replace(rest, F.lit(wanted), F.lit("||")), F.lit(wanted), F.lit("||"))
-    licences = F.array_distinct(F.array_compact(F.array(*found)))
-    left = F.filter(F.split(rest, r"\|"), lambda s: ~s.isin("", "?"))
-    return licences, left
+        once = F.replace(state["rest"], rule["wanted"], F.lit("||"))
+        return F.when(F.contains(state["rest"], rule["wanted"]), F.struct(
+            F.replace(once, rule["wanted"], F.lit("||")).alias("rest"),
+            F.array_append(state["licences"], rule["name"]).alias("licences"))).otherwise(state)
+
+    def done(state: Column) -> Column:
+        return F.struct(F.array_distinct(state["licences"]).alias("licences"),
+                        F.filter(F.split(state["rest"], r"\|"), lambda s: ~s.isin("", "?")).alias("unmatched"))
+
+    found = F.aggregate(steps, F.struct(rest.alias("rest"), none.alias("licences")), step, done)
+    return F.when(F.exists(ids, lambda s: s != "?"), found).otherwise(
+        F.struct(none.alias("licences"), none.alias("unmatched")))
 
 
 def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -219,6 +227,6 @@ def recognise(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = docs.select(*keep, joined(F.col(text)).alias("_joined"))
     many = F.greatest(F.length(F.regexp_replace("_joined", "[a-z0-9 N]+", "")) - 1, F.lit(0)).cast("long")
     ids = cut.select(*keep, many.alias("n_sentences"), identifiers(F.col("_joined")).alias("_ids"))
-    licences, left = match(F.col("_ids"))
-    return ids.select(*keep, "n_sentences", F.filter("_ids", lambda s: s != "?").alias("sentence_ids"),
-                      licences.alias("licences"), left.alias("unmatched"))
+    told = ids.select(*keep, "n_sentences", F.filter("_ids", lambda s: s != "?").alias("sentence_ids"),
+                      match(F.col("_ids")).alias("_match"))
+    return told.select(*keep, "n_sentences", "sentence_ids", "_match.licences", "_match.unmatched")
