@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # DECIMAL(18,4) values keep Spark's compact 64-bit decimal arithmetic; the
 # SUM buffer (DECIMAL(28,4)) widens on its own for totals beyond 2^63.
 EXACT = "decimal(18,4)"
+#: Totals of such columns, which may pass 18 digits.
+EXACT_TOTAL = "decimal(28,4)"
 
 
 def col_(c) -> Column:
@@ -25,9 +27,9 @@ def money_sum(c) -> Column:
 
 
 def money_avg(c) -> Column:
-    """AVG of a money column from an exact sum (NULL when no non-NULL value)."""
+    """AVG of a money column, totals included, from an exact sum (NULL when no non-NULL value)."""
     x = col_(c)
-    return F.try_divide(F.sum(x.cast(EXACT)).cast("double"), F.count(x).cast("double"))
+    return F.try_divide(F.sum(x.cast(EXACT_TOTAL)).cast("double"), F.count(x).cast("double"))
 
 
 def mean(c) -> Column:

@@ -139,3 +139,10 @@ def test_large_totals_are_not_altered(spark):
     sql = ", ".join(f"({i}, {'NULL' if v is None else f'{v!r}::DOUBLE' if math.isfinite(v) else chr(39) + 'inf' + chr(39) + '::DOUBLE'})"
                     for i, v in enumerate(values))
     assert [r[1] for r in con.execute(f"SELECT {_normalise('i:i v:d')} FROM (VALUES {sql}) q(i, v) ORDER BY i").fetchall()] == got
+
+
+def test_mean_of_store_totals_beyond_eighteen_digits(spark):
+    from shopgauge.functions.measures import money_avg
+    rows = spark.createDataFrame([(2.5e14,), (7.5e15,), (None,)], "revenue double")
+    assert rows.agg(money_avg("revenue").alias("m")).first().m == 3.875e15
+    assert rows.where("revenue is null").agg(money_avg("revenue").alias("m")).first().m is None
