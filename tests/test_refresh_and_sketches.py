@@ -11,7 +11,7 @@ from shopgauge.config import Params
 from shopgauge.operators import risk, sketches
 from shopgauge.plans import catalog
 from shopgauge.plans.registry import QUERIES, register_functions
-from shopgauge.plans.stages import RetailModel
+from shopgauge.plans.stages import RetailModel, by_month, with_month
 from shopgauge.sources import schemas
 
 START = date(2024, 1, 1)
@@ -66,6 +66,31 @@ def test_refresh_equals_a_rebuild_and_replaces_touched_months_only(spark):
     assert QUERIES["exec_kpi"](m).first() == QUERIES["exec_kpi"](full).first()
 
 
+def test_refresh_reads_the_whole_sales_once_and_layout_needs_no_sample(spark):
+    regions, stores, sales = tables(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(day):
+        read.add(1)
+        return day
+
+    counted = sales.withColumn("date", F.udf(seen, "date").asNondeterministic()("date"))
+    _, _, new = tables(spark, 60, 2)
+    m = RetailModel(regions, stores, counted, Params(as_of=date(2024, 4, 29)))
+    m.materialize()
+    before = read.value
+    m.refresh(new)
+    assert read.value - before == 1500
+    full = RetailModel(regions, stores, sales.unionByName(new), m.params)
+    assert rows_of(m.enriched_view) == rows_of(full.enriched_view)
+    # dealt by month from the sizes of the exchange; a range layout would run its input twice, to sample it
+    plan = with_month(by_month(full.dedup))._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "rangepartitioning" not in plan
+    # written a second time, the months stay in few files
+    m.materialize()
+    assert rows_of(m.enriched_view) == rows_of(full.enriched_view)
+
+
 def test_refresh_needs_a_written_table(spark):
     regions, stores, sales = tables(spark, 10)
     with pytest.raises(ValueError):
