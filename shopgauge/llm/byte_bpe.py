@@ -5,7 +5,8 @@ positions of their left symbols in a linked list.  A two-level bitmap over
 the ranks tells the lowest non-empty bucket by find-first-set, so the next
 merge costs a few bit operations however long the pre-token is.  Positions of
 one bucket leave it from the left; an entry whose pair has changed since is
-stale and skipped.
+stale and skipped.  Only a pair that neither neighbour precedes waits: the
+next merge always is one of these, and most others go before their turn.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import words
 REMEMBER = 300_000
 #: Ids decoded at once, unless one text has more.
 DECODE_IDS = 500_000
+#: Rank of a pair that is no symbol, above all ranks.
+NONE = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +49,10 @@ class RankQueue:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.low = [0] * ((max(ranks.values(), default=0) >> 8) + 1)
+        # what every string asks for: the bit of a word, the id of a byte, the rank of a pair of bytes
+        self.bits = [1 << k for k in range(max(256, len(self.low)))]
+        self.one = [ranks.get(bytes([a])) for a in range(256)]
+        self.two = [[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)]
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -53,77 +60,85 @@ class RankQueue:
         whole = get(piece)
         if whole is not None:
             return [whole]
-        low, top, buckets = self.low, 0, {}
+        low, bits, two, top, buckets = self.low, self.bits, self.two, 0, {}
         n = len(piece)
-        end = list(range(1, n + 1))  # symbol at i is piece[i:end[i]]; the next one starts at end[i]
-        before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the pair that now starts at i
+        end = [*range(1, n + 1)]  # symbol at i is piece[i:end[i]]; the next one starts at end[i]
+        before = [*range(-1, n)]
+        ids = [self.one[a] for a in piece]  # id of the symbol at i
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]  # rank of the pair that now starts at i
+        pair += [NONE, NONE]  # pair[-1] is the neighbour of the first
         # a bucket is a position, or a heap of two or more
+        prior = NONE
         for i in range(n - 1):
-            rank = get(piece[i:i + 2])
-            if rank is not None:
-                pair[i] = rank
+            rank = pair[i]
+            if prior > rank <= pair[i + 1]:
                 if rank in buckets:
-                    bucket = buckets[rank]
-                    if type(bucket) is int:
-                        buckets[rank] = [bucket, i]
-                    else:
-                        bucket.append(i)
+                    self._push(buckets, rank, i)
                 else:
                     buckets[rank] = i
                     word = rank >> 8
-                    low[word] |= 1 << (rank & 255)
-                    top |= 1 << word
+                    low[word] |= bits[rank & 255]
+                    top |= bits[word]
+            prior = rank
         while top:
             # find first set, twice: the lowest rank that has pairs
             word = (top & -top).bit_length() - 1
-            bits = low[word]
-            bit = bits & -bits
+            held = low[word]
+            bit = held & -held
             rank = word << 8 | bit.bit_length() - 1
             i = buckets[rank]
             if type(i) is int:
                 del buckets[rank]
-                low[word] = bits ^ bit
-                if bits == bit:
-                    top &= top - 1
+                low[word] = held = held ^ bit
+                if not held:
+                    top ^= bits[word]
             else:
                 bucket, i = i, heappop(i)
                 if len(bucket) == 1:
                     buckets[rank] = bucket[0]
             if pair[i] != rank:
                 continue  # stale: one of the two symbols has grown or gone
-            j = end[i]
+            j, left = end[i], before[i]
             end[i] = stop = end[j]
-            pair[j] = pair[i] = -1
+            ids[i] = rank
+            was, pair[j] = pair[j], NONE
             before[stop] = i
-            left = before[i]
-            if stop < n and (rank := get(piece[i:end[stop]])) is not None:
-                pair[i] = rank
-                self._push(buckets, rank, i)
-                word = rank >> 8
-                low[word] |= 1 << (rank & 255)
-                top |= 1 << word
+            pair[i] = after = get(piece[i:end[stop]], NONE) if stop < n else NONE
+            # of the two changed pairs and their neighbours, those that now wait and did not before
+            new = newer = -1
+            prior = NONE
             if left >= 0:
-                if (rank := get(piece[left:stop])) is not None:
-                    pair[left] = rank
-                    self._push(buckets, rank, left)
-                    word = rank >> 8
-                    low[word] |= 1 << (rank & 255)
-                    top |= 1 << word
-                else:
-                    pair[left] = -1
+                old, far = pair[left], before[left]
+                pair[left] = prior = get(piece[left:stop], NONE)
+                if pair[far] > prior <= after:
+                    new = left
+                elif old < pair[far] <= prior and pair[before[far]] > pair[far]:
+                    new = far
+            if stop < n:
+                if prior > after <= pair[stop]:
+                    newer = i
+                elif was <= pair[stop] < after and pair[stop] <= pair[end[stop]]:
+                    newer = stop
+            for i in (new, newer):
+                if i >= 0:
+                    rank = pair[i]
+                    if rank in buckets:
+                        self._push(buckets, rank, i)
+                    else:
+                        buckets[rank] = i
+                        word = rank >> 8
+                        low[word] |= bits[rank & 255]
+                        top |= bits[word]
         out, i = [], 0
         while i < n:
-            out.append(get(piece[i:end[i]]))
+            out.append(ids[i])
             i = end[i]
         return out
 
     @staticmethod
     def _push(buckets: dict, rank: int, at: int) -> None:
-        bucket = buckets.get(rank)
-        if bucket is None:
-            buckets[rank] = at
-        elif type(bucket) is int:
+        bucket = buckets[rank]
+        if type(bucket) is int:
             buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
         else:
             heappush(bucket, at)
@@ -164,7 +179,9 @@ class Encoder:
         if len(self.chunks) + len(wanted) > REMEMBER:
             self.older, self.chunks = self.chunks, {}
         have, older, new = self.chunks, self.older, []
-        for c in wanted - have.keys():
+        for c in wanted:  # not `wanted - have.keys()`, which walks all of `have`
+            if c in have:
+                continue
             if c in older:
                 have[c] = older[c]
             elif not c or c[0].isspace() or c[-1].isspace():
@@ -184,7 +201,13 @@ class Encoder:
                 split.append((c, i, j))
         for c, i, j in split:  # the first pre-token often is a chunk of its own elsewhere
             head = found[i]
-            first = have.get(head[1:]) or older.get(head[1:]) or piece[head]
+            word = head[1:]
+            first = have.get(word) or older.get(word)
+            if first is None:
+                if word and not word[-1].isspace():
+                    first = have[word] = array("i", encode(head.encode())).tobytes()
+                else:
+                    first = piece[head]
             have[c] = first + b"".join([piece[t] for t in found[i + 1:j]])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:

@@ -214,6 +214,52 @@ def test_rank_queue_on_long_pre_tokens():
         assert not any(queue.low)
 
 
+def test_bpe_queue_is_exact_for_any_order_of_ranks():
+    rng = random.Random(5)
+
+    def plain(ranks, piece):
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        while piece not in ranks:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                return [ranks[p] for p in parts]
+            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return [ranks[piece]]
+
+    for _ in range(300):
+        letters = bytes(rng.sample(range(256), 3))
+        more = {bytes(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(0, 40))}
+        symbols = [bytes([a]) for a in range(256)] + rng.sample(sorted(more), len(more))  # longer ones also before their parts
+        ranks = dict(zip(symbols, rng.sample(range(3000), len(symbols))))
+        queue = byte_bpe.RankQueue(ranks)
+        for _ in range(8):
+            piece = bytes(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            assert queue.encode(piece) == plain(ranks, piece)
+        assert not any(queue.low)
+
+
+def test_bpe_encodes_a_pre_token_once_and_queues_few_pairs(monkeypatch):
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(PATH), tok.PATTERN)
+    seen, plain = [], encoder.queue.encode
+    monkeypatch.setattr(encoder.queue, "encode", lambda piece: seen.append(piece) or plain(piece))
+    texts = ["a theaheq, b", "a theaheq b", "a theaheq. b", "a (theaheq b"]
+    want = [byte_bpe.Encoder(byte_bpe.read_ranks(PATH), tok.PATTERN)._whole(t) for t in texts]
+    assert [encoder.encode(t) for t in texts] == want
+    assert seen.count(b" theaheq") == 1
+
+    class Ranks(dict):  # rank of a run of one letter: all its pairs are equal, so only the first waits
+        asked = 0
+
+        def get(self, *key):
+            Ranks.asked += 1
+            return super().get(*key)
+
+    queue = byte_bpe.RankQueue(Ranks({bytes([a]): a for a in range(256)} | {b"xx": 300}))
+    Ranks.asked = 0
+    assert queue.encode(b"x" * 9) == [300] * 4 + [ord("x")]
+    assert Ranks.asked < 20  # 8 pairs and 5 symbols were asked for besides
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2 if i < 5 else None) for i in range(1, 9)] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity_fm.learn(docs, labels)
