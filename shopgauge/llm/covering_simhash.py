@@ -134,8 +134,8 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     rows = prints.select("fp", table).select("fp", "x.t", "x.key")
     sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # the bucket sizes are small rows; the join splits a hot bucket's side
-    rows = rows.join(sizes, ["t", "key"])
+    # never broadcast: Spark sizes both sides as the fingerprints' file, without the explode's fan-out
+    rows = rows.hint("merge").join(sizes, ["t", "key"])
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     pairs = (rows.select("t", "key", "fp", block.alias("mine"), other)
@@ -190,7 +190,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     labelled = _labelled(prints, radius, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     first = labelled.groupBy("component").agg(F.min("least")["_row"].alias("_keep"))
     copies = prints.groupBy(F.col("_row").alias("_keep")).agg(F.count(F.lit(1)).alias("_copies"))
-    first = write_and_reload(first.join(copies, "_keep").select("_keep", "_copies"), "simhash-keep")
+    # never broadcast: Spark takes the 64 characters of a row's hash for 20
+    first = write_and_reload(first.hint("merge").join(copies, "_keep").select("_keep", "_copies"), "simhash-keep")
     # the ids are hashed, so texts pass the join once and are not sorted; only rows that repeat are grouped
     kept = keyed.join(first.hint("shuffle_hash"), F.col("_row") == F.col("_keep"))
     if first.where("_copies > 1").isEmpty():

@@ -547,3 +547,27 @@ def test_toxicity_learns_each_labelled_document_once(spark, monkeypatch):
     assert whole == 41
     toxicity_fm.learn(docs.union(more), labels, held_out=10**9, most_bytes=4 * seen["size"] // 2)
     assert 15 <= seen["n"] < whole and seen["size"] > 0
+
+
+def _plans(monkeypatch):
+    """The plans of the tables that covering_simhash writes from now on, by name."""
+    plans, write = {}, covering_simhash.write_and_reload
+
+    def note(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(covering_simhash, "write_and_reload", note)
+    return plans
+
+
+def test_simhash_buckets_and_row_hashes_are_not_broadcast(spark, monkeypatch):
+    plans = _plans(monkeypatch)
+    # a file far below the broadcast threshold, as Spark also takes it for after the explode by 31 masks
+    prints = covering_simhash.write_and_reload(spark.range(2000).select(F.xxhash64("id").alias("fp")), "prints")
+    plan = covering_simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    rows = [(i, f"{i} the cat sat on mat {i * i}") for i in range(40)] * 2
+    kept = covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == len({r.doc_id for r in kept}) and kept
+    assert "SortMergeJoin [_keep#" in plans["simhash-keep"] and "BroadcastHashJoin [_keep#" not in plans["simhash-keep"]
