@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     labelled = _labelled(prints, radius, F.col("doc_id"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # every fp has a component; an outer join cannot broadcast the rows of prints, whose file hides repeats
+    return prints.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

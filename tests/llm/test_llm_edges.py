@@ -571,3 +571,15 @@ def test_simhash_buckets_and_row_hashes_are_not_broadcast(spark, monkeypatch):
     kept = covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(kept) == len({r.doc_id for r in kept}) and kept
     assert "SortMergeJoin [_keep#" in plans["simhash-keep"] and "BroadcastHashJoin [_keep#" not in plans["simhash-keep"]
+
+
+def test_simhash_rows_that_repeat_are_not_broadcast(spark):
+    # few values, so the table of fingerprints is small on disk however many rows it has
+    docs = spark.range(100_000, numPartitions=4).select(
+        (F.col("id") % 5).alias("doc_id"), F.concat(F.lit("the cat number "), (F.col("id") % 3).cast("string")).alias("text"))
+    found = covering_simhash.near_duplicates(docs)
+    rows = found.collect()
+    assert len(rows) == 100_000 and len(set(rows)) == 15 and all(r.component_id is not None for r in rows)
+    # the plan as it ran, the join of the rows first
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [fp#" in line]
+    assert joins and "BuildLeft" not in joins[0]
